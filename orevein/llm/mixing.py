@@ -2,9 +2,10 @@
 
 A source's share of the words gives every document of it the same expected number of copies, target / size of the source.
 Whole copies are taken as they are. The fractions are rounded by the pivotal method: two documents with fractions meet, and mass moves
-at random from one to the other until one of them is whole; the other meets the next. Documents meet in the order of their
-size, so that mass moves between documents of about the same size and a source's words stay near its target. Blocks of
-documents do this side by side and leave one fraction each; these meet in blocks of blocks, and so on up a tree.
+at random from one to the other until one of them is whole; the other meets the next. Mass is counted in words, so that a
+source's words stay at its target but for the last fraction. Documents meet in the order of their size, largest first, so that
+this last one is small. Blocks of documents do this side by side and leave one fraction each; these meet in blocks of blocks, and
+so on up a tree.
 """
 
 from __future__ import annotations
@@ -44,22 +45,30 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     return filled.withColumn("target", F.when(F.col("full"), F.col("cap")).otherwise(F.col("weight") * level)).select("source", "rank", "source_size", "target")
 
 
-def pivotal(p: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, int]:
+def pivotal(p: np.ndarray, size: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, int]:
     """0 or 1 for each of the fractions p, and the place of the one left with a fraction (-1: none); p gets its value there.
 
-    u: uniform numbers, one for each meeting. Each fraction is the chance that its document gets a 1.
+    Mass is words, p * size: what one of two documents gains the other loses, so that their sum stays, and each fraction is
+    still the chance that its document gets a 1. u: uniform numbers, one for each meeting.
     """
-    out, i, a, least = np.zeros(len(p), np.int32), -1, 0.0, 1e-12
+    out, i, a, least = np.zeros(len(p), np.int32), -1, 0.0, 1e-9
+    sizes = size.tolist()
     for j, b in enumerate(p.tolist()):
+        if b <= least or b >= 1 - least:
+            out[j] = b > 0.5
+            continue
         if i < 0:
             i, a = j, b
-        elif (s := a + b) < 1:  # one takes all, the other gets nothing
-            i, a = (j, s) if u[j] * s < b else (i, s)
-        else:  # one is full, the other keeps the rest
-            full, i = (i, j) if u[j] * (2 - s) < 1 - b else (j, i)
-            out[full], a = 1, s - 1
+            continue
+        up, down = min((1 - a) * sizes[i], b * sizes[j]), min(a * sizes[i], (1 - b) * sizes[j])  # words to i, words to j
+        moved = up if u[j] * (up + down) < down else -down
+        a, b = a + moved / sizes[i], b - moved / sizes[j]
         if a <= least or a >= 1 - least:
-            out[i], i = a > 0.5, -1
+            out[i], i, a = a > 0.5, j, b
+            if b <= least or b >= 1 - least:
+                out[j], i = b > 0.5, -1
+        else:
+            out[j] = b > 0.5
     if i >= 0:
         p[i] = a
     return out, i
@@ -67,10 +76,10 @@ def pivotal(p: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, int]:
 
 def _rounding(seed: int):
     def round_block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "doc_id", "child"], na_position="first", kind="stable")
+        rows = rows.sort_values(["size", "doc_id", "child"], ascending=[False, True, True], na_position="first", kind="stable")
         rng = np.random.default_rng([seed, *(int(k) for k in key)])
         p = rows["p"].to_numpy(np.float64, copy=True)
-        got, left = pivotal(p, rng.random(len(p)))
+        got, left = pivotal(p, rows["size"].to_numpy(), rng.random(len(p)))
         rest = np.full(len(p), np.nan)
         if left >= 0:
             rest[left] = p[left]
@@ -130,7 +139,7 @@ def _carry(function):
     """function for a group of leaves, whose other columns are kept."""
 
     def carried(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "doc_id"], na_position="first", kind="stable").reset_index(drop=True)
+        rows = rows.sort_values(["size", "doc_id"], ascending=[False, True], na_position="first", kind="stable").reset_index(drop=True)
         out = function(key, rows).reset_index(drop=True)
         return pd.concat([out, rows[["source", "source_size", "target", "whole"]]], axis=1)
 
