@@ -5,12 +5,16 @@ from __future__ import annotations
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .mixing import op6_mixing
 from .near_dedup import op7_near_dedup
+from .private_data import op9_private_data
+from .quality_rules import op8_quality_rules
 from .sharding import op2_sharding
 
 QUERIES = {
     "op2_sharding": op2_sharding,
     "op6_mixing": op6_mixing,
     "op7_near_dedup": op7_near_dedup,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_private_data": op9_private_data,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
