@@ -80,15 +80,29 @@ def n_words_of(text: Column) -> Column:
 BITMAP_WORDS = 1 << 17
 
 
+def _bitmap(keys: DataFrame) -> DataFrame:
+    bit = F.pmod(F.col("key"), F.lit(BITMAP_WORDS * 64))
+    words = keys.select(F.shiftright(bit, 6).alias("_word"), F.expr(f"shiftleft(1L, cast(pmod(key, {BITMAP_WORDS * 64}) & 63 as int))").alias("_bit"))
+    return words.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+
+
+_HIT = "coalesce((shiftrightunsigned(_bits, cast(_at & 63 as int)) & 1L) = 1L, false)"
+
+
 def marked(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
     """The rows of df whose key (long) may be among keys.key: all that are, and a few more.
 
     keys becomes a bitmap of a fixed size, so broadcasting it is safe at any scale; with too many keys it lets more rows
     through, and never loses one. It spares the join behind it the shuffle of rows with no partner.
     """
-    bit = F.pmod(F.col("key"), F.lit(BITMAP_WORDS * 64))
-    words = keys.select(F.shiftright(bit, 6).alias("_word"), F.expr(f"shiftleft(1L, cast(pmod(key, {BITMAP_WORDS * 64}) & 63 as int))").alias("_bit"))
-    words = words.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
     at = df.withColumn("_at", F.pmod(key, F.lit(BITMAP_WORDS * 64)))
-    hit = F.expr("(shiftrightunsigned(_bits, cast(_at & 63 as int)) & 1L) = 1L")
-    return at.join(F.broadcast(words), F.shiftright("_at", 6) == F.col("_word")).where(hit).drop("_at", "_word", "_bits")
+    found = at.join(F.broadcast(_bitmap(keys)), F.shiftright("_at", 6) == F.col("_word"))
+    return found.where(F.expr(_HIT)).drop("_at", "_word", "_bits")
+
+
+def without(df: DataFrame, key: Column, keys: DataFrame, drop) -> DataFrame:
+    """df with drop() applied to the rows whose key may be among keys.key; the others, null keys too, pass by it unshuffled."""
+    at = df.withColumn("_at", F.pmod(key, F.lit(BITMAP_WORDS * 64)))
+    bits = stored(_bitmap(keys), "bitmap")
+    flagged = at.join(F.broadcast(bits), F.shiftright("_at", 6) == F.col("_word"), "left")
+    return flagged.where(~F.expr(_HIT)).select(df.columns).unionByName(drop(flagged.where(F.expr(_HIT)).select(df.columns)))

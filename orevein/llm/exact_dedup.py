@@ -12,13 +12,12 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, marked, new_path, read_documents, stored
+from .common import filesystem, marked, new_path, read_documents, stored, without
 
 #: Digests that a memtable holds before it is flushed; bits of filter and hashes for each digest.
 MEMTABLE, FILTER_BITS, HASHES = 200_000, 10, 5
@@ -202,6 +201,14 @@ def exact_groups(docs: DataFrame, n_bytes: int = 32) -> DataFrame:
     )
 
 
+def first_copies(docs: DataFrame) -> DataFrame:
+    """The rows of docs that exact_groups() keeps, as they were. Rows that can't be dropped ones aren't shuffled."""
+    gone = exact_groups(docs).where("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha")).distinct()
+    gone = stored(gone, "copies")
+    sha = F.sha2(normalised(F.col("text")), 256)
+    return without(docs, F.col("doc_id").cast("long"), gone.select(F.col("_gone_id").alias("key")), lambda rows: rows.join(gone, rows["doc_id"].cast("long").eqNullSafe(F.col("_gone_id")) & (sha == F.col("_gone_sha")), "left_anti"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read_documents(spark, sf_dir))
 

@@ -2,7 +2,8 @@
 
 Two generative models of hashed word n-grams, one of the texts labelled good and one of all texts, give every document a weight: the
 ratio of its likelihoods. Gumbel noise on the logarithms and a top-k is a sample without replacement in proportion to the weights. k is
-the number of documents that the target model explains better than the raw one, unless it is given.
+the number of documents whose weight is above the cut that tells labelled good and bad ones apart best, of those labelled that no
+model has seen as targets, unless k is given.
 """
 
 from __future__ import annotations
@@ -11,24 +12,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import read_documents, stored
 from .textvec import Words, mixed, text_chunks
 
 #: Buckets that n-grams are hashed into; labelled good documents that the target model is made of, at most (those with the smallest hash).
 BUCKETS, MOST_LABELLED = 1 << 15, 20_000
+#: What is added to a bucket's count and to the count expected of it.
+EVENS = 10
+#: A good document lost counts as so many bad ones kept, both as shares, where the cut is chosen.
+LOSS = 4.0
 #: Steps that keys are compared in: a millionth.
 STEP = 1 << 20
 
 
 def _grams(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of every word and of every pair of neighbours in a text, and the text of each."""
-    h, doc = words.hash, words.doc
+    """Buckets of every word, every pair of neighbouring words and every three bytes in a row of a text, and the text of each."""
+    h, doc, data = words.hash, words.doc, words.data.astype(np.uint32)
     pair = doc[1:] == doc[:-1]
     two = mixed(h[:-1][pair] * np.uint64(0x9E3779B97F4A7C15) + h[1:][pair])
-    return (np.concatenate([h, two]) & np.uint64(BUCKETS - 1)).astype(np.int32), np.concatenate([doc, doc[1:][pair]])
+    three = mixed((data[:-2] | data[1:-1] << np.uint32(8) | data[2:] << np.uint32(16)).astype(np.uint64) + np.uint64(1 << 40)) if len(data) > 2 else h[:0]
+    of = np.repeat(np.arange(len(words.bounds) - 1), np.diff(words.bounds))
+    inside = of[:-2] == of[2:]
+    return (np.concatenate([h, two, three[inside]]) & np.uint64(BUCKETS - 1)).astype(np.int32), np.concatenate([doc, doc[1:][pair], of[:-2][inside]])
 
 
 def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,14 +53,15 @@ def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(raw[some]), pa.array(target[some])], names=["bucket", "raw", "target"])
 
 
-def _scoring(ratio: np.ndarray):
+def _scoring(ratio: np.ndarray, columns: list[str]):
+    """columns of the rows, and log_weight."""
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
             for a, b, data, bounds in text_chunks(batch.column("text")):
                 gram, doc = _grams(Words(data, bounds))
                 sums = np.bincount(doc, weights=ratio[gram], minlength=b - a)
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(sums)], names=["doc_id", "log_weight"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in columns), pa.array(sums)], names=[*columns, "log_weight"])
 
     return score
 
@@ -70,43 +80,75 @@ def kth_largest(df: DataFrame, column: str, k: int) -> int:
     return low
 
 
+def best_cut(good: list[float], bad: list[float], loss: float = LOSS) -> float:
+    """The weight above which documents are kept at the least loss; between two weights, and 0 where one of the lists is empty."""
+    if not good or not bad:
+        return 0.0
+    values = sorted([(x, 1) for x in good] + [(x, 0) for x in bad])
+    lost, kept, best = 0, len(bad), (len(bad) / len(bad), values[0][0] - 1.0)
+    for (x, is_good), (y, _) in zip(values, values[1:] + [(values[-1][0] + 2.0, 0)], strict=True):
+        lost, kept = lost + is_good, kept - (1 - is_good)
+        if y > x:
+            best = min(best, (loss * lost / len(good) + kept / len(bad), (x + y) / 2))
+    return best[1]
+
+
+class Resampler:
+    """Both models, and the least key that is kept (None: nothing is), for docs and labels as in resample(). scored: doc_id, log_weight, key of docs, written down."""
+
+    def __init__(self, docs: DataFrame, labels: DataFrame, k: int | None, most_labelled: int, seed: int):
+        self.seed = seed
+        docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        known = labels.where("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("_known"), (F.col("quality") == 1).alias("good")).distinct()
+        known = known.withColumn("_hash", F.xxhash64("_known", F.lit(seed))).orderBy("_hash", "good").limit(most_labelled)
+        known = known.select("_known", "good", (F.col("_hash") % 2 == 0).alias("seen"))
+        targets = known.where("good and seen").select("_known")  # most_labelled ids at most are broadcast
+        flagged = docs.join(F.broadcast(targets), F.col("doc_id") == F.col("_known"), "left").select("text", F.col("_known").isNotNull().alias("target"))
+        counts = flagged.mapInArrow(_counting, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+        raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
+        for r in counts.collect():  # BUCKETS rows at most
+            raw[r.bucket], target[r.bucket] = r.raw, r.target
+        # a bucket's ratio is that of its target count to the count expected if targets were like all texts; EVENS more on either side keep rare ones near 1
+        expected = target.sum() * (raw + 1) / (raw + 1).sum()
+        self.ratio = np.log((target + EVENS) / (expected + EVENS))
+        self.scored = stored(self.with_key(docs, "doc_id long, log_weight double", ["doc_id"]), "weights")
+        if k is None:
+            judged = self.scored.join(F.broadcast(known.where("not seen")), F.col("doc_id") == F.col("_known")).select("good", "log_weight").limit(2 * most_labelled).collect()
+            cut = best_cut([r.log_weight for r in judged if r.good], [r.log_weight for r in judged if not r.good])
+            k = self.scored.where(F.col("log_weight") > cut).count()
+        self.least = None if k <= 0 else kth_largest(self.scored, "_key", k) if k < self.scored.count() else -(1 << 60)
+
+    def with_key(self, docs: DataFrame, schema, columns: list[str]) -> DataFrame:
+        """columns of docs with log_weight, key and, in STEPs, _key."""
+        u = (F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(self.seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+        scored = docs.mapInArrow(_scoring(self.ratio, columns), schema).withColumn("key", F.col("log_weight") - F.log(-F.log(u)))
+        return scored.withColumn("_key", F.round(F.col("key") * STEP).cast("long"))
+
+    def kept(self) -> Column:
+        return F.lit(False) if self.least is None else F.col("_key") >= self.least
+
+
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, most_labelled: int = MOST_LABELLED, seed: int = 3) -> DataFrame:
-    """doc_id, log_weight, key, kept for every row of docs (doc_id long, text); labels: doc_id, quality (1: good).
+    """doc_id, log_weight, key, kept for every row of docs (doc_id long, text); labels: doc_id, quality (1: good, 0: bad).
 
-    A null or empty text has weight 1 (log_weight 0) and isn't kept unless a given k reaches it. Repeated rows have the same key; rows whose key
-    equals the k-th are all kept. Without labels every text weighs 1, and nothing is better under the target. An empty table gives no rows. Other
-    columns are left alone. Models count every row of docs; only the target's labelled rows are bounded, by most_labelled.
+    A null or empty text has weight 1 (log_weight 0) and stands where that puts it. Repeated rows have the same key; rows whose key
+    equals the k-th are all kept. Without good labels every text weighs 1; without good and bad ones the cut is at 1, above which
+    nothing may be. A document labelled both ways is both. An empty table gives no rows. Other columns are left alone. Models count every row of docs;
+    only labelled rows are bounded, by most_labelled of those with the smallest hash: one half makes the target, the other the cut.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("_good")).distinct()
-    good = good.orderBy(F.xxhash64("_good")).limit(most_labelled)  # most_labelled ids at most are broadcast
-    flagged = docs.join(F.broadcast(good), F.col("doc_id") == F.col("_good"), "left").select("text", F.col("_good").isNotNull().alias("target"))
-    counts = flagged.mapInArrow(_counting, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for r in counts.collect():  # BUCKETS rows at most
-        raw[r.bucket], target[r.bucket] = r.raw, r.target
-    # the target is smoothed by the raw model, worth one n-gram for each 8 buckets, so that what it lacks stays possible
-    p = (raw + 1) / (raw + 1).sum()
-    q = (target + p * BUCKETS / 8) / (target.sum() + BUCKETS / 8)
-    ratio = np.log(q / p) if target.sum() else np.zeros(BUCKETS)
-    u = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    scored = docs.mapInArrow(_scoring(ratio), "doc_id long, log_weight double").withColumn("key", F.col("log_weight") - F.log(-F.log(u)))
-    scored = stored(scored.withColumn("_key", F.round(F.col("key") * STEP).cast("long")), "weights")
-    if k is None:
-        k = scored.where("log_weight > 0").count()
-    least = kth_largest(scored, "_key", k) if 0 < k else None
-    total = scored.count() if k else 0
-    kept = F.lit(False) if least is None else F.lit(True) if k >= total else F.col("_key") >= least
-    return scored.select("doc_id", "log_weight", "key", kept.alias("kept"))
-
-
-def keep_good(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """The rows of docs that are kept, as they were. Rows that repeat a doc_id stay if one of them does."""
-    from .common import marked
-
-    kept = resample(docs, labels, **how).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
+    fitted = Resampler(docs, labels, k, most_labelled, seed)
+    return fitted.scored.select("doc_id", "log_weight", "key", fitted.kept().alias("kept"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, k: int | None = None, most_labelled: int = MOST_LABELLED, seed: int = 3) -> DataFrame:
+    """The rows of docs that resample() keeps, as they were; nothing is shuffled for it."""
+    fitted = Resampler(docs, labels, k, most_labelled, seed)
+    names = [f"c{j}" for j in range(len(docs.columns))]  # whatever docs' columns are called
+    at = {c: n for c, n in zip(docs.columns, names, strict=True)}
+    rows = docs.select(*(docs[c].alias(n) for c, n in at.items()), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    schema = T.StructType([*(T.StructField(n, docs.schema[c].dataType) for c, n in at.items()), T.StructField("doc_id", T.LongType()), T.StructField("log_weight", T.DoubleType())])
+    good = fitted.with_key(rows, schema, [*names, "doc_id"]).where(fitted.kept())
+    return good.select(*(F.col(n).alias(c) for c, n in at.items()))
 
 
 def op4_importance(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 from .exact_dedup import OP10_SQL, op10_exact_dedup
+from .importance import op4_importance
 from .mixing import op6_mixing
 from .near_dedup import op7_near_dedup
+from .passages import op1_passages
+from .pieces import op5_sentencepiece
 from .private_data import op9_private_data
 from .quality_rules import op8_quality_rules
 from .sharding import op2_sharding
+from .token_counts import op3_token_counts
 
 QUERIES = {
+    "op1_passages": op1_passages,
     "op2_sharding": op2_sharding,
+    "op3_token_counts": op3_token_counts,
+    "op4_importance": op4_importance,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_mixing": op6_mixing,
     "op7_near_dedup": op7_near_dedup,
     "op8_quality_rules": op8_quality_rules,
