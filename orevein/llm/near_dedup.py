@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, marked, read_documents, stored
+from .common import dropped, marked, read_documents, stored, without
 from .components import components
 from .textvec import Words, mixed, shingles, text_chunks
 
@@ -148,20 +148,17 @@ def near_groups(docs: DataFrame, similarity: int = 85, k: int = 5) -> DataFrame:
     candidates = found.where("a is not null").select("a", "b").unionByName(across.where("a is not null").select("a", "b")).where("a <> b").distinct()
     links = _confirmed(candidates, few, docs, similarity, k)
     joined = stored(components(links), "components")
-    # crowded regions: whatever neighbours left in more than one component is compared across components
-    crowded = forest.groupBy("tree", "k1").agg(F.count("*").alias("n"), F.min("doc_id").alias("m")).where(f"n > {WINDOW + 1}").select("tree", "k1")
+    # crowded regions: where neighbours have left more than one component, all pairs of components are searched exactly
+    crowded = forest.groupBy("tree", "k1").agg(F.count("*").alias("n")).where(f"n > {WINDOW + 1}").select("tree", "k1")
     crowd = forest.join(crowded, ["tree", "k1"]).select("tree", "k1", "doc_id").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     crowd = stored(crowd.withColumn("component", F.coalesce("component", "doc_id")), "crowd")
-    sizes = crowd.groupBy("tree", "k1", "component").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("tree", "k1").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    rest = crowd.join(main, ["tree", "k1"])
-    strays = rest.where("component <> main").select("tree", "k1", F.col("doc_id").alias("x"), F.col("component").alias("cx"))
-    missed = strays.join(rest.select("tree", "k1", F.col("doc_id").alias("y"), F.col("component").alias("cy")), ["tree", "k1"]).where("cx <> cy")
-    missed = missed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(candidates, ["a", "b"], "left_anti")
+    split = crowd.groupBy("tree", "k1").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("tree", "k1")
+    open_ = stored(crowd.join(split, ["tree", "k1"]).select("doc_id", "component").distinct(), "open")
+    missed = _across(open_, docs, similarity, k).join(candidates, ["a", "b"], "left_anti")
     more = _confirmed(missed, few, docs, similarity, k)
     if not more.isEmpty():
         joined = stored(components(links.unionByName(more)), "components")
-    dropped(forest, found, crowd)
+    dropped(forest, found, crowd, open_)
     whole = same.join(joined.withColumnRenamed("node", "rep"), "rep", "left")
     whole = whole.where("copies > 1 or component is not null").select("f0", "f1", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "f0", "f1").join(whole, ["f0", "f1", "n_shingles"], "left")
@@ -170,16 +167,42 @@ def near_groups(docs: DataFrame, similarity: int = 85, k: int = 5) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def _set_table(nodes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, shingles of the documents in nodes (doc_id, unique), written down."""
+    texts = marked(docs.where("doc_id is not null"), F.col("doc_id"), nodes.select(F.col("doc_id").alias("key")))
+    sets = texts.mapInArrow(_shingling(k), "doc_id long, shingles array<long>").join(nodes.select("doc_id"), "doc_id", "left_semi")
+    return stored(sets.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("shingles").alias("h"), "shingles")).alias("s")).select("doc_id", "s.shingles"), "shingles")
+
+
+def _across(open_: DataFrame, docs: DataFrame, similarity: int, k: int) -> DataFrame:
+    """Pairs (a, b) of documents in open_ (doc_id, component), of different components, among which is every link between these.
+
+    By the prefix principle: of two sets of which a link is made, the 100 - similarity per cent rarest shingles (and one more) have one in common. Rare
+    ones have few documents, and shingles that only one component has in front make no pairs.
+    """
+    sets = _set_table(open_, docs, k)
+    each = sets.select("doc_id", F.size("shingles").alias("n"), F.explode("shingles").alias("t"))
+    often = sets.select(F.explode("shingles").alias("t")).groupBy("t").agg(F.count("*").alias("often"))
+    ranked = each.join(often.where("often > 1"), "t", "left").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "t"))).alias("order"))
+    # a link needs ceil(similarity% of n) shingles in common, so one of the n - that + 1 first is among them
+    front = ranked.select("doc_id", "n", F.explode(F.slice("order", F.lit(1), F.expr(f"cast(n - ceil(n * {similarity}L / 100D - 1e-9D) + 1 as int)"))).alias("o"))
+    front = stored(front.where("o.often > 1").select("doc_id", "n", F.col("o.t").alias("t")).join(open_, "doc_id"), "fronts")
+    shared = front.groupBy("t").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("t")
+    rows = front.join(shared, "t")
+    left, right = (rows.select("t", F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}")) for x in "ab")
+    near = f"a < b and ca <> cb and 100 * least(na, nb) >= {similarity} * greatest(na, nb)"
+    pairs = stored(left.join(right, "t").where(near).select("a", "b").distinct(), "across")
+    dropped(sets, front)
+    return pairs
+
+
 def _confirmed(pairs: DataFrame, few: DataFrame, docs: DataFrame, similarity: int, k: int) -> DataFrame:
     """The pairs (a, b) that are links, by their full sets of shingles. What sizes and sketches rule out isn't looked at."""
     ends = {e: few.select(F.col("doc_id").alias(e), F.col("n_shingles").alias(f"n{e}"), F.col("sketch").alias(f"s{e}")) for e in "ab"}
     near = pairs.join(ends["a"], "a").join(ends["b"], "b").where(f"100 * least(na, nb) >= {similarity} * greatest(na, nb)")
     near = stored(near.select("a", "b", "sa", "sb").mapInArrow(_agreeing, "a long, b long"), "near")
     nodes = stored(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-nodes")
-    texts = marked(docs.where("doc_id is not null"), F.col("doc_id"), nodes.select(F.col("doc_id").alias("key")))
-    sets = texts.mapInArrow(_shingling(k), "doc_id long, shingles array<long>").join(nodes, "doc_id", "left_semi")
-    sets = sets.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("shingles").alias("h"), "shingles")).alias("s")).select("doc_id", "s.shingles")
-    sets = stored(sets, "shingles")
+    sets = _set_table(nodes, docs, k)
     both = near.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("xa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("xb")), "b")
     common = F.size(F.array_intersect("xa", "xb")).cast("long")
     links = stored(both.where(100 * common >= similarity * (F.size("xa") + F.size("xb") - common)).select("a", "b"), "confirmed")
@@ -187,5 +210,11 @@ def _confirmed(pairs: DataFrame, few: DataFrame, docs: DataFrame, similarity: in
     return links
 
 
+def one_of_each(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs that near_groups() keeps, as they were."""
+    gone = stored(near_groups(docs, **how).where("not kept").select(F.col("doc_id").alias("key")).distinct(), "near-copies")
+    return without(docs, F.col("doc_id").cast("long"), gone, lambda rows: rows.join(gone, rows["doc_id"].cast("long") == gone["key"], "left_anti"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(read_documents(spark, sf_dir))
