@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Symbols and what stands for them.
 SYMBOLS = {"×": "x", "–": "-", "—": "-", "‒": "-", "−": "-", "’": "'", "“": '"', "”": '"', "°": " deg", "μ": "u", "µ": "u"}
@@ -32,7 +33,7 @@ def collapse(c: Column) -> Column:
     return F.regexp_replace(c, r"[ \t\r\n]+", " ")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _composed(texts: pd.Series) -> pd.Series:
     """Canonical composition, for which the engine has no function."""
     return texts.str.normalize("NFC")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orevein.functions.ids import content_code, uuid5
+from orevein.session import prepare
 
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
@@ -17,6 +18,7 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
 
     Each round is checkpointed, so that lineage doesn't grow; their number goes with the logarithm of a component's breadth.
     """
+    prepare(edges.sparkSession)
     both = edges.where("a <> b").select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
     labels = labels.checkpoint()
