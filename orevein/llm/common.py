@@ -26,11 +26,12 @@ def shared_dir(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
-    at = tempfile.mkdtemp(prefix="checkpoints-")
-    atexit.register(shutil.rmtree, at, True)
-    spark.conf.set("spark.checkpoint.dir", at)
-    spark.sparkContext.setCheckpointDir(at)
-    return at
+    context = spark.sparkContext._jsc.sc()
+    if context.getCheckpointDir().isEmpty():
+        at = tempfile.mkdtemp(prefix="checkpoints-")
+        atexit.register(shutil.rmtree, at, True)
+        spark.sparkContext.setCheckpointDir(at)
+    return context.getCheckpointDir().get()
 
 
 def new_path(spark: SparkSession, name: str) -> str:
