@@ -376,6 +376,37 @@ def test_passages_across_partitions(spark):
     assert {(r.doc_id, r.keep_doc_id) for r in rows} == {(k, 0) for k in range(1, 300)} and all(r.n_words >= 69 for r in rows)
 
 
+@pytest.mark.parametrize("batch", [1, 3, 1000])
+@pytest.mark.parametrize("cuts", [1, 2, 5, 11])
+def test_meeting_whatever_the_cuts(spark, batch, cuts):
+    """Sorted rows cut into partitions and batches anywhere give each later document its key's first one."""
+    import pyarrow as pa
+
+    rng = random.Random(batch * 100 + cuts)
+    rows = sorted((rng.choice([1, 2, 2, 2, 2, 3, 4, 5, 5, 9]), False, rng.randrange(12), rng.randrange(3), 9) for _ in range(60))
+    places = sorted(rng.sample(range(1, 60), cuts - 1))
+    found = []
+    for a, b in zip([0, *places], [*places, 60], strict=True):
+        part = [pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : min(i + batch, b)], strict=True), passages.KEYED, strict=True)], schema=passages.KEYED) for i in range(a, b, batch)]
+        found += [r for x in passages._meeting(iter(part)) for r in x.to_pylist()]
+    edges = collections.defaultdict(list)
+    for r in found:
+        if r["kind"] == 2:
+            edges[r["key"]].append((r["lead"], r["lead_first"], r["most"]))
+    edges = {k: min(v)[:2] for k, v in edges.items() if min(v)[0] < max(x[2] for x in v)}
+    got = collections.Counter()
+    for r in found:
+        lead = (r["lead"], r["lead_first"]) if r["kind"] == 0 else edges.get(r["key"]) if r["kind"] == 1 else None
+        if lead and lead[0] < r["doc_id"]:
+            got[r["key"], r["doc_id"], r["first"], *lead] += 1
+    want = collections.Counter()
+    for k, _, d, f, _ in rows:
+        lead = min((x[2], x[3]) for x in rows if x[0] == k)
+        if lead[0] < d:
+            want[k, d, f, *lead] += 1
+    assert got == want
+
+
 def test_word_hashes_agree_across_batches():
     import pyarrow as pa
 
