@@ -22,6 +22,9 @@ WEIGHTS, MOST = (5.0, 2.0, 1.0), 3.0
 #: Documents that one task rounds in sequence; fractions that meet in a node of the tree.
 BLOCK, FAN = 2048, 64
 
+#: Stands for a null doc_id inside.
+NO_ID = -(1 << 63)
+
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
     """source, rank, source_size, target: a row for each source of sizes (source, size).
@@ -111,6 +114,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
         .withColumn("p", F.col("expected") - F.col("whole"))
         .withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks")))
     )
+    # pandas has no null in a column of longs and would make it one of floats, which lose digits
+    placed = placed.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
     cols = ["rank", "block", "doc_id", "size", "p"]
     leaves = placed.select(*cols, F.lit(0).cast("long").alias("child"), "source", "source_size", "target", "whole")
     rounded = stored(leaves.groupBy("rank", "block").applyInPandas(_carry(_rounding(seed)), f"{ROUNDED}, source string, source_size long, target double, whole long"), "mix-leaves")
@@ -132,7 +137,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
         fate = with_fate.select("rank", F.col("child").alias("block"), F.when(F.col("rest").isNotNull(), F.col("bit")).otherwise(F.col("got")).alias("bit"))
     out = rounded.join(stored(fate, "mix-fate"), ["rank", "block"], "left")
     bit = F.when(F.col("rest").isNotNull(), F.col("bit")).otherwise(F.col("got"))
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + bit).cast("int").alias("copies"))
+    return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "source", "size", "source_size", "target", (F.col("whole") + bit).cast("int").alias("copies"))
 
 
 def _carry(function):

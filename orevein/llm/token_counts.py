@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, new_path, read_documents, stored
+from .common import filesystem, new_path, read_documents
 
 #: Where the vocabulary is, the version that counts are kept under, and the pattern that parts text for it.
 VOCABULARY, VERSION = "/opt/tokenizers/byte_bpe_50k.tiktoken", "byte_bpe_50k/1"

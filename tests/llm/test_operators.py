@@ -260,6 +260,12 @@ def test_mix(spark, odd, empty):
     assert len(mixing.mix(odd).collect()) == 10 and mixing.mix(empty).count() == 0 and mixing.take(odd).columns == odd.columns
 
 
+def test_mix_keeps_long_ids_beside_null_ones(spark):
+    rows = [(None if k % 9 == 0 else (1 << 62) + k, "a b c", "en", "s", 1) for k in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(map(str, (r.doc_id for r in mixing.mix(docs).collect()))) == sorted(str(r[0]) for r in rows)
+
+
 def test_pivotal_keeps_chances_and_words():
     import numpy as np
 
