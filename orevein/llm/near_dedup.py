@@ -185,12 +185,14 @@ def _across(open_: DataFrame, docs: DataFrame, similarity: int, k: int) -> DataF
     often = sets.select(F.explode("shingles").alias("t")).groupBy("t").agg(F.count("*").alias("often"))
     ranked = each.join(often.where("often > 1"), "t", "left").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "t"))).alias("order"))
     # a link needs ceil(similarity% of n) shingles in common, so one of the n - that + 1 first is among them
-    front = ranked.select("doc_id", "n", F.explode(F.slice("order", F.lit(1), F.expr(f"cast(n - ceil(n * {similarity}L / 100D - 1e-9D) + 1 as int)"))).alias("o"))
-    front = stored(front.where("o.often > 1").select("doc_id", "n", F.col("o.t").alias("t")).join(open_, "doc_id"), "fronts")
+    first = F.slice("order", F.lit(1), F.expr(f"cast(n - ceil(n * {similarity}L / 100D - 1e-9D) + 1 as int)"))
+    front = ranked.select("doc_id", "n", F.posexplode(first).alias("at", "o"))
+    front = stored(front.where("o.often > 1").select("doc_id", "n", "at", F.col("o.t").alias("t")).join(open_, "doc_id"), "fronts")
     shared = front.groupBy("t").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("t")
     rows = front.join(shared, "t")
-    left, right = (rows.select("t", F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}")) for x in "ab")
-    near = f"a < b and ca <> cb and 100 * least(na, nb) >= {similarity} * greatest(na, nb)"
+    left, right = (rows.select("t", F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at{x}"), F.col("component").alias(f"c{x}")) for x in "ab")
+    # behind the first shingle that both have, each has at most n - at - 1 more; with too few for a link this is no first one of a link
+    near = f"a < b and ca <> cb and {100 + similarity} * least(na - ata, nb - atb) >= {similarity} * (na + nb)"
     pairs = stored(left.join(right, "t").where(near).select("a", "b").distinct(), "across")
     dropped(sets, front)
     return pairs
@@ -201,7 +203,7 @@ def _confirmed(pairs: DataFrame, few: DataFrame, docs: DataFrame, similarity: in
     ends = {e: few.select(F.col("doc_id").alias(e), F.col("n_shingles").alias(f"n{e}"), F.col("sketch").alias(f"s{e}")) for e in "ab"}
     near = pairs.join(ends["a"], "a").join(ends["b"], "b").where(f"100 * least(na, nb) >= {similarity} * greatest(na, nb)")
     near = stored(near.select("a", "b", "sa", "sb").mapInArrow(_agreeing, "a long, b long"), "near")
-    nodes = stored(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-nodes")
+    nodes = stored(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct(), "near-nodes")
     sets = _set_table(nodes, docs, k)
     both = near.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("xa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("xb")), "b")
     common = F.size(F.array_intersect("xa", "xb")).cast("long")
