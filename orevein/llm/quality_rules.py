@@ -160,8 +160,10 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED)
     good = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", (F.col("quality") == 0).alias("bad")).distinct()
     few = good.withColumn("key", F.xxhash64("doc_id")).orderBy("key", "bad").limit(most)
     # at most `most` rows of three columns are broadcast
-    rows = with_statistics(docs.join(F.broadcast(few.select("doc_id")), "doc_id", "left_semi")).where("not base_failed").join(F.broadcast(few), "doc_id")
-    return [r.asDict() for r in rows.select("key", "bad", *(F.expr(e).alias(f) for f, e in FEATURES.items())).collect()]
+    rows = with_statistics(docs.join(F.broadcast(few.select("doc_id")), "doc_id", "left_semi")).join(F.broadcast(few), "doc_id")
+    # base_failed is looked at here: as a filter of the plan it would be pushed below the join and computed for all documents
+    rows = rows.select("key", "bad", "base_failed", *(F.expr(e).alias(f) for f, e in FEATURES.items())).collect()
+    return [r.asDict() for r in rows if not r.base_failed]
 
 
 def verdict(rules: list[Rule]) -> Column:
