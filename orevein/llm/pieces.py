@@ -9,6 +9,7 @@ result is that of the merges themselves.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import read_documents
 
-#: Where the model is. Chunks whose encoding a worker remembers, at most, before it begins anew.
-MODEL, REMEMBERED = "/opt/tokenizers/piece_bpe_32k.model", 1_000_000
+#: Where the model is. Chunks whose encoding a worker remembers, at most, before it begins anew. Characters of new chunks that are matched at once; a longer chunk is matched alone.
+MODEL, REMEMBERED, MATCHED = "/opt/tokenizers/piece_bpe_32k.model", 400_000, 150_000
 SPACE = "▁"
 #: Behind each chunk; no character.
 END = 0x110000
@@ -203,8 +204,15 @@ class Pieces:
         known, had = self.known, len(self.known)
         cut = re.compile(f"{SPACE}+[^{SPACE}]*").findall
         found = [np.fromiter((known.setdefault(c, len(known)) for c in cut(SPACE + t.replace(" ", SPACE))), np.int64) if t else np.zeros(0, np.int64) for t in texts]
-        if len(known) > had:
-            self._learn(list(known)[had:])
+        part, total = [], 0
+        for c in itertools.islice(known, had, None):
+            if part and total + len(c) > MATCHED:
+                self._learn(part)
+                part, total = [], 0
+            part.append(c)
+            total += len(c)
+        if part:
+            self._learn(part)
         chunks = np.concatenate(found) if found else np.zeros(0, np.int64)
         n = self.begin[chunks + 1] - self.begin[chunks]
         upto = np.concatenate([[0], np.cumsum(n)])
@@ -225,7 +233,7 @@ def pieces(path: str = MODEL) -> Pieces:
 
 
 #: Characters of text that are encoded at once; a longer text is encoded alone.
-AT_ONCE = 4_000_000
+AT_ONCE = 1_000_000
 
 
 def _encoding(path: str):
