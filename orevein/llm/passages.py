@@ -1,7 +1,8 @@
 """Dedup of passages that documents share: paragraphs by MinHash banding.
 
 Paragraphs are lines of LEAST_LINE words or more. Their shingles give BANDS * ROWS minimum hashes; paragraphs that agree on a band are joined,
-verified by the exact Jaccard index of their shingles, and clustered by connected components, of which one stays. A passage can also lie
+verified by the exact Jaccard index of their shingles, and clustered by connected components, of which one stays. Paragraphs are first tried with two
+others of a band; bands that then still hold several components are searched through exactly. A passage can also lie
 inside longer lines, so each text is besides cut into blocks at places that its words alone decide (where the hash of a pair of words
 is the least around), which are the same places wherever the passage stands; equal blocks meet in the same join, and a stretch
 of them of LEAST_RUN words or more is a repeated passage.
@@ -179,6 +180,52 @@ def _line_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids, pa.array((ls - words.first[words.doc[ls]]).astype(np.int32)), lists], names=["doc_id", "first", "shingles"])
 
 
+def _across(lines: DataFrame) -> DataFrame:
+    """Links (a, b: components) among lines (node, component, lo, hi, shingles): every link between lines of different components that isn't inside one document. lo and hi: a line's least and greatest document.
+
+    By the prefix principle, as in near_dedup: of two linked sets, the fronts of rarest shingles have one in common. Of a shingle's lines,
+    those of its largest component aren't tried with each other, so a large cluster makes no pairs of its own.
+    """
+    each = lines.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("t"))
+    often = each.groupBy("t").agg(F.count("*").alias("often")).where("often > 1")
+    ranked = each.join(often, "t", "left").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "t"))).alias("order"))
+    first = F.slice("order", F.lit(1), F.expr(f"cast(n - ceil(n * {SIMILARITY}L / 100D - 1e-9D) + 1 as int)"))
+    front = ranked.select("node", "n", F.posexplode(first).alias("at", "o")).where("o.often > 1").select("node", "n", "at", F.col("o.t").alias("t"))
+    front = stored(front.join(lines.select("node", "component", "lo", "hi"), "node"), "line-fronts")
+    main = front.groupBy("t", "component").agg(F.count("*").alias("c")).groupBy("t").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("c")).where("c > 1").select("t", F.col("m.component").alias("main"))
+    rows = front.join(main, "t")
+    a, b = (rows.select("t", "main", *(F.col(c).alias(f"{x}_{c}") for c in ("node", "n", "at", "component", "lo", "hi"))) for x in "ab")
+    enough = f"{100 + SIMILARITY} * least(a_n - a_at, b_n - b_at) >= {SIMILARITY} * (a_n + b_n)"
+    two_documents = "not (a_lo = a_hi and b_lo = b_hi and a_lo = b_lo)"
+    tried = a.where("a_component <> main").join(b.drop("main"), "t").where(f"a_component <> b_component and (b_component = main or a_node < b_node) and {enough} and {two_documents}")
+    pairs = stored(tried.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct(), "line-across")
+    side = lambda x: lines.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"), F.col("shingles").alias(f"s{x}"))
+    common = F.size(F.array_intersect("sa", "sb")).cast("long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(100 * common >= SIMILARITY * (F.size("sa") + F.size("sb") - common)).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+
+
+def _rest_joined(lines: DataFrame, sets: DataFrame, joined: DataFrame) -> DataFrame:
+    """joined (node, component) with the components put together that lines of one key link. lines: key, doc_id, first of the lines that meet; sets: their shingles.
+
+    Up to three lines of a key have all been tried with each other; of larger keys, those with more than one component are searched.
+    """
+    crowd = lines.select("key", F.xxhash64("doc_id", "first").alias("node")).join(joined, "node", "left")
+    crowd = stored(crowd.withColumn("component", F.coalesce("component", "node")), "line-crowd")
+    split = crowd.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where("n > 3 and x <> y").select("key")
+    open_ = stored(crowd.join(split, "key").select("node", "component").distinct(), "line-open")
+    # lines of equal sets have the same links, so one stands for all
+    each = sets.join(open_, "node").withColumn("f0", F.xxhash64("shingles")).withColumn("f1", F.xxhash64(F.lit(1), "shingles"))
+    few = each.groupBy("f0", "f1").agg(F.min("node").alias("node"), F.min("component").alias("component"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.first("shingles").alias("shingles"))
+    few = stored(few, "line-few")
+    equal = each.select("f0", "f1", F.col("component").alias("a")).join(few.select("f0", "f1", F.col("component").alias("b")), ["f0", "f1"]).where("a <> b").select("a", "b").distinct()
+    more = stored(_across(few).unionByName(equal), "line-more")
+    if more.isEmpty():
+        return joined
+    merged = components(more).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    every = joined.unionByName(open_.where("node = component")).distinct()
+    return every.join(merged, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+
+
 def _stretches(rows: DataFrame) -> DataFrame:
     """Rows (doc_id, first, n, keep) with those that touch or overlap put together; keep: the smallest."""
     order = Window.partitionBy("doc_id").orderBy("first", "n").rowsBetween(Window.unboundedPreceding, -1)
@@ -203,17 +250,19 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     dropped(keyed)
     # keys at the partitions' edges: two rows for each partition
     edge = met.where("kind = 2").groupBy("key").agg(F.min(F.struct("lead", "lead_first")).alias("l"), F.max("most").alias("top")).where("l.lead < top").select("key", "l.*")
-    rows = met.where("kind = 0").select("line", "doc_id", "first", "n", "lead", "lead_first", "near", "near_first")
+    rows = met.where("kind = 0").select("key", "line", "doc_id", "first", "n", "lead", "lead_first", "near", "near_first")
     late = met.where("kind = 1").drop("lead", "lead_first").join(F.broadcast(edge), "key")
     near = F.col("near") < F.col("doc_id")
-    late = late.select("line", "doc_id", "first", "n", "lead", "lead_first", F.when(near, F.col("near")).otherwise(F.col("lead")).alias("near"), F.when(near, F.col("near_first")).otherwise(F.col("lead_first")).alias("near_first"))
-    rows = rows.unionByName(late).where("lead < doc_id")
+    late = late.select("key", "line", "doc_id", "first", "n", "lead", "lead_first", F.when(near, F.col("near")).otherwise(F.col("lead")).alias("near"), F.when(near, F.col("near_first")).otherwise(F.col("lead_first")).alias("near_first"))
+    rows = rows.unionByName(late)
+    lines = rows.where("line").select("key", "doc_id", "first")
+    rows = rows.where("lead < doc_id")
     # blocks: equal ones are one passage, whose stretches count by their length
     blocks = _stretches(rows.where("not line").select("doc_id", "first", "n", F.col("lead").alias("keep"))).where(f"n >= {LEAST_RUN}")
-    # lines: candidates are a band's first line and the nearest one before; copies of a line give each link once
+    # lines: candidates are a band's first line and the nearest one before, and where that leaves several components all others; copies of a line give each link once
     ends = F.explode(F.array(F.struct(F.col("lead").alias("b"), F.col("lead_first").alias("bf")), F.struct(F.col("near").alias("b"), F.col("near_first").alias("bf")))).alias("o")
     pairs = stored(rows.where("line").select(F.col("doc_id").alias("a"), F.col("first").alias("af"), ends).select("a", "af", "o.*").where("b < a").distinct(), "line-pairs")
-    nodes = stored(pairs.select(F.col("a").alias("doc_id"), F.col("af").alias("first")).unionByName(pairs.select(F.col("b").alias("doc_id"), F.col("bf").alias("first"))).distinct(), "line-nodes")
+    nodes = stored(lines.select("doc_id", "first").distinct(), "line-nodes")
     ids = nodes.select("doc_id").distinct()
     texts = marked(docs, F.col("doc_id"), ids.select(F.col("doc_id").alias("key")))
     sets = texts.mapInArrow(_line_sets, "doc_id long, first int, shingles array<long>").join(nodes, ["doc_id", "first"], "left_semi")
@@ -222,12 +271,12 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     both = pairs.join(side("a"), ["a", "af"]).join(side("b"), ["b", "bf"])
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
     links = stored(both.where(100 * common >= SIMILARITY * (F.size("sa") + F.size("sb") - common)).select(F.col("na").alias("a"), F.col("nb").alias("b")).distinct(), "line-links")
-    joined = components(links)
+    joined = _rest_joined(lines, sets, components(links))
     places = sets.select("node", "doc_id", "first").distinct().join(joined, "node")
     lead = places.groupBy("component").agg(F.min("doc_id").alias("keep"))
     lengths = rows.where("line").select("doc_id", "first", "n").distinct()
-    lines = places.join(lead, "component").where("doc_id > keep").join(lengths, ["doc_id", "first"]).select("doc_id", "first", "n", "keep")
-    return _stretches(blocks.unionByName(lines)).select("doc_id", F.col("first").cast("long").alias("first_word"), F.col("n").cast("long").alias("n_words"), F.col("keep").alias("keep_doc_id"))
+    later = places.join(lead, "component").where("doc_id > keep").join(lengths, ["doc_id", "first"]).select("doc_id", "first", "n", "keep")
+    return _stretches(blocks.unionByName(later)).select("doc_id", F.col("first").cast("long").alias("first_word"), F.col("n").cast("long").alias("n_words"), F.col("keep").alias("keep_doc_id"))
 
 
 def without_passages(docs: DataFrame) -> DataFrame:

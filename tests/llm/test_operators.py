@@ -366,6 +366,29 @@ def test_passages(spark, odd, empty):
     assert passages.repeated_passages(empty).count() == 0 and passages.repeated_passages(odd).count() == 0
 
 
+def test_passages_in_crowded_keys(spark, monkeypatch):
+    """Edited lines are found in bands where lines of another make stand first and nearest."""
+    monkeypatch.setattr(passages, "LEAST_RUN", 1000)  # so that only lines count
+    rng = random.Random(11)
+    base = prose(rng, 60, 9000).split()
+
+    def with_edits(n):
+        words = list(base)
+        for at in rng.sample(range(5, 55, 10), n):
+            words[at + rng.randrange(5)] = f"e{rng.randrange(10**9)}"
+        return " ".join(words)
+
+    texts = [with_edits(2) for _ in range(160)]
+    texts[80], texts[159] = with_edits(1), " ".join(base)
+    sets = shingle_sets(texts)
+    want = {(b, a) for b in range(160) for a in range(b) if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])}
+    assert want == {(159, 80)}
+    # the line that two documents hold inside one of them alone is left alone, and so are its copies there
+    texts.append("\n".join([prose(rng, 40, 9000)] * 3))
+    rows = passages.repeated_passages(frame(spark, texts)).collect()
+    assert {(r.doc_id, r.keep_doc_id) for r in rows} == want
+
+
 def test_passages_across_partitions(spark):
     """One passage in very many documents spans partitions."""
     rng = random.Random(7)
