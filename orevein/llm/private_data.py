@@ -25,10 +25,12 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: A character that a text with the kind has; looking for it is cheap.
-NEEDS = {"email": "@", "ip": ".", "phone": "+", "secret": "="}
+NEEDS = {"email": "@", "ip": ".", "phone": "+"}
+#: What a text with the kind matches, where no single character will do.
+FORMS = {"card": r"[0-9][0-9\x20-]{12}", "secret": r"""[=:]\x20?["']""", "local": "[0-9]{3}", "ssn": "[0-9]{3}", "name": r"(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20[A-Z]"}
 #: Looser candidates: an assigned quoted token, a number in the form of a phone without country, a number of three groups as of social security, a titled name.
 MORE = {
-    "secret": r"""(?<=[=:]\x20{0,1}["'])[A-Za-z0-9_/+-]{16,128}+(?=["'])""",
+    "secret": r"""(?<=[=:]\x20{0,1}["'])[A-Za-z0-9_/+-]{16,}+(?=["'])""",
     "local": r"(?<![0-9+(.-])(?<![0-9]\x20)(?:\([0-9]{3}\)\x20?|[0-9]{3}[.\x20-])[0-9]{3}[.\x20-][0-9]{4}(?![0-9.-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "name": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20[A-Z][a-z]{1,30}(?:\x20[A-Z][a-z]{1,30})?+",
@@ -115,9 +117,7 @@ def _spans(text: Column, kind: str, pattern: str) -> Column:
         return F.when(F.size(matches) > 0, F.aggregate(both, empty, step, lambda at: at["found"])).otherwise(F.array().cast(SPAN))
 
     found = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
-    need = F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS else text.rlike("[0-9]{3}" if kind != "name" else r"(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20[A-Z]")
-    if kind == "card":
-        need = text.rlike("[0-9][0-9\x20-]{12}")
+    need = F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS else text.rlike(FORMS[kind])
     return F.when(need, found).otherwise(F.array().cast(SPAN))
 
 

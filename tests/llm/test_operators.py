@@ -339,6 +339,14 @@ def test_private_data(spark, odd, empty):
     assert len(private_data.find_private(odd).collect()) == 10 and private_data.find_private(empty).count() == 0
 
 
+def test_secrets_behind_a_colon_and_long_ones(spark):
+    token = "f33e61083db5dbdf4bd2369d2f80176e57f7fda2"
+    texts = [f'"api_key": "{token}"', f"token:'{token}' é", f'token = "{token * 5}"', f'secret key:  "{token}"']
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(x.kind, texts[r.doc_id][x.s : x.e]) for x in r.spans] for r in private_data.find_private(rows).collect()}
+    assert got == {0: [("secret", token)], 1: [("secret", token)], 2: [("secret", token * 5)], 3: []}
+
+
 def test_reliabilities_follow_the_anchors():
     q = private_data.reliabilities([("email", (1, 1, 0), 50), ("card", (-1, -1, 0), 40), ("secret", (1, 1, 1), 9), ("local", (-1, 0, -1), 9)])
     assert q["email", (1, 1, 0)] == 1.0 and q["secret", (1, 1, 1)] > 0.9 and q["local", (-1, 0, -1)] < 0.2
