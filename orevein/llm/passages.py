@@ -4,8 +4,8 @@ Paragraphs are lines of LEAST_LINE words or more. Their shingles give BANDS * RO
 verified by the exact Jaccard index of their shingles, and clustered by connected components, of which one stays. Paragraphs are first tried with two
 others of a band; bands that then still hold several components are searched through exactly. A passage can also lie
 inside longer lines, so each text is besides cut into blocks at places that its words alone decide (where the hash of a pair of words
-is the least around), which are the same places wherever the passage stands; equal blocks meet in the same join, and a stretch
-of them of LEAST_RUN words or more is a repeated passage.
+is the least around), which are the same places wherever the passage stands. Runs of blocks that just reach LEAST_RUN words meet in the same
+join if they are equal, and so each is a repeated passage; those that follow each other in the same earlier document are put together.
 """
 
 from __future__ import annotations
@@ -39,8 +39,11 @@ def _lines(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return new[long], ends[long]
 
 
-def _blocks(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word, word behind the last and hash of each block of more than AROUND words."""
+def _runs(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, word behind the last and hash of the shortest run of blocks with LEAST_RUN words or more from each block on, and of the shortest up to each.
+
+    Both together cover every stretch of blocks of as many words, whatever stands around it.
+    """
     h, doc, n = words.hash, words.doc, len(words.hash)
     pair = mixed(h + np.concatenate([h[1:], h[:1]]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1)
     # texts are set apart by as many greatest values as a cut looks at, so that it never looks into another text
@@ -56,9 +59,15 @@ def _blocks(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     up, down = _power(n)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(h * up[:n], out=total[1:])
+    # block in which a run from each block on ends, and in which one up to each begins; such as leave the text are none
+    ahead, behind = np.searchsorted(end, start + LEAST_RUN), np.searchsorted(start, end - LEAST_RUN, "right") - 1
+    on, up_to = np.flatnonzero(ahead < len(end)), np.flatnonzero(behind >= 0)
+    both = np.unique(np.concatenate([on * len(end) + ahead[on], behind[up_to] * len(end) + up_to]))
+    i, j = (both // len(end), both % len(end)) if len(end) else (both, both)
+    within = doc[start[i]] == doc[start[j]]
+    start, end = start[i[within]], end[j[within]]
     code = mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)) if n else np.zeros(0, np.uint64)
-    long = end - start > AROUND
-    return start[long], end[long], code[long]
+    return start, end, code
 
 
 KEYED = pa.schema([("key", pa.int64()), ("line", pa.bool_()), ("doc_id", pa.int64()), ("first", pa.int32()), ("n", pa.int32())])
@@ -66,14 +75,14 @@ KEYED_SQL = "key long, line boolean, doc_id long, first int, n int"
 
 
 def _keying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each block, and one for each band of each line: key, line or block, doc_id, first word, words."""
+    """A row for each run of blocks, and one for each band of each line: key, line or run, doc_id, first word, words."""
     for batch in batches:
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
         for a, _, data, bounds in text_chunks(batch.column("text")):
             words = Words(data, bounds)
             if not len(words.hash):
                 continue
-            start, end, code = _blocks(words)
+            start, end, code = _runs(words)
             ls, le = _lines(words)
             keys, firsts, ends, is_line = [code], [start], [end], [np.zeros(len(code), bool)]
             if len(ls):
@@ -226,20 +235,22 @@ def _rest_joined(lines: DataFrame, sets: DataFrame, joined: DataFrame) -> DataFr
     return every.join(merged, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
 
 
-def _stretches(rows: DataFrame) -> DataFrame:
-    """Rows (doc_id, first, n, keep) with those that touch or overlap put together; keep: the smallest."""
-    order = Window.partitionBy("doc_id").orderBy("first", "n").rowsBetween(Window.unboundedPreceding, -1)
+def _stretches(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows (doc_id, first, n, keep) with those of the same doc_id, keep and by that touch or overlap put together."""
+    by = ("doc_id", "keep", *by)
+    order = Window.partitionBy(*by).orderBy("first", "n").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("first") + F.col("n")
     new = F.coalesce(F.col("first") > F.max(end).over(order), F.lit(True)).cast("int")
-    marked_ = rows.withColumn("_new", new).withColumn("_run", F.sum("_new").over(Window.partitionBy("doc_id").orderBy("first", "n").rowsBetween(Window.unboundedPreceding, 0)))
-    return marked_.groupBy("doc_id", "_run").agg(F.min("first").alias("first"), (F.max(end) - F.min("first")).alias("n"), F.min("keep").alias("keep")).drop("_run")
+    marked_ = rows.withColumn("_new", new).withColumn("_run", F.sum("_new").over(Window.partitionBy(*by).orderBy("first", "n").rowsBetween(Window.unboundedPreceding, 0)))
+    return marked_.groupBy(*by, "_run").agg(F.min("first").alias("first"), (F.max(end) - F.min("first")).alias("n")).select("doc_id", "first", "n", "keep")
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """doc_id, first_word, n_words, keep_doc_id: passages of docs (doc_id long, text string) that stand in an earlier document (of smaller doc_id) too.
 
     A passage is a line of LEAST_LINE words or more whose shingles have a Jaccard index of 0.8 or more with one of the other document, or a
-    stretch of equal blocks of LEAST_RUN words or more, which any 51 words in common contain but for freak cuts. Passages of a document that touch or overlap are one. Of a cluster the passage of the smallest
+    stretch of equal blocks of LEAST_RUN words or more, which any 51 words in common contain but for freak cuts. Passages of a document that touch or overlap are one if they have the same
+    keep_doc_id; such as stand in different documents are a row each, and rows may overlap then, but one that lies inside another isn't given. Of a cluster the passage of the smallest
     doc_id stays. What repeats inside one document only is left alone, and so are null and empty texts, rows without doc_id, and rows that
     repeat a doc_id. An empty table gives no rows.
     """
@@ -257,8 +268,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     rows = rows.unionByName(late)
     lines = rows.where("line").select("key", "doc_id", "first")
     rows = rows.where("lead < doc_id")
-    # blocks: equal ones are one passage, whose stretches count by their length
-    blocks = _stretches(rows.where("not line").select("doc_id", "first", "n", F.col("lead").alias("keep"))).where(f"n >= {LEAST_RUN}")
+    # runs of blocks: equal ones are one passage, put together where they follow each other in the lead too
+    blocks = rows.where("not line").select("doc_id", "first", "n", F.col("lead").alias("keep"), (F.col("first") - F.col("lead_first")).alias("shift"))
+    blocks = _stretches(blocks, "shift").where(f"n >= {LEAST_RUN}")
     # lines: candidates are a band's first line and the nearest one before, and where that leaves several components all others; copies of a line give each link once
     ends = F.explode(F.array(F.struct(F.col("lead").alias("b"), F.col("lead_first").alias("bf")), F.struct(F.col("near").alias("b"), F.col("near_first").alias("bf")))).alias("o")
     pairs = stored(rows.where("line").select(F.col("doc_id").alias("a"), F.col("first").alias("af"), ends).select("a", "af", "o.*").where("b < a").distinct(), "line-pairs")
@@ -276,7 +288,10 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     lead = places.groupBy("component").agg(F.min("doc_id").alias("keep"))
     lengths = rows.where("line").select("doc_id", "first", "n").distinct()
     later = places.join(lead, "component").where("doc_id > keep").join(lengths, ["doc_id", "first"]).select("doc_id", "first", "n", "keep")
-    return _stretches(blocks.unionByName(later)).select("doc_id", F.col("first").cast("long").alias("first_word"), F.col("n").cast("long").alias("n_words"), F.col("keep").alias("keep_doc_id"))
+    # of a document's rows in this order, one lies inside another if an earlier one ends no sooner
+    before = Window.partitionBy("doc_id").orderBy("first", F.desc("n"), "keep").rowsBetween(Window.unboundedPreceding, -1)
+    found = _stretches(blocks.unionByName(later)).withColumn("_end", F.max(F.col("first") + F.col("n")).over(before))
+    return found.where("_end is null or _end < first + n").select("doc_id", F.col("first").cast("long").alias("first_word"), F.col("n").cast("long").alias("n_words"), F.col("keep").alias("keep_doc_id"))
 
 
 def without_passages(docs: DataFrame) -> DataFrame:

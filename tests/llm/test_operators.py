@@ -374,6 +374,24 @@ def test_passages(spark, odd, empty):
     assert passages.repeated_passages(empty).count() == 0 and passages.repeated_passages(odd).count() == 0
 
 
+def test_passages_stand_in_the_document_named(spark):
+    """Short phrases of different documents side by side are no passage; a passage whose parts occur earlier elsewhere is one of the document that has it."""
+    rng = random.Random(12)
+    phrases = [prose(rng, 19, 9000) for _ in range(8)]
+    texts = [f"{prose(rng, 40, 9000)} {p} {prose(rng, 40, 9000)}" for p in phrases]
+    texts.append(" ".join(phrases))
+    passage = prose(rng, 90, 9000).split()
+    texts.append(f"{prose(rng, 30, 9000)} {' '.join(passage[30:49])} {prose(rng, 30, 9000)}")
+    texts += [f"{prose(rng, 30, 9000)} {' '.join(passage)} {prose(rng, 30, 9000)}" for _ in range(2)]
+    texts += [f"{' '.join(texts[0].split()[:40])} {' '.join(texts[1].split()[:40])}"]
+    rows = passages.repeated_passages(frame(spark, texts)).collect()
+    for r in rows:
+        assert r.n_words >= 20 and " ".join(texts[r.doc_id].split()[r.first_word : r.first_word + r.n_words]) in texts[r.keep_doc_id]
+    assert {(r.doc_id, r.keep_doc_id) for r in rows} == {(11, 10), (12, 0), (12, 1)}
+    cut = {r.doc_id: r.text for r in passages.without_passages(frame(spark, texts)).collect()}
+    assert cut[8] == texts[8] and len(cut[11].split()) <= 60 + 31
+
+
 def test_passages_in_crowded_keys(spark, monkeypatch):
     """Edited lines are found in bands where lines of another make stand first and nearest."""
     monkeypatch.setattr(passages, "LEAST_RUN", 1000)  # so that only lines count
