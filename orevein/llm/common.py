@@ -28,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
         return at.rstrip("/")
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("on a cluster spark.checkpoint.dir has to name a folder that all executors see")
         at = tempfile.mkdtemp(prefix="checkpoints-")
         atexit.register(shutil.rmtree, at, True)
         spark.sparkContext.setCheckpointDir(at)
@@ -42,7 +44,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
 
 
 def filesystem(spark: SparkSession, path: str):
@@ -53,12 +57,10 @@ def filesystem(spark: SparkSession, path: str):
 
 
 def dropped(*tables: DataFrame) -> None:
-    """Delete tables written by stored() that nothing reads any more."""
+    """Delete tables that stored() has returned and that nothing reads any more."""
     for df in tables:
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if shared_dir(df.sparkSession).split("://")[-1].lstrip("/") in path:
-                fs, p = filesystem(df.sparkSession, path)
-                fs.delete(p, True)
+        fs, p = filesystem(df.sparkSession, df.stored_at)
+        fs.delete(p, True)
 
 
 def let(value: Column, body) -> Column:
@@ -107,3 +109,23 @@ def without(df: DataFrame, key: Column, keys: DataFrame, drop) -> DataFrame:
     bits = stored(_bitmap(keys), "bitmap")
     flagged = at.join(F.broadcast(bits), F.shiftright("_at", 6) == F.col("_word"), "left")
     return flagged.where(~F.expr(_HIT)).select(df.columns).unionByName(drop(flagged.where(F.expr(_HIT)).select(df.columns)))
+
+
+#: A key with more than one in so many rows is hot; so there are fewer hot keys than this.
+HOT = 1000
+
+
+def attached(rows: DataFrame, table: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """rows (written down) left join table (a row for each of its keys) on keys. size names table's column with the number of rows that a key has.
+
+    The rows of hot keys don't move: what table has of those keys is broadcast, HOT rows at most, whatever the input. So no key's rows meet in one task.
+    """
+    most = (rows.count() // HOT) + 1
+    values = [c for c in table.columns if c not in keys]
+    # the number of rows with more than a HOT-th of all rows is bounded, whatever size says of rows that aren't here
+    hot = table.where(F.col(size) > most).orderBy(F.desc(size)).limit(HOT)
+    hot = stored(hot.select(*(F.col(k).alias(f"_k{j}") for j, k in enumerate(keys)), F.struct(*values).alias("_hot")), "hot")
+    met = rows.join(F.broadcast(hot), [F.col(k) == F.col(f"_k{j}") for j, k in enumerate(keys)], "left")
+    alone = met.where("_hot is not null").select(*rows.columns, *(F.col(f"_hot.{c}").alias(c) for c in values))
+    others = met.where("_hot is null").select(*rows.columns)
+    return alone.unionByName(others.join(table, keys, "left").select(*rows.columns, *values))

@@ -1,13 +1,15 @@
 """Near-duplicates of whole documents by MinHash in an LSH forest.
 
-A document's set of word shingles gets TREES * DEPTH minimum hashes. Each tree orders all documents by its own DEPTH hashes, and a
-document's candidates are its neighbours in that order that share a prefix of at least LEAST hashes: as many as WINDOW of them, nearest first, so
-that a crowded region is searched deeper than a sparse one. Regions with more documents than that are searched through once more
-for what neighbours missed. Candidates are confirmed on the full sets, and confirmed links give components.
+A document's set of word shingles gets DEPTH minimum hashes for each tree. Each tree orders all documents by its own hashes, and a document's
+candidates are its WINDOW nearest neighbours on either side in that order, if they share a prefix of hashes with it: few candidates a document, however
+many copies a group has, and with the longest prefixes first, so that a crowded region is compared at a greater depth than a sparse one. Candidates are
+confirmed on the full sets, and confirmed links give components. Regions that then still hold more than one component are searched once more,
+exactly, for links between components. How many trees there are and how long a prefix has to be follows from the similarity.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,17 +17,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, marked, read_documents, stored, without
+from .common import attached, dropped, marked, read_documents, stored, without
 from .components import components
 from .textvec import Words, mixed, shingles, text_chunks
 
-#: A link at J = 0.85 shares a prefix of 4 in one tree with chance 0.522, and in none of 16 with 1 in 100,000.
-TREES, DEPTH, LEAST, WINDOW = 16, 8, 4, 12
-#: Of 128 minimum hashes, a link at J = 0.85 has at least this share in common but for 1 case in a billion (6 standard deviations).
-SKETCH = 0.66
+#: Minimum hashes that a tree orders by; neighbours on either side that are tried; trees, at most, while a prefix can be shorter instead.
+DEPTH, WINDOW, TREES = 8, 2, 16
+#: Chance that a link at the limit shares a long enough prefix in no tree; standard deviations that a sketch may fall short of the limit.
+MISS, SHORT = 2e-5, 6
+#: Minimum hashes of a sketch, at least.
+SKETCH = 128
+
+
+def forest_shape(similarity: int) -> tuple[int, int]:
+    """Trees, and hashes that neighbours have to share, so that links at similarity per cent are missed with a chance of MISS at most.
+
+    The longest prefix (of 4 at most) that TREES trees are enough for; with one hash, as many trees as it takes.
+    """
+    if not 1 <= similarity <= 100:
+        raise ValueError(f"similarity is a percentage from 1 to 100, not {similarity}")
+    for least in (4, 3, 2, 1):
+        alike = (similarity / 100) ** least
+        trees = 1 if alike == 1 else math.ceil(math.log(MISS) / math.log1p(-alike))
+        if trees <= TREES or least == 1:
+            return trees, least
+    raise AssertionError
+
+
+def sketch_limit(similarity: int, hashes: int) -> float:
+    """The share of equal minimum hashes that a link at similarity per cent has but for 1 case in a billion."""
+    s = similarity / 100
+    return max(0.0, s - SHORT * math.sqrt(s * (1 - s) / hashes))
+
+
+def _factors(hashes: int) -> tuple[np.ndarray, np.ndarray]:
+    at = np.arange(1, hashes + 1, dtype=np.uint64)
+    return mixed(at * np.uint64(0x2545F4914F6CDD1D)).astype(np.uint32) | np.uint32(1), mixed(at * np.uint64(0x9FB21C651E98DF25)).astype(np.uint32)
 
-_A = mixed(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D)).astype(np.uint32) | np.uint32(1)
-_B = mixed(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25)).astype(np.uint32)
 
 SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f0", pa.int64()), ("f1", pa.int64()), ("sketch", pa.list_(pa.int64()))])
 
@@ -38,23 +66,25 @@ def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarra
         yield a, np.concatenate(unique), np.concatenate([[0], np.cumsum([len(u) for u in unique])])
 
 
-def _signing(k: int):
+def _signing(k: int, hashes: int):
+    up, on = _factors(hashes)
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, sh, begin in _sets(batch.column("text"), k):
                 n = np.diff(begin)
                 full = np.flatnonzero(n)
                 f = np.zeros((2, len(n)), np.uint64)
-                sketch = np.zeros((len(n), TREES * DEPTH), np.uint16)
+                sketch = np.zeros((len(n), hashes), np.uint16)
                 if len(full):
                     at = begin[:-1][full]
                     f[0, full] = np.add.reduceat(mixed(sh + np.uint64(1)), at)
                     f[1, full] = np.bitwise_xor.reduceat(mixed(sh + np.uint64(2)), at)
                     low = (sh >> np.uint64(32)).astype(np.uint32)
-                    for j in range(TREES * DEPTH):
-                        sketch[full, j] = np.minimum.reduceat(low * _A[j] + _B[j], at) >> np.uint32(3) & np.uint32(0xFFFF)
+                    for j in range(hashes):
+                        sketch[full, j] = np.minimum.reduceat(low * up[j] + on[j], at) >> np.uint32(3) & np.uint32(0xFFFF)
                 ids = batch.column("doc_id").slice(a, len(n))
-                rows = [ids, pa.array(n.astype(np.int64)), *(pa.array(x.view(np.int64)) for x in f), pa.ListArray.from_arrays(np.arange(0, sketch.size // 4 + 1, TREES * DEPTH // 4, dtype=np.int32), sketch.view(np.int64).ravel())]
+                rows = [ids, pa.array(n.astype(np.int64)), *(pa.array(x.view(np.int64)) for x in f), pa.ListArray.from_arrays(np.arange(0, sketch.size // 4 + 1, hashes // 4, dtype=np.int32), sketch.view(np.int64).ravel())]
                 yield pa.RecordBatch.from_arrays(rows, schema=SIGNED)
 
     return sign
@@ -70,12 +100,12 @@ def _shingling(k: int):
     return shingle
 
 
-def _neighbours(tree: np.ndarray, keys: np.ndarray, ids: np.ndarray, fresh: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows, of which the later stands at fresh or behind, at most WINDOW apart with all rows from one to the other sharing tree and LEAST hashes."""
+def _neighbours(tree: np.ndarray, region: np.ndarray, ids: np.ndarray, fresh: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows, of which the later stands at fresh or behind, at most window apart with all rows from one to the other of one tree and region."""
     n, left, right = len(ids), [], []
-    same = (tree[1:] == tree[:-1]) & (keys[1:] == keys[:-1]) if n > 1 else np.zeros(0, bool)
+    same = (tree[1:] == tree[:-1]) & (region[1:] == region[:-1]) if n > 1 else np.zeros(0, bool)
     run = same
-    for o in range(1, WINDOW + 1):
+    for o in range(1, window + 1):
         if not run.any():
             break
         at = np.flatnonzero(run)
@@ -89,8 +119,8 @@ def _neighbours(tree: np.ndarray, keys: np.ndarray, ids: np.ndarray, fresh: int)
 FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("tree", pa.int16()), ("k1", pa.int64()), ("k2", pa.int64()), ("doc_id", pa.int64())])
 
 
-def _searching(edges: bool):
-    """Sorted rows (tree, k1, k2, doc_id) in, candidates a, b out; and, with edges, the partition's first and last WINDOW rows again, for what lies across partitions."""
+def _searching(edges: bool, shift: int, window: int):
+    """Sorted rows (tree, k1, k2, doc_id) in, candidates a, b out; and, with edges, the partition's first and last window rows again, for what lies across partitions."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, head = None, 0
@@ -98,14 +128,14 @@ def _searching(edges: bool):
         as_rows = lambda x: pa.RecordBatch.from_arrays([pa.nulls(len(x[0]), pa.int64()), pa.nulls(len(x[0]), pa.int64()), *(pa.array(c, f.type) for c, f in zip(x, list(FOUND)[2:], strict=True))], schema=FOUND)
         for batch in batches:
             new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("tree", "k1", "k2", "doc_id")]
-            if edges and head < WINDOW and len(new[0]):
-                first = [c[: WINDOW - head] for c in new]
+            if edges and head < window and len(new[0]):
+                first = [c[: window - head] for c in new]
                 head += len(first[0])
                 yield as_rows(first)
             rows = new if kept is None else [np.concatenate(x) for x in zip(kept, new, strict=True)]
-            a, b = _neighbours(rows[0], rows[1], rows[3], len(rows[0]) - len(new[0]))
+            a, b = _neighbours(rows[0], rows[1] >> shift, rows[3], len(rows[0]) - len(new[0]), window)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), *nothing(len(a))], schema=FOUND)
-            kept = [c[-WINDOW:] for c in rows]
+            kept = [c[-window:] for c in rows]
         if edges and kept is not None:
             yield as_rows(kept)
 
@@ -115,53 +145,61 @@ def _searching(edges: bool):
 FOUND_SQL = "a long, b long, tree short, k1 long, k2 long, doc_id long"
 
 
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _agreeing(limit: float):
     """Pairs whose sketches agree often enough to be a link."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        x, y = (batch.column(c).flatten().to_numpy().view(np.uint16).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
-        good = pa.array((x == y).mean(axis=1) >= SKETCH)
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], names=["a", "b"])
+
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (batch.column(c).flatten().to_numpy().view(np.uint16).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
+            good = pa.array((x == y).mean(axis=1) >= limit)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], names=["a", "b"])
+
+    return agree
 
 
 def near_groups(docs: DataFrame, similarity: int = 85, k: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id long, text string).
 
-    Links: at least similarity per cent of two documents' shingles together are in both. A text without words (or null) has an empty set and no links; one with
+    Links: at least similarity per cent of two documents' shingles together are in both; similarity can be any from 1 to 100, and the forest is laid out for it. Shingles are
+    compared by hashes of 64 bits. A text without words (or null) has an empty set and no links; one with
     fewer than k words has its whole sequence as one shingle. component_id is the smallest doc_id that links lead to. Rows that repeat a doc_id are all
     returned; if their texts differ, links are confirmed on the one of them whose set hashes lowest. A null doc_id has no part in links and keeps a null component_id, with kept true. An empty table gives no rows. Other columns are left alone.
     """
+    trees, least = forest_shape(similarity)
+    hashes = max(SKETCH, trees * DEPTH)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = stored(docs.mapInArrow(_signing(k), "doc_id long, n_shingles long, f0 long, f1 long, sketch array<long>"), "signed")
+    signed = stored(docs.mapInArrow(_signing(k, hashes), "doc_id long, n_shingles long, f0 long, f1 long, sketch array<long>"), "signed")
     some = signed.where("n_shingles > 0 and doc_id is not null")
     # equal sets first: one document stands for all of them
     same = stored(some.groupBy("f0", "f1", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sketch").alias("sketch")), "sets")
     few = same.select(F.col("rep").alias("doc_id"), "n_shingles", "sketch")
-    # a hash has 16 bits here, so LEAST of them are the first long of a tree and the deeper ones its second
-    trees = ", ".join(f"named_struct('tree', {j}S, 'k1', sketch[{2 * j}], 'k2', sketch[{2 * j + 1}])" for j in range(TREES))
-    forest = stored(few.select("doc_id", F.inline(F.expr(f"array({trees})"))).select("tree", "k1", "k2", "doc_id"), "forest")
+    # a hash has 16 bits here, so the first long of a tree holds 4 of them; the leading ones are the region
+    rows = ", ".join(f"named_struct('tree', {j}S, 'k1', sketch[{2 * j}], 'k2', sketch[{2 * j + 1}])" for j in range(trees))
+    shift, region = 16 * (4 - least), F.shiftright("k1", 16 * (4 - least)).alias("region")
+    forest = stored(few.select("doc_id", F.inline(F.expr(f"array({rows})"))).select("tree", "k1", "k2", "doc_id"), "forest")
     order = ["tree", "k1", "k2", "doc_id"]
-    found = stored(forest.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_searching(True), FOUND_SQL), "found")
+    found = stored(forest.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_searching(True, shift, WINDOW), FOUND_SQL), "found")
     # rows at the partitions' edges: 2 * WINDOW for each partition, however many rows there are
-    across = found.where("doc_id is not null").select(*order).distinct().coalesce(1).sortWithinPartitions(*order).mapInArrow(_searching(False), FOUND_SQL)
+    across = found.where("doc_id is not null").select(*order).distinct().coalesce(1).sortWithinPartitions(*order).mapInArrow(_searching(False, shift, WINDOW), FOUND_SQL)
     candidates = found.where("a is not null").select("a", "b").unionByName(across.where("a is not null").select("a", "b")).where("a <> b").distinct()
-    links = _confirmed(candidates, few, docs, similarity, k)
+    links = _confirmed(candidates, few, docs, similarity, k, hashes)
     joined = stored(components(links), "components")
-    # crowded regions: where neighbours have left more than one component, all pairs of components are searched exactly
-    crowded = forest.groupBy("tree", "k1").agg(F.count("*").alias("n")).where(f"n > {WINDOW + 1}").select("tree", "k1")
-    crowd = forest.join(crowded, ["tree", "k1"]).select("tree", "k1", "doc_id").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    # regions in which neighbours have left more than one component are searched exactly for links between these
+    crowded = forest.groupBy("tree", region).agg(F.count("*").alias("n")).where(f"n > {WINDOW + 1}").select("tree", "region")
+    crowd = forest.select("tree", region, "doc_id").join(crowded, ["tree", "region"]).join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     crowd = stored(crowd.withColumn("component", F.coalesce("component", "doc_id")), "crowd")
-    split = crowd.groupBy("tree", "k1").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("tree", "k1")
-    open_ = stored(crowd.join(split, ["tree", "k1"]).select("doc_id", "component").distinct(), "open")
+    split = crowd.groupBy("tree", "region").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("tree", "region")
+    open_ = stored(crowd.join(split, ["tree", "region"]).select("doc_id", "component").distinct(), "open")
     missed = _across(open_, docs, similarity, k).join(candidates, ["a", "b"], "left_anti")
-    more = _confirmed(missed, few, docs, similarity, k)
+    more = _confirmed(missed, few, docs, similarity, k, hashes)
     if not more.isEmpty():
         joined = stored(components(links.unionByName(more)), "components")
     dropped(forest, found, crowd, open_)
     whole = same.join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-    whole = whole.where("copies > 1 or component is not null").select("f0", "f1", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "f0", "f1").join(whole, ["f0", "f1", "n_shingles"], "left")
+    whole = stored(whole.where("copies > 1 or component is not null").select("f0", "f1", "n_shingles", "copies", F.coalesce("component", "rep").alias("component_id")), "near-sets")
+    out = attached(signed.select("doc_id", "n_shingles", "f0", "f1"), whole, ["f0", "f1", "n_shingles"], "copies")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
@@ -188,21 +226,24 @@ def _across(open_: DataFrame, docs: DataFrame, similarity: int, k: int) -> DataF
     first = F.slice("order", F.lit(1), F.expr(f"cast(n - ceil(n * {similarity}L / 100D - 1e-9D) + 1 as int)"))
     front = ranked.select("doc_id", "n", F.posexplode(first).alias("at", "o"))
     front = stored(front.where("o.often > 1").select("doc_id", "n", "at", F.col("o.t").alias("t")).join(open_, "doc_id"), "fronts")
-    shared = front.groupBy("t").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("t")
-    rows = front.join(shared, "t")
-    left, right = (rows.select("t", F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at{x}"), F.col("component").alias(f"c{x}")) for x in "ab")
+    # of a shingle's documents, those of its largest component aren't tried with each other
+    sizes = front.groupBy("t", "component").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("t").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("c")).where("c > 1").select("t", F.col("m.component").alias("main"))
+    rows = front.join(main, "t")
+    left, right = (rows.select("t", "main", F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at{x}"), F.col("component").alias(f"c{x}")) for x in "ab")
     # behind the first shingle that both have, each has at most n - at - 1 more; with too few for a link this is no first one of a link
-    near = f"a < b and ca <> cb and {100 + similarity} * least(na - ata, nb - atb) >= {similarity} * (na + nb)"
-    pairs = stored(left.join(right, "t").where(near).select("a", "b").distinct(), "across")
+    near = f"ca <> cb and (cb = main or a < b) and {100 + similarity} * least(na - ata, nb - atb) >= {similarity} * (na + nb)"
+    tried = left.where("ca <> main").join(right.drop("main"), "t").where(near)
+    pairs = stored(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "across")
     dropped(sets, front)
     return pairs
 
 
-def _confirmed(pairs: DataFrame, few: DataFrame, docs: DataFrame, similarity: int, k: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, few: DataFrame, docs: DataFrame, similarity: int, k: int, hashes: int) -> DataFrame:
     """The pairs (a, b) that are links, by their full sets of shingles. What sizes and sketches rule out isn't looked at."""
     ends = {e: few.select(F.col("doc_id").alias(e), F.col("n_shingles").alias(f"n{e}"), F.col("sketch").alias(f"s{e}")) for e in "ab"}
     near = pairs.join(ends["a"], "a").join(ends["b"], "b").where(f"100 * least(na, nb) >= {similarity} * greatest(na, nb)")
-    near = stored(near.select("a", "b", "sa", "sb").mapInArrow(_agreeing, "a long, b long"), "near")
+    near = stored(near.select("a", "b", "sa", "sb").mapInArrow(_agreeing(sketch_limit(similarity, hashes)), "a long, b long"), "near")
     nodes = stored(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct(), "near-nodes")
     sets = _set_table(nodes, docs, k)
     both = near.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("xa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("xb")), "b")

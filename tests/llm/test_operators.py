@@ -66,7 +66,7 @@ def joined(n, links):
     return [root(k) for k in range(n)]
 
 
-@pytest.mark.parametrize(("window", "similarity"), [(12, 85), (2, 85), (1, 80)])
+@pytest.mark.parametrize(("window", "similarity"), [(12, 85), (2, 85), (1, 80), (2, 95), (2, 60), (2, 45)])
 def test_near_groups_equal_brute_force(spark, corpus, monkeypatch, window, similarity):
     monkeypatch.setattr(near_dedup, "WINDOW", window)
     sets = shingle_sets(corpus)
@@ -78,6 +78,37 @@ def test_near_groups_equal_brute_force(spark, corpus, monkeypatch, window, simil
     assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
 
 
+def test_near_groups_find_every_link_of_the_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = [r.text or "" for r in docs.orderBy("doc_id").collect()]
+    ids = [r.doc_id for r in docs.select("doc_id").orderBy("doc_id").collect()]
+    sets = shingle_sets(texts)
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and 100 * min(len(sets[a]), len(sets[b])) >= 85 * max(len(sets[a]), len(sets[b])) and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    want = joined(len(ids), links)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(docs).collect()}
+    assert [got[i] for i in ids] == [ids[k] for k in want]
+
+
+def test_forest_shape_follows_the_similarity():
+    for similarity in range(1, 101):
+        trees, least = near_dedup.forest_shape(similarity)
+        assert (1 - (similarity / 100) ** least) ** trees <= near_dedup.MISS and 1 <= least <= 4
+    assert near_dedup.forest_shape(85) == (15, 4) and near_dedup.sketch_limit(85, 128) < 0.67
+    with pytest.raises(ValueError):
+        near_dedup.forest_shape(0)
+
+
+def test_attached_deals_hot_keys_apart(spark, monkeypatch):
+    from orevein.llm import common
+
+    rows = spark.createDataFrame([(i, 1 if i % 3 else i) for i in range(3000)] + [(-1, None)], "doc_id long, k long")
+    table = rows.where("k is not null").groupBy("k").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))
+    for hot in (1, 50, 1000):
+        monkeypatch.setattr(common, "HOT", hot)
+        got = {r.doc_id: (r.n, r.least) for r in common.attached(rows, table.where("n > 1"), ["k"], "n").collect()}
+        assert got == {i: (2000, 1) if i % 3 else (None, None) for i in range(3000)} | {-1: (None, None)}
+
+
 def test_near_groups_odd(odd, empty):
     rows = near_dedup.near_groups(odd).collect()
     assert len(rows) == 10 and {r.n_shingles for r in rows if r.doc_id in (2, 3, 4)} == {0}
