@@ -23,11 +23,26 @@ from .common import read_documents
 #: Where the model is. Chunks whose encoding a worker remembers, at most, before it begins anew. Characters of new chunks that are matched at once; a longer chunk is matched alone.
 MODEL, REMEMBERED, MATCHED = "/opt/tokenizers/piece_bpe_32k.model", 400_000, 150_000
 SPACE = "▁"
+#: Bits of a character.
+BITS = 21
 #: Behind each chunk; no character.
 END = 0x110000
 _models: dict = {}
 
 
+def _threes(characters: np.ndarray) -> np.ndarray:
+    """Each character with the two behind it as one number, which orders as they do."""
+    return characters[:-2] << 2 * BITS | characters[1:-1] << BITS | characters[2:]
+
+
+class _Numbers(dict):
+    """Numbers for keys, in the order in which they are first asked for."""
+
+    def __missing__(self, key) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 class Pieces:
     """A BPE model's pieces, and encodings by them. Needs a model that keeps white space, puts one space in front and falls back on bytes."""
 
@@ -64,16 +79,18 @@ class Pieces:
         self.whole = np.array([joined[x] for x in sorted(joined)], np.int64)
         self.longest = max(len(text[i]) for i in self.real)
         self.length = np.zeros(self.size, np.int64)
-        self.matrix = np.zeros((len(self.real), self.longest), np.int32)
+        wide = -(-self.longest // 3) * 3
+        matrix = np.zeros((len(self.real), wide + 2), np.int64)
         for k, i in enumerate(self.real):
             self.length[i] = len(text[i])
-            self.matrix[k, : len(text[i])] = np.frombuffer(text[i].encode("utf-32-le"), np.int32)
+            matrix[k, : len(text[i])] = np.frombuffer(text[i].encode("utf-32-le"), np.int32)
+        self.threes = _threes(matrix.T)[:wide:3].T.copy()  # each real piece in threes of characters, zeros behind its end
         self.single = np.zeros(END + 1, bool)
         self.single[[ord(text[i]) for i in self.real if len(text[i]) == 1] + [END]] = True
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Numbers()
         self.ids, self.begin = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def merged(self, text: str, until: int = 1) -> list[str]:
@@ -111,40 +128,46 @@ class Pieces:
             y[live] = np.where(first, y[live], self.left[y[live]])
         return good[back]
 
-    def _suffixes(self, text: np.ndarray) -> np.ndarray:
-        """Suffixes of text in the order of their first `longest` characters, by doubling."""
-        rank, width = text.astype(np.int64), 1
+    def _suffixes(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Suffixes of text in the order of their first `longest` characters, by doubling; the threes of characters in text, and which of them is where."""
+        n = len(text)
+        threes, at = np.unique(_threes(np.concatenate([text, np.zeros(self.longest + 5, text.dtype)]).astype(np.int64)), return_inverse=True)
+        rank, width = at[:n], 3
         while True:
-            order = np.argsort(rank, kind="stable")
-            ordered = rank[order]
-            rank = np.empty(len(text), np.int64)
-            rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
-            if width >= self.longest or rank[order[-1]] == len(text) - 1:
-                return order
-            behind = np.zeros(len(text), np.int64)
+            behind = np.zeros(n, np.int64)
             behind[:-width] = rank[width:] + 1
-            rank, width = rank * (len(text) + 2) + behind, width * 2
-
-    def _ranges(self, text: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where in the suffix array the suffixes with each real piece in front begin and end."""
-        padded = np.concatenate([text, np.zeros(self.longest, text.dtype)])
-        wide, columns = self.length[self.real], np.arange(self.longest)
-        inside = columns < wide[:, None]
-
-        def bound(upper: bool) -> np.ndarray:
-            low, high = np.zeros(len(wide), np.int64), np.full(len(wide), len(order))
-            while (open_ := low < high).any():
-                middle = (low + high) // 2
-                suffix = padded[order[np.minimum(middle, len(order) - 1)][:, None] + columns]
-                differs = (suffix != self.matrix) & inside
-                first = differs.argmax(axis=1)
-                rows = np.arange(len(wide))
-                equal = ~differs[rows, first]
-                below = np.where(equal, upper, suffix[rows, first] < self.matrix[rows, first])
-                low, high = np.where(open_ & below, middle + 1, low), np.where(open_ & ~below, middle, high)
-            return low
-
-        return bound(False), bound(True)
+            key = rank * (n + self.longest + 7) + behind
+            order = np.argsort(key)
+            width *= 2
+            if width >= self.longest:
+                return order, threes, at
+            ordered = key[order]
+            rank = np.empty(n, np.int64)
+            rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
+
+    def _ranges(self, order: np.ndarray, threes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in the suffix array the suffixes with each real piece in front begin and end, by binary search for three characters at a time.
+
+        Suffixes with the same threes so far are one group; a piece is searched for in the group that it has come to, with its next three, or with all that begin with its last one or two.
+        """
+        low, high = np.zeros(len(self.real), np.int64), np.zeros(len(self.real), np.int64)
+        live, mine, group = np.arange(len(self.real)), np.zeros(len(self.real), np.int64), np.zeros(len(order), np.int64)
+        wide = self.length[self.real]
+        for level in range(self.threes.shape[1]):
+            key = group * len(threes) + at[order + 3 * level]
+            code, rest = self.threes[live, level], np.minimum(wide[live] - 3 * level, 3)
+            first, last = np.searchsorted(threes, code), np.searchsorted(threes, code + (np.int64(1) << BITS * (3 - rest)))
+            low[live] = np.searchsorted(key, mine * len(threes) + first)
+            high[live] = np.searchsorted(key, mine * len(threes) + last)
+            group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])) if len(key) else group
+            longer = wide[live] > 3 * (level + 1)
+            go = longer & (low[live] < high[live])
+            high[live[longer & ~go]] = low[live[longer & ~go]]
+            live = live[go]
+            mine = group[low[live]]
+            if not len(live):
+                break
+        return low, high
 
     def _learn(self, chunks: list[str]) -> None:
         """Encode chunks that aren't known yet, and add them to ids and begin."""
@@ -154,8 +177,8 @@ class Pieces:
         inside = np.ones(len(text), bool)
         inside[start + lengths] = False
         text[inside] = np.frombuffer("".join(chunks).encode("utf-32-le"), np.int32)
-        order = self._suffixes(text)
-        low, high = self._ranges(text, order)
+        order, threes, at = self._suffixes(text)
+        low, high = self._ranges(order, threes, at)
         n = high - low
         # an edge for each occurrence, and one for each character that is no piece
         odd = np.flatnonzero(~self.single[text])
@@ -189,10 +212,14 @@ class Pieces:
             live = live[at[live] > start[live]]
         place = np.flatnonzero(token >= 0)
         tokens, owner = token[place], np.repeat(np.arange(len(chunks)), lengths + 1)[place]
-        if (tokens >= self.size).any():
-            each = [[t] if t < self.size else [self.byte[b] for b in chr(t - self.size).encode()] for t in tokens.tolist()]
-            owner = np.repeat(owner, [len(e) for e in each])
-            tokens = np.fromiter((x for e in each for x in e), np.int64)
+        odd = np.flatnonzero(tokens >= self.size)
+        if len(odd):  # characters that are no piece become their bytes
+            each = [[self.byte[b] for b in chr(t - self.size).encode()] for t in tokens[odd].tolist()]
+            times = np.ones(len(tokens), np.int64)
+            times[odd] = np.fromiter(map(len, each), np.int64, len(each))
+            begin = (np.cumsum(times) - times)[odd]
+            tokens, owner = np.repeat(tokens, times), np.repeat(owner, times)
+            tokens[np.concatenate([np.arange(a, a + len(e)) for a, e in zip(begin.tolist(), each, strict=True)])] = list(itertools.chain.from_iterable(each))
         count = np.bincount(owner, minlength=len(chunks))
         self.ids = np.concatenate([self.ids, tokens.astype(np.int32)])
         self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(count)])
@@ -203,7 +230,7 @@ class Pieces:
             self.forget()
         known, had = self.known, len(self.known)
         cut = re.compile(f"{SPACE}+[^{SPACE}]*").findall
-        found = [np.fromiter((known.setdefault(c, len(known)) for c in cut(SPACE + t.replace(" ", SPACE))), np.int64) if t else np.zeros(0, np.int64) for t in texts]
+        found = [np.fromiter(map(known.__getitem__, cut(SPACE + t.replace(" ", SPACE))), np.int64) if t else np.zeros(0, np.int64) for t in texts]
         part, total = [], 0
         for c in itertools.islice(known, had, None):
             if part and total + len(c) > MATCHED:
