@@ -68,6 +68,23 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def scan(values: Column, zero: Column, op) -> Column:
+    """For each place of an array, op over all values before it. op is associative, and zero is neutral to it.
+
+    By stretches of the root of the array's size: a fold that makes an array copies it at every step, and so none gets long.
+    """
+
+    def before(x: Column) -> Column:
+        return F.slice(F.aggregate(x, F.array(zero), lambda found, y: F.array_append(found, op(F.element_at(found, -1), y))), F.lit(1), F.size(x))
+
+    def of(v: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(v))).cast("int")
+        stretches = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / width).cast("int")), lambda k: F.slice(v, k * width + 1, width))
+        return let(stretches, lambda all_: F.flatten(F.zip_with(all_, before(F.transform(all_, lambda x: F.aggregate(x, zero, op))), lambda x, upto: F.transform(before(x), lambda y: op(upto, y)))))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, of(v)).otherwise(F.array().cast("array<int>")))
+
+
 def words_of(text: Column) -> Column:
     """The words of a text, in order; empty for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE, -1), lambda w: w != "")
@@ -103,12 +120,20 @@ def marked(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
     return found.where(F.expr(_HIT)).drop("_at", "_word", "_bits")
 
 
-def without(df: DataFrame, key: Column, keys: DataFrame, drop) -> DataFrame:
-    """df with drop() applied to the rows whose key may be among keys.key; the others, null keys too, pass by it unshuffled."""
-    at = df.withColumn("_at", F.pmod(key, F.lit(BITMAP_WORDS * 64)))
-    bits = stored(_bitmap(keys), "bitmap")
-    flagged = at.join(F.broadcast(bits), F.shiftright("_at", 6) == F.col("_word"), "left")
-    return flagged.where(~F.expr(_HIT)).select(df.columns).unionByName(drop(flagged.where(F.expr(_HIT)).select(df.columns)))
+def without(df: DataFrame, key: Column, gone: DataFrame, also: dict[str, Column] | None = None) -> DataFrame:
+    """df without the rows whose key (long) is gone.key, and for which gone's columns named in also equal the expressions given there.
+
+    gone: distinct rows, written down. Rows that can't be among them pass by unshuffled, those with a null key too. An outer join, as the optimizer would
+    move an anti join below the bitmap.
+    """
+    also = also or {}
+    at = df.withColumn("_wo_key", key).withColumn("_at", F.pmod("_wo_key", F.lit(BITMAP_WORDS * 64)))
+    flagged = at.join(F.broadcast(stored(_bitmap(gone), "bitmap")), F.shiftright("_at", 6) == F.col("_word"), "left")
+    maybe = flagged.where(F.expr(_HIT)).select("*", *(e.alias(f"_wo{j}") for j, e in enumerate(also.values())))
+    marks = gone.select(F.col("key").alias("_wo_gone"), *(F.col(c).alias(f"_wo_gone{j}") for j, c in enumerate(also)), F.lit(True).alias("_wo_is"))
+    same = [F.col("_wo_key") == F.col("_wo_gone"), *(F.col(f"_wo{j}") == F.col(f"_wo_gone{j}") for j in range(len(also)))]
+    kept = maybe.join(marks, same, "left").where("_wo_is is null")
+    return flagged.where(~F.expr(_HIT)).select(*(df[c] for c in df.columns)).unionByName(kept.select(*(df[c] for c in df.columns)))
 
 
 #: A key with more than one in so many rows is hot; so there are fewer hot keys than this.

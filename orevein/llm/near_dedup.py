@@ -256,7 +256,7 @@ def _confirmed(pairs: DataFrame, few: DataFrame, docs: DataFrame, similarity: in
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs that near_groups() keeps, as they were."""
     gone = stored(near_groups(docs, **how).where("not kept").select(F.col("doc_id").alias("key")).distinct(), "near-copies")
-    return without(docs, F.col("doc_id").cast("long"), gone, lambda rows: rows.join(gone, rows["doc_id"].cast("long") == gone["key"], "left_anti"))
+    return without(docs, F.col("doc_id").cast("long"), gone)
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
