@@ -3,7 +3,8 @@
 A batch of changes becomes signed rows: an insert adds a document's tokens, a delete takes away what the ledger holds of it, a revision does both. The
 rows' sums by source, language and tokenizer version are the batch's delta, and totals are sums of deltas; nothing is ever recounted. A
 batch is written aside and takes effect by one rename to a folder named after it, so a batch that is committed again, or
-whose job died halfway, counts once.
+whose job died halfway, counts once. Every COMPACT batches, what they come to is written as one generation, which takes effect by one rename too
+and knows the names of the batches in it.
 """
 
 from __future__ import annotations
@@ -17,14 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, new_path, read_documents
+from .common import filesystem, marked, new_path, read_documents, stored
 
 #: Where the vocabulary is, the version that counts are kept under, and the pattern that parts text for it.
 VOCABULARY, VERSION = "/opt/tokenizers/byte_bpe_50k.tiktoken", "byte_bpe_50k/1"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Batches that set off a compaction. Stands for a null doc_id in keys.
+COMPACT, NO_ID = 16, -(1 << 63)
 KEYS = ["source", "lang", "tokenizer"]
 ROWS = "doc_id long, source string, lang string, tokenizer string, documents long, tokens long"
+DELTA = "source string, lang string, tokenizer string, documents long, tokens long"
 _encodings: dict = {}
 
 
@@ -56,14 +60,45 @@ class TokenRollup:
     def __init__(self, spark: SparkSession, root: str, vocabulary: str = VOCABULARY, version: str = VERSION, pattern: str = PATTERN):
         self.spark, self.root, self.version, self.count = spark, root, version, _counting(vocabulary, pattern)
 
-    def batches(self) -> list[str]:
-        fs, at = filesystem(self.spark, f"{self.root}/batches")
+    def _names(self, folder: str) -> list[str]:
+        fs, at = filesystem(self.spark, f"{self.root}/{folder}")
         return sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
 
+    def _generation(self) -> tuple[str | None, set[str]]:
+        """Path of the latest generation, and the names of the batches that are in it."""
+        found = self._names("generations")
+        if not found:
+            return None, set()
+        path = f"{self.root}/generations/{found[-1]}"
+        return path, {r.name for r in self.spark.read.schema("name string").parquet(f"{path}/names").collect()}  # a name for each batch ever applied
+
+    def batches(self) -> list[str]:
+        """Names of all batches that have been applied."""
+        return sorted({*self._names("batches"), *self._generation()[1]})
+
     def _read(self, what: str, schema: str) -> DataFrame:
-        found = [f"{self.root}/batches/{b}/{what}" for b in self.batches()]
+        path, inside = self._generation()
+        found = [f"{self.root}/batches/{b}/{what}" for b in self._names("batches") if b not in inside] + ([f"{path}/{what}"] if path else [])
         return self.spark.read.schema(schema).parquet(*found) if found else self.spark.createDataFrame([], schema)
 
+    def compact(self) -> None:
+        """One generation in place of all batches so far; totals and later deletes don't change by it. A job that dies leaves everything as it was."""
+        live = self._names("batches")
+        names = self.batches()
+        aside = f"{self.root}/aside/generation-{uuid.uuid4().hex}"
+        sums = [F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")]
+        some = "documents <> 0 or tokens <> 0"
+        self._read("rows", ROWS).groupBy("doc_id", *KEYS).agg(*sums).where(some).select(*(c.split()[0] for c in ROWS.split(", "))).write.parquet(f"{aside}/rows")
+        self._read("delta", DELTA).groupBy(*KEYS).agg(*sums).where(some).write.parquet(f"{aside}/delta")
+        self.spark.createDataFrame([(n,) for n in names], "name string").coalesce(1).write.parquet(f"{aside}/names")
+        fs, new = filesystem(self.spark, f"{self.root}/generations/{len(names):09d}")
+        fs.mkdirs(new.getParent())
+        if not fs.rename(filesystem(self.spark, aside)[1], new):
+            fs.delete(filesystem(self.spark, aside)[1], True)
+            return
+        for b in live:
+            fs.delete(filesystem(self.spark, f"{self.root}/batches/{b}")[1], True)
+
     def counted(self, docs: DataFrame) -> DataFrame:
         """ROWS for docs (doc_id, text, source, lang). A null or empty text has no tokens; null sources and languages are keys of their own."""
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
@@ -72,8 +107,10 @@ class TokenRollup:
 
     def taken_back(self, ids: DataFrame) -> DataFrame:
         """ROWS that cancel all the ledger holds of the documents in ids (doc_id). An id it doesn't hold cancels nothing, a repeated one once; a null id is the null id of inserts."""
-        gone = ids.select(F.col("doc_id").cast("long").alias("_gone")).distinct()
-        held = self._read("rows", ROWS).join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_semi")
+        gone = stored(ids.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key")).distinct(), "taken-back")
+        at = F.coalesce("doc_id", F.lit(NO_ID))
+        # rows that can't be among them don't move
+        held = marked(self._read("rows", ROWS), at, gone).withColumn("_id", at).join(gone, F.col("_id") == F.col("key"), "left_semi")
         sums = held.groupBy("doc_id", *KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")).where("documents <> 0 or tokens <> 0")
         return sums.select("doc_id", *KEYS, (-F.col("documents")).alias("documents"), (-F.col("tokens")).alias("tokens"))
 
@@ -86,7 +123,7 @@ class TokenRollup:
         if not re.fullmatch(r"[\w.-]+", batch):
             raise ValueError(f"not a batch's name: {batch!r}")
         fs, done = filesystem(self.spark, f"{self.root}/batches/{batch}")
-        if fs.exists(done):
+        if batch in self.batches():
             return False
         parts = [self.counted(x) for x in (inserts, revisions) if x is not None] + [self.taken_back(x) for x in (deletes, revisions) if x is not None]
         aside = f"{self.root}/aside/{batch}-{uuid.uuid4().hex}"
@@ -100,17 +137,27 @@ class TokenRollup:
         if not fs.rename(filesystem(self.spark, aside)[1], done):
             fs.delete(filesystem(self.spark, aside)[1], True)
             return False
+        if len(self._names("batches")) >= COMPACT:
+            self.compact()
         return True
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, documents, tokens; keys of which nothing is left are gone."""
-        deltas = self._read("delta", "source string, lang string, tokenizer string, documents long, tokens long")
+        deltas = self._read("delta", DELTA)
         return deltas.groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")).where("documents <> 0 or tokens <> 0")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after all documents have come in as one batch, which is committed a second time to no effect."""
+    """Totals of all documents after three batches of inserts, deletes and revisions, of which one is committed a second time.
+
+    A third of the documents comes in, goes and comes again; a third comes in as a draft (of other length, from another source) and is revised; a third comes in once.
+    """
     rollup, docs = TokenRollup(spark, new_path(spark, "token-rollup")), read_documents(spark, sf_dir)
-    rollup.commit("documents", inserts=docs)
-    rollup.commit("documents", inserts=docs)
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(3))
+    returning, revised, plain = (docs.where(part == k) for k in range(3))
+    drafts = revised.withColumn("text", F.concat_ws("\n", "text", F.lit("This is a draft."))).withColumn("source", F.lit("drafts"))
+    rollup.commit("1-first", inserts=returning.unionByName(drafts))
+    rollup.commit("2-second", inserts=plain, deletes=returning.select("doc_id"))
+    rollup.commit("3-third", inserts=returning, revisions=revised)
+    rollup.commit("2-second", inserts=plain, deletes=returning.select("doc_id"))
     return rollup.totals()
