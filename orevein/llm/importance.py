@@ -1,7 +1,8 @@
 """Quality classifier by importance resampling.
 
 Two generative models of hashed word n-grams, one of the texts labelled good and one of all texts, give every document a weight: the
-ratio of its likelihoods. Gumbel noise on the logarithms and a top-k is a sample without replacement in proportion to the weights. k is
+ratio of its likelihoods, for a stretch of it of a fixed length, as that of whole texts grows with their length until no noise matters. Gumbel noise on the
+logarithms and a top-k is a sample without replacement in proportion to the weights: far from the cut weights decide, near it chance does. k is
 the number of documents whose weight is above the cut that tells labelled good and bad ones apart best, of those labelled that no
 model has seen as targets, unless k is given.
 """
@@ -25,6 +26,10 @@ BUCKETS, MOST_LABELLED = 1 << 15, 20_000
 EVENS = 10
 #: A good document lost counts as so many bad ones kept, both as shares, where the cut is chosen.
 LOSS = 4.0
+#: N-grams of the stretch that a weight is of; n-grams that say nothing, added to a text's own, so that a short text weighs little.
+STRETCH, PRIOR = 200, 200
+#: Labelled documents are dealt into so many parts by their hash: those below TARGET may be targets, that at JUDGED sets the cut, and the rest is never looked at.
+PARTS, TARGET, JUDGED = 4, 2, 2
 #: Steps that keys are compared in: a millionth.
 STEP = 1 << 20
 
@@ -60,8 +65,8 @@ def _scoring(ratio: np.ndarray, columns: list[str]):
         for batch in batches:
             for a, b, data, bounds in text_chunks(batch.column("text")):
                 gram, doc = _grams(Words(data, bounds))
-                sums = np.bincount(doc, weights=ratio[gram], minlength=b - a)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in columns), pa.array(sums)], names=[*columns, "log_weight"])
+                sums, n = np.bincount(doc, weights=ratio[gram], minlength=b - a), np.bincount(doc, minlength=b - a)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in columns), pa.array(STRETCH * sums / (n + PRIOR))], names=[*columns, "log_weight"])
 
     return score
 
@@ -101,8 +106,8 @@ class Resampler:
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         known = labels.where("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("_known"), (F.col("quality") == 1).alias("good")).distinct()
         known = known.withColumn("_hash", F.xxhash64("_known", F.lit(seed))).orderBy("_hash", "good").limit(most_labelled)
-        known = known.select("_known", "good", (F.col("_hash") % 2 == 0).alias("seen"))
-        targets = known.where("good and seen").select("_known")  # most_labelled ids at most are broadcast
+        known = known.select("_known", "good", F.pmod("_hash", F.lit(PARTS)).alias("part"))
+        targets = known.where(f"good and part < {TARGET}").select("_known")  # most_labelled ids at most are broadcast
         flagged = docs.join(F.broadcast(targets), F.col("doc_id") == F.col("_known"), "left").select("text", F.col("_known").isNotNull().alias("target"))
         counts = flagged.mapInArrow(_counting, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
         raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
@@ -113,7 +118,8 @@ class Resampler:
         self.ratio = np.log((target + EVENS) / (expected + EVENS))
         self.scored = stored(self.with_key(docs, "doc_id long, log_weight double", ["doc_id"]), "weights")
         if k is None:
-            judged = self.scored.join(F.broadcast(known.where("not seen")), F.col("doc_id") == F.col("_known")).select("good", "log_weight").limit(2 * most_labelled).collect()
+            judges = known.where(f"part = {JUDGED}").select("_known", "good")
+            judged = self.scored.join(F.broadcast(judges), F.col("doc_id") == F.col("_known")).groupBy("_known", "good").agg(F.avg("log_weight").alias("log_weight")).collect()  # most_labelled rows at most
             cut = best_cut([r.log_weight for r in judged if r.good], [r.log_weight for r in judged if not r.good])
             k = self.scored.where(F.col("log_weight") > cut).count()
         self.least = None if k <= 0 else kth_largest(self.scored, "_key", k) if k < self.scored.count() else -(1 << 60)
@@ -131,10 +137,10 @@ class Resampler:
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, most_labelled: int = MOST_LABELLED, seed: int = 3) -> DataFrame:
     """doc_id, log_weight, key, kept for every row of docs (doc_id long, text); labels: doc_id, quality (1: good, 0: bad).
 
-    A null or empty text has weight 1 (log_weight 0) and stands where that puts it. Repeated rows have the same key; rows whose key
+    log_weight is that of a stretch of STRETCH n-grams. A null or empty text has weight 1 (log_weight 0) and stands where that puts it. Repeated rows have the same key; rows whose key
     equals the k-th are all kept. Without good labels every text weighs 1; without good and bad ones the cut is at 1, above which
     nothing may be. A document labelled both ways is both. An empty table gives no rows. Other columns are left alone. Models count every row of docs;
-    only labelled rows are bounded, by most_labelled of those with the smallest hash: one half makes the target, the other the cut.
+    only labelled rows are bounded, by most_labelled of those with the smallest hash: one half makes the target, a quarter the cut, and a quarter is left to judge by.
     """
     fitted = Resampler(docs, labels, k, most_labelled, seed)
     return fitted.scored.select("doc_id", "log_weight", "key", fitted.kept().alias("kept"))
