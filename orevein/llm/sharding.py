@@ -2,24 +2,28 @@
 
 Records are put in the order of (hash of the text, doc_id). A size-weighted sample of these keys gives
 splitters at equal steps of the sampled size; every record goes to the range between two of them. Ranges
-are counted exactly, overfull ones get splitters of their own from a second, denser sample, and the
+are counted exactly, overfull ones get splitters of their own from denser samples until none is overfull, and the
 exact running size over ranges and within each range puts every record into one of the shards. Sizes of shards
 thus differ by about one record, whatever the sample's luck; the sample only decides how evenly the work is dealt.
+Splitters and totals of ranges are tables of MOST_RANGES rows or a few times as many, whatever the input.
 """
 
 from __future__ import annotations
 
-import math
+import json
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import let, stored
 
-#: Ranges for each shard, at least; rows of a range that are aimed at; sampled keys for each range.
-RANGES_A_SHARD, ROWS_A_RANGE, KEYS_A_RANGE = 4, 1_000_000, 40
-#: A range is overfull with so many times the mean size.
-OVERFULL = 2.0
+#: Ranges for each shard, at least; rows of a range that are aimed at; ranges, at most (above ROWS_A_RANGE times as many rows, ranges get longer); sampled keys for each range.
+RANGES_A_SHARD, ROWS_A_RANGE, MOST_RANGES, KEYS_A_RANGE = 4, 1_000_000, 4096, 40
+#: A range is overfull with so many times the mean size, unless a single record makes it so. Rounds of subdivision, at most: the next sample is the denser the fuller a range is, so one is the rule.
+OVERFULL, ROUNDS = 2.0, 8
+#: Splitters in a group: a key is counted in among the groups' first ones, and then within a group.
+GROUP = 64
+KEY = ["h", "i", "u"]
 
 
 def record_size(text: Column) -> Column:
@@ -27,48 +31,38 @@ def record_size(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long")
 
 
-def _key(h: str, i: str) -> Column:
-    return F.struct(F.col(h).alias("h"), F.col(i).alias("i"))
+def _sampled(keys: DataFrame, total: float, n_ranges: int, seed: int) -> DataFrame:
+    """KEY of splitters at equal steps of size, of a sample that takes a key with a chance in proportion to its size.
 
-
-def _sampled(keys: DataFrame, total: float, n_ranges: int, seed: int) -> list[tuple]:
-    """Splitters at equal steps of size, of a sample that takes a key with a chance in proportion to its size.
-
-    The sample holds KEYS_A_RANGE * n_ranges keys on average, whatever the input's length. Its chance comes from
+    The sample holds KEYS_A_RANGE * n_ranges keys on average, whatever the input's length; these alone go through one task. Its chance comes from
     a hash of the key, so that a task run again draws the same sample.
     """
     step = total / (n_ranges * KEYS_A_RANGE)
-    u = F.pmod(F.xxhash64("h", "i", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    drawn = keys.where(u < F.col("size") / step).select("h", "i", F.greatest("size", F.lit(step)).alias("w")).collect()
-    drawn.sort(key=lambda r: (r.h, r.i is not None, r.i or 0))
-    share, at, out = sum(r.w for r in drawn) / n_ranges, 0.0, []
-    for r in drawn:
-        at += r.w
-        if at >= share * (len(out) + 1) and len(out) < n_ranges - 1 and (not out or out[-1] != (r.h, r.i)):
-            out.append((r.h, r.i))
-    return out
-
-
-def _range_of(splitters: list[tuple]) -> Column:
-    """The number of splitters below the key: counted among every k-th first, then between two of those."""
-    if not splitters:
-        return F.lit(0)
-    k = max(1, math.isqrt(len(splitters)))
-    groups = [splitters[j : j + k] for j in range(0, len(splitters), k)]
-
-    def literal(s: tuple) -> str:
-        return f"named_struct('h', {s[0]}L, 'i', {'cast(null as bigint)' if s[1] is None else f'{s[1]}L'})"
-
-    # -9223372036854775808L is no literal of SQL; a splitter at the very first key parts nothing
-    heads = F.expr("array(" + ", ".join(literal(g[0]) for g in groups) + ")")
-    rest = F.expr("array(" + ", ".join("array(" + ", ".join(map(literal, g)) + ")" for g in groups) + ")")
-    group = F.size(F.filter(heads, lambda s: s < _key("h", "i")))
-    inner = F.size(F.filter(F.element_at(rest, group), lambda s: s < _key("h", "i")))
-    return F.when(group == 0, 0).otherwise((group - 1) * k + inner)
+    u = F.pmod(F.xxhash64(*KEY, F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    drawn = keys.where(u < F.col("size") / step).select(*KEY, F.greatest("size", F.lit(step)).alias("w"))
+    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    upto = drawn.select(*KEY, "w", F.sum("w").over(Window.orderBy(*KEY).rowsBetween(Window.unboundedPreceding, 0)).alias("at"), (F.sum("w").over(every) / n_ranges).alias("share"))
+    return upto.where(F.floor(F.col("at") / F.col("share")) > F.floor((F.col("at") - F.col("w")) / F.col("share"))).select(*KEY)
+
+
+def _range_of(splitters: DataFrame) -> Column:
+    """The number of splitters below a row's key. Splitters, a few for each range at most, go into the plan as one literal."""
+    every = sorted((tuple(r) for r in splitters.distinct().collect()), key=lambda k: (k[0], k[1] is not None, k[1] or 0, k[2]))
+    groups = [[dict(zip(KEY, k, strict=True)) for k in every[j : j + GROUP]] for j in range(0, len(every), GROUP)]
+    schema, key = "array<array<struct<h:bigint,i:bigint,u:bigint>>>", F.struct(*KEY)
+
+    def of(groups: Column) -> Column:
+        def inside(n: Column) -> Column:
+            below = F.size(F.filter(F.element_at(groups, n), lambda s: s < key))
+            return F.when(n == 0, 0).otherwise((n - 1) * GROUP + below)
+
+        return let(F.size(F.filter(groups, lambda g: g[0] < key)), inside)
+
+    return let(F.from_json(F.lit(json.dumps(groups)), schema), of) if groups else F.lit(0)
 
 
 def _totals(keys: DataFrame) -> DataFrame:
-    return keys.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
+    return stored(keys.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"), F.max("size").alias("most")), "range-totals")
 
 
 def assign_shards(docs: DataFrame, n_shards: int = 40, seed: int = 11) -> DataFrame:
@@ -84,6 +78,7 @@ def assign_shards(docs: DataFrame, n_shards: int = 40, seed: int = 11) -> DataFr
         docs.select(
             F.col("doc_id").cast("long").alias("i"),
             F.xxhash64(text).alias("h"),
+            F.monotonically_increasing_id().alias("u"),  # tells rows apart that are alike in all else
             record_size(F.col("text")).alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
         ),
@@ -91,37 +86,32 @@ def assign_shards(docs: DataFrame, n_shards: int = 40, seed: int = 11) -> DataFr
     )
     whole = keys.agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).first()
     total, rows = whole.bytes or 0, whole.rows
-    n_ranges = max(1, min(rows, max(n_shards * RANGES_A_SHARD, math.ceil(rows / ROWS_A_RANGE))))
-    splitters = _sampled(keys, total, n_ranges, seed) if rows else []
-    ranged = keys.withColumn("range", _range_of(splitters))
-    sums = {r.range: (r.bytes, r.rows) for r in _totals(ranged).collect()}  # a row for each range
-    over = [k for k, (b, n) in sums.items() if b > OVERFULL * total / n_ranges and n > 1]
-    if over:
-        mine = ranged.where(F.col("range").isin(over))
-        much = sum(sums[k][0] for k in over)
-        more = _sampled(mine, much, 4 * math.ceil(n_ranges * much / total), seed + 1)
-        splitters = sorted({*splitters, *more}, key=lambda s: (s[0], s[1] is not None, s[1] or 0))
+    n_ranges = max(1, min(rows, MOST_RANGES, max(n_shards * RANGES_A_SHARD, -(-rows // ROWS_A_RANGE))))
+    mean = max(total, 1) / n_ranges
+    splitters = stored(_sampled(keys, max(total, 1), n_ranges, seed), "splitters")
+    for again in range(1, ROUNDS + 1):
         ranged = keys.withColumn("range", _range_of(splitters))
-        sums = {r.range: (r.bytes, r.rows) for r in _totals(ranged).collect()}
-    starts, b0, r0 = {}, 0, 0
-    for k in sorted(sums):
-        starts[k] = (b0, r0)
-        b0, r0 = b0 + sums[k][0], r0 + sums[k][1]
-    n = (max(starts) + 1) if starts else 0
-    first = lambda j: F.expr("array(" + ", ".join(f"{starts.get(k, (0, 0))[j]}L" for k in range(n)) + ")") if n else F.array(F.lit(0).cast("long"))
-    order = Window.partitionBy("range").orderBy("h", "i", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, 0)
-    at = F.col("range") + 1
+        totals = _totals(ranged)
+        over = totals.where((F.col("bytes") > OVERFULL * mean) & (F.col("bytes") - F.col("most") > mean))
+        much = over.agg(F.sum("bytes")).first()[0]
+        if not much or again == ROUNDS:
+            break
+        mine = ranged.join(F.broadcast(over.select("range")), "range", "left_semi")  # at most a range for each OVERFULL means
+        splitters = stored(splitters.unionByName(_sampled(mine, much, 4 * int(much / mean + 1), seed + again)).distinct(), "splitters")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over ranges, not rows
+    starts = stored(totals.select("range", *(F.coalesce(F.sum(c).over(before), F.lit(0)).cast("long").alias(f"_{c}") for c in ("bytes", "rows"))), "range-starts")
+    order = Window.partitionBy("range").orderBy("h", "i", "size", "text_crc32", "u").rowsBetween(Window.unboundedPreceding, 0)
     placed = stored(
-        ranged.select("*", F.sum("size").over(order).alias("_upto"), F.count(F.lit(1)).over(order).alias("_n"))
-        .withColumn("_row", F.element_at(first(1), at) + F.col("_n") - 1)
-        .withColumn("_mid2", (F.element_at(first(0), at) + F.col("_upto")) * 2 - F.col("size"))
+        ranged.join(F.broadcast(starts), "range")
+        .select("*", F.sum("size").over(order).alias("_upto"), F.count(F.lit(1)).over(order).alias("_n"))
+        .withColumn("_row", F.col("_rows") + F.col("_n") - 1)
+        .withColumn("_mid2", (F.col("_bytes") + F.col("_upto")) * 2 - F.col("size"))
         .withColumn("shard", F.least(F.expr(f"cast(_mid2 * {n_shards}D / {2.0 * max(total, 1)}D as int)"), F.lit(n_shards - 1)))
         .select("i", "size", "text_crc32", "shard", "_row"),
         "shard-rows",
     )
-    begins = {r.shard: r.m for r in placed.groupBy("shard").agg(F.min("_row").alias("m")).collect()}  # a row for each shard
-    begin = F.expr("array(" + ", ".join(f"{begins.get(k, 0)}L" for k in range(n_shards)) + ")")
-    return placed.select(F.col("i").alias("doc_id"), "size", "text_crc32", "shard", (F.col("_row") - F.element_at(begin, F.col("shard") + 1)).alias("slot"))
+    begins = placed.groupBy("shard").agg(F.min("_row").alias("_begin"))  # a row for each shard
+    return placed.join(F.broadcast(begins), "shard").select(F.col("i").alias("doc_id"), "size", "text_crc32", "shard", (F.col("_row") - F.col("_begin")).alias("slot"))
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 40) -> None:
