@@ -2,8 +2,9 @@
 
 Four base kinds are found by their patterns and always count. Beside them there are looser candidates. Three labelers vote on every
 candidate, base or not: its shape, a gazetteer, and the words in front of it. Expectation-maximisation over the counts of vote
-patterns of the whole corpus estimates how reliable each labeler is, without a labelled row; its posteriors then train a final classifier
-of spans (naive Bayes), which becomes one SQL expression that decides on the candidates. All of it is DataFrame expressions.
+patterns of the whole corpus estimates from where labelers agree how reliable each is for each kind, without a labelled row and with no labeler taken at its word; its
+posteriors then train a final classifier of spans (naive Bayes over votes, length and digits), which becomes one SQL expression that decides on the
+candidates. All of it is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, read_documents, stored
+from .common import let, read_documents, scan, stored
 
 _LOCAL, _HOST = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 #: Possessive, and tied to the start of a run, so that a long run is read once; they match what their plain forms match.
@@ -96,25 +97,23 @@ def _context(before: Column) -> Column:
     return F.when(low.rlike(rf"(?:{'|'.join(AGAINST.split())})[^\n]{{0,12}}$"), -1).when(low.rlike(rf"(?:{'|'.join(FOR.split())})[^\n]{{0,12}}$"), 1).otherwise(0)
 
 
-SPAN = "array<struct<kind:string,s:int,e:int,shape:int,gazetteer:int,context:int>>"
+SPAN = "array<struct<kind:string,s:int,e:int,digits:int,shape:int,gazetteer:int,context:int>>"
 
 
 def _spans(text: Column, kind: str, pattern: str) -> Column:
     """A kind's matches with their place in code points (end exclusive) and votes."""
 
+    def span(x: Column, before: Column) -> Column:
+        start = before + F.length(x["gap"])
+        fifth = F.floor(4 * F.length(F.regexp_replace(x["m"], "[^0-9]", "")) / F.length(x["m"])).cast("int")
+        return F.struct(
+            F.lit(kind).alias("kind"), start.alias("s"), (start + F.length(x["m"])).alias("e"), fifth.alias("digits"), _shape(kind, x["m"]).alias("shape"), _gazetteer(kind, x["m"]).alias("gazetteer"), _context(F.right(x["gap"], F.lit(32))).alias("context")
+        )
+
     def placed(matches: Column) -> Column:
         both = F.zip_with(matches, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)), lambda m, gap: F.struct(m.alias("m"), gap.alias("gap")))
-
-        def step(at: Column, x: Column) -> Column:
-            start = at["at"] + F.length(x["gap"])
-            end = start + F.length(x["m"])
-            span = F.struct(
-                F.lit(kind).alias("kind"), start.alias("s"), end.alias("e"), _shape(kind, x["m"]).alias("shape"), _gazetteer(kind, x["m"]).alias("gazetteer"), _context(F.right(x["gap"], F.lit(32))).alias("context")
-            )
-            return F.struct(end.alias("at"), F.array_append(at["found"], span).alias("found"))
-
-        empty = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found"))
-        return F.when(F.size(matches) > 0, F.aggregate(both, empty, step, lambda at: at["found"])).otherwise(F.array().cast(SPAN))
+        every = let(both, lambda x: F.zip_with(x, scan(F.transform(x, lambda y: F.length(y["gap"]) + F.length(y["m"])), F.lit(0), lambda p, q: p + q), span))
+        return F.when(F.size(matches) > 0, every).otherwise(F.array().cast(SPAN))
 
     found = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
     need = F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS else text.rlike(FORMS[kind])
@@ -122,83 +121,125 @@ def _spans(text: Column, kind: str, pattern: str) -> Column:
 
 
 LABELERS = ("shape", "gazetteer", "context")
+#: Votes of either sign that stand for what a labeler is expected to cast before any is counted, on personal spans; on others it is the other way round. So many votes on all kinds say as much as one kind's own.
+EXPECTED, POOLED = {1: 3.0, -1: 1.0}, 20.0
 
 
 def reliabilities(patterns: list[tuple[str, tuple[int, ...], int]], rounds: int = 60) -> dict[tuple[str, tuple[int, ...]], float]:
     """Chance that a span with a kind and votes is personal data, by expectation-maximisation over (kind, votes, count).
 
-    A labeler is right with a chance of its own whenever it votes; a vote of 0 says nothing. Every kind has its own share of personal spans. Base kinds
-    are settled by their form and anchor the estimates. Labelers count as better than a coin and none as sure, so that the two
-    classes can't change places.
+    Where it votes, a labeler has its own chances of 1 and -1 for each kind, on personal spans and on others, drawn towards its chances over all kinds where it
+    has voted little; a vote of 0 says nothing. No vote is taken as settled; EXPECTED only keeps the two classes from changing places. Every kind has its own share of
+    personal spans.
     """
-    settled = {(k, v): float(v[0] > 0) for k, v, _ in patterns if k in BASE}
-    q = {(k, v): settled.get((k, v), 0.5 + 0.4 * max(-1, min(1, sum(v)))) for k, v, _ in patterns}
+    q = {(k, v): 0.5 + 0.4 * max(-1, min(1, sum(v))) for k, v, _ in patterns}
+    kinds = sorted({k for k, _, _ in patterns})
     for _ in range(rounds):
-        share, right = defaultdict(lambda: [1.0, 1.0]), [[2.0, 1.0] for _ in LABELERS]
+        share = {k: [1.0, 1.0] for k in kinds}
+        seen: dict = defaultdict(float)  # (labeler, kind, class, vote) -> spans
         for k, v, n in patterns:
             for c, w in ((1, n * q[k, v]), (0, n * (1 - q[k, v]))):
                 share[k][c] += w
                 for j, x in enumerate(v):
-                    if x:
-                        right[j][(x > 0) != bool(c)] += w
-        skill = [min(0.98, max(0.55, r / (r + w))) for r, w in right]
-        for k, v in q.keys() - settled.keys():
-            odds = math.log(share[k][1] / share[k][0]) + sum(x * math.log(s / (1 - s)) for x, s in zip(v, skill, strict=True))
+                    seen[j, k, c, x] += w
+        chance: dict = {}
+        for j in range(len(LABELERS)):
+            for c in (0, 1):
+                every = {x: sum(seen[j, k, c, x] for k in kinds) + EXPECTED[x if c else -x] for x in EXPECTED}
+                whole = sum(every.values())
+                for k in kinds:
+                    own = sum(seen[j, k, c, x] for x in EXPECTED)
+                    chance |= {(j, k, c, x): (seen[j, k, c, x] + POOLED * every[x] / whole) / (own + POOLED) for x in EXPECTED}
+        for k, v in q:
+            odds = math.log(share[k][1] / share[k][0]) + sum(math.log(chance[j, k, 1, x] / chance[j, k, 0, x]) for j, x in enumerate(v) if x)
             q[k, v] = 1 / (1 + math.exp(-max(-40.0, min(40.0, odds))))
     return q
 
 
-def classifier(cells: list[tuple[str, int, tuple[int, ...], int]]) -> str:
-    """SQL over x.kind, x.e - x.s and the votes, above 0 where the trained classifier takes a span for personal. cells: kind, length class, votes, count."""
+#: What the final classifier looks at, within a kind.
+LOOKS = ("least((x.e - x.s) div 8, 8)", "x.digits", *(f"x.{n}" for n in LABELERS))
+
+
+def classifier(cells: list[tuple]) -> str:
+    """SQL over x, a span, above 0 where the trained classifier takes it for personal. cells: kind, the values of LOOKS, count.
+
+    Naive Bayes: for each kind its share, and for each look the ratio of what it is in personal spans to what it is in others, as the posteriors of reliabilities() weigh spans.
+    """
     merged: dict = defaultdict(int)
-    for k, _, v, n in cells:
-        merged[k, v] += n
+    for kind, _, _, *votes, n in cells:
+        merged[kind, tuple(votes)] += n
     q = reliabilities([(k, v, n) for (k, v), n in sorted(merged.items())])
-    names = ("x.kind", "least((x.e - x.s) div 8, 8)", *(f"x.{n}" for n in LABELERS))
-    weight: list[dict] = [defaultdict(lambda: [0.5, 0.5]) for _ in names]
-    whole = [1.0, 1.0]
-    for k, size, v, n in cells:
-        for c, w in ((1, n * q[k, v]), (0, n * (1 - q[k, v]))):
-            whole[c] += w
-            for j, x in enumerate((k, size, *v)):
-                weight[j][x][c] += w
-    prior = math.log(whole[1] / whole[0])
-    terms = [f"{prior!r}D"]
-    for name, table in zip(names, weight, strict=True):
-        arms = " ".join(f"when {x!r} then {math.log(w[1] / w[0]) - prior!r}D" for x, w in sorted(table.items(), key=str))
-        terms.append(f"(case {name} {arms} else 0D end)")
+    share: dict = defaultdict(lambda: [1.0, 1.0])
+    weight: list[dict] = [defaultdict(lambda: [0.5, 0.5]) for _ in LOOKS]
+    for kind, *looks, n in cells:
+        chance = q[kind, tuple(looks[2:])]
+        for c, w in ((1, n * chance), (0, n * (1 - chance))):
+            share[kind][c] += w
+            for j, x in enumerate(looks):
+                weight[j][kind, x][c] += w
+    log = lambda w, k: math.log(w[1] / share[k][1]) - math.log(w[0] / share[k][0])
+    terms = ["(case x.kind " + " ".join(f"when '{k}' then {math.log(w[1] / w[0])!r}D" for k, w in sorted(share.items())) + " else 0D end)"]
+    for look, table in zip(LOOKS, weight, strict=True):
+        arms = " ".join(f"when x.kind = '{k}' and {look} = {x} then {log(w, k)!r}D" for (k, x), w in sorted(table.items()))
+        terms.append(f"(case {arms} else 0D end)")
     return " + ".join(terms)
 
 
+def _candidates(text: Column) -> tuple[list[Column], str, str]:
+    """Columns with each kind's candidates in a text; SQL over them for the base spans and for all."""
+    each = [_spans(F.coalesce(text, F.lit("")), k, p).alias(f"_of_{k}") for k, p in (BASE | MORE).items()]
+    base = "concat(" + ", ".join(f"filter(_of_{k}, x -> x.shape > 0)" for k in BASE) + ")"
+    return each, base, "concat(" + ", ".join(f"_of_{k}" for k in KINDS) + ")"
+
+
+def _score(found: DataFrame) -> str:
+    """The classifier trained on the candidates (all) of every row."""
+    # cells: kinds x 9 lengths x 5 shares of digits x 27 vote patterns at most
+    seen = found.select(F.explode("all").alias("x")).groupBy("x.kind", *(F.expr(look).cast("int").alias(f"l{j}") for j, look in enumerate(LOOKS))).count().collect()
+    return classifier(sorted(tuple(r) for r in seen)) if seen else "0D"
+
+
+def _decided(score: str) -> Column:
+    """spans, of the columns base and all."""
+    bases, loose = ", ".join(f"'{k}'" for k in BASE), ", ".join(f"'{k}'" for k in MORE)
+    added = f"filter(all, x -> x.kind in ({loose}) and ({score}) > 0 and not exists(base, b -> b.s < x.e and x.s < b.e))"
+    order = "case x.kind " + " ".join(f"when '{k}' then {i}" for i, k in enumerate(KINDS)) + " end"
+    return F.expr(f"transform(array_sort(transform(concat(base, {added}), x -> struct(x.s as s, {order} as k, x.e as e, x.kind as kind))), x -> struct(x.kind as kind, x.s as s, x.e as e, x.kind in ({bases}) as base))")
+
+
 def find_private(docs: DataFrame) -> DataFrame:
     """doc_id, and spans: array of (kind, s, e, base) in order of start, then kind as in KINDS, for every row of docs (doc_id, text).
 
     A null text is empty and has none. Spans are code points, end exclusive. Candidates that overlap a base span aren't added to it.
     Repeated rows get the same spans; an empty table gives no rows; other columns are left alone.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    each = [_spans(text, k, p).alias(k) for k, p in (BASE | MORE).items()]
-    found = docs.select("doc_id", *each).select("doc_id", F.concat(*(F.filter(k, lambda x: x["shape"] > 0) for k in BASE)).alias("base"), F.concat(*KINDS).alias("all"))
-    found = stored(found, "spans")
-    # cells: kinds x 9 lengths x 27 vote patterns at most
-    seen = found.select(F.explode("all").alias("x")).groupBy("x.kind", F.expr("least((x.e - x.s) div 8, 8)").cast("int").alias("size"), *(F.col(f"x.{n}") for n in LABELERS)).count().collect()
-    score = classifier(sorted((r.kind, r["size"], tuple(r[n] for n in LABELERS), r["count"]) for r in seen)) if seen else "0D"
-    bases, loose = ", ".join(f"'{k}'" for k in BASE), ", ".join(f"'{k}'" for k in MORE)
-    added = f"filter(all, x -> x.kind in ({loose}) and ({score}) > 0 and not exists(base, b -> b.s < x.e and x.s < b.e))"
-    order = "case x.kind " + " ".join(f"when '{k}' then {i}" for i, k in enumerate(KINDS)) + " end"
-    spans = f"transform(array_sort(transform(concat(base, {added}), x -> struct(x.s as s, {order} as k, x.e as e, x.kind as kind))), x -> struct(x.kind as kind, x.s as s, x.e as e, x.kind in ({bases}) as base))"
-    return found.select("doc_id", F.expr(spans).alias("spans"))
+    each, base, every = _candidates(F.col("text"))
+    found = stored(docs.select("doc_id", *each).select("doc_id", F.expr(base).alias("base"), F.expr(every).alias("all")), "spans")
+    return found.select("doc_id", _decided(_score(found)).alias("spans"))
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """docs (unique doc_id) with every span of text replaced by its kind in brackets."""
-    spans = find_private(docs).where("size(spans) > 0")
-    pieces = "concat(array_join(transform(spans, (x, i) -> concat(substring(text, coalesce(get(spans, i - 1).e, 0) + 1, greatest(x.s - coalesce(get(spans, i - 1).e, 0), 0)), '[', x.kind, ']')), ''), substring(text, element_at(spans, -1).e + 1))"
-    return docs.join(spans, "doc_id", "left").withColumn("text", F.expr(f"if(spans is null, text, {pieces})")).select(docs.columns)
+    """docs with every span of text replaced by its kind in brackets, row by row: null and repeated doc_ids make no difference. Spans that overlap go as one, under the kind of the first."""
+    each, base, every = _candidates(F.col("text"))
+    found = stored(docs.select(*each).select(F.expr(base).alias("base"), F.expr(every).alias("all")), "spans")
+    names = [f"_c{j}" for j in range(len(docs.columns))]  # whatever docs' columns are called
+    rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)), F.col("text").cast("string").alias("_text"), *each)
+    spans = rows.select(*names, "_text", F.expr(base).alias("base"), F.expr(every).alias("all")).select(*names, "_text", _decided(_score(found)).alias("spans"))
+    text = F.col("_text")
+
+    def cut(x: Column, end: Column) -> Column:
+        """The text between the spans before and this one, and what stands for this one if it doesn't begin inside those."""
+        gap = F.substring(text, end + 1, F.greatest(x["s"] - end, F.lit(0)))
+        return F.when(x["s"] >= end, F.concat(gap, F.lit("["), x["kind"], F.lit("]"))).otherwise("")
+
+    ends = F.transform("spans", lambda x: x["e"])
+    pieces = F.array_join(F.zip_with("spans", scan(ends, F.lit(0), lambda p, q: F.greatest(p, q)), cut), "")
+    whole = F.when(F.size("spans") > 0, F.concat(pieces, F.substring(text, F.array_max(ends) + 1, F.length(text)))).otherwise(text)
+    return spans.withColumn("_text", whole).select(*(F.col("_text" if c == "text" else n).alias(c) for c, n in zip(docs.columns, names, strict=True)))
 
 
 def op9_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "array_join(transform({}, x -> concat(x.kind, ':', x.s, ':', x.e)), ',')"
     counts = [F.expr(f"size(filter(spans, x -> x.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in BASE]
     base = F.expr(said.format("filter(spans, x -> x.base)"))
-    return find_private(read_documents(spark, sf_dir)).select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), F.expr(said.format("spans")).alias("spans"))
+    return find_private(read_documents(spark, sf_dir)).select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), F.expr(said.format("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
