@@ -1,8 +1,9 @@
 """Quality rules: statistics of every text and a decision list learned from labelled ones.
 
 Everything runs as DataFrame expressions. The list is learned by sequential covering: a rule is a conjunction of thresholds that is
-grown, condition by condition, on two thirds of the labelled rows, pruned on the last third, and kept if it is precise enough there;
-the rows it covers go and the next rule is grown. The rules, in order, become one CASE expression.
+grown, condition by condition, on two thirds of the rows it may see, pruned on the last third, and kept if it is precise enough there;
+the rows it covers go and the next rule is grown. One in four labelled rows is never learned from and serves to judge the list. The rules, in order,
+become one CASE expression.
 """
 
 from __future__ import annotations
@@ -22,9 +23,12 @@ SYMBOLS = "#*$%&|<>"
 
 
 def _repeated(words: Column) -> Column:
-    """Words inside windows of WINDOW words that the text holds twice or more, the first time included."""
+    """Words inside windows of WINDOW words that the text holds twice or more, the first time included. Windows are compared by hashes of 64 bits."""
     count = F.size(words)
-    hashes = F.transform(F.sequence(F.lit(1), count - (WINDOW - 1)), lambda i: F.struct(F.xxhash64(F.slice(words, i, WINDOW)).alias("h"), i.alias("i")))
+    places = F.sequence(F.lit(1), count - (WINDOW - 1))
+
+    def windows(h: Column) -> Column:
+        return F.transform(places, lambda i: F.xxhash64(*(F.get(h, i + (j - 1)) for j in range(WINDOW))))
 
     def twice(ordered: Column) -> Column:
         """Places of the windows whose hash a neighbour in the order of hashes has too."""
@@ -39,7 +43,13 @@ def _repeated(words: Column) -> Column:
         each = F.transform(at, lambda p, k: F.least(F.coalesce(F.get(at, k + 1) - p, F.lit(WINDOW)), F.lit(WINDOW)))
         return F.aggregate(each, F.lit(0).cast("long"), lambda s, x: s + x)
 
-    return F.when(count <= WINDOW, F.lit(0).cast("long")).otherwise(let(F.array_sort(hashes), lambda o: let(twice(o), covered)))
+    def where(h: Column) -> Column:
+        """Only a text that has some window twice is sorted."""
+        ordered = F.array_sort(F.zip_with(h, places, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(let(ordered, lambda o: let(twice(o), covered)))
+
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    return F.when(count <= WINDOW, F.lit(0).cast("long")).otherwise(let(let(hashes, windows), where))
 
 
 def _dup_lines(text: Column) -> Column:
@@ -134,11 +144,16 @@ def _worth(rule: Rule, rows: list[dict]) -> tuple[float, int]:
 
 
 def learn(rows: list[dict], least_precision: float = 0.9, most_rules: int = 8) -> list[Rule]:
-    """Ordered rules that say bad. rows: FEATURES, bad (bool) and key, by which every third row is held out for pruning."""
+    """Ordered rules that say bad. rows: FEATURES, bad (bool) and key, by which every third row is held out for pruning.
+
+    A rule that isn't precise enough is left out, and so are the bad rows it was grown for; others are still looked for.
+    """
     rows = sorted(rows, key=lambda r: r["key"])
     grow, prune = [r for k, r in enumerate(rows) if k % 3], rows[::3]
     rules: list[Rule] = []
-    while len(rules) < most_rules and any(r["bad"] for r in grow):
+    tries = 0
+    while len(rules) < most_rules and tries < 2 * most_rules and any(r["bad"] for r in grow):
+        tries += 1
         rule = _grow(grow)
         if not rule.conditions:
             break
@@ -146,19 +161,25 @@ def learn(rows: list[dict], least_precision: float = 0.9, most_rules: int = 8) -
             rule = shorter
         rule.precision, rule.covers = _worth(rule, prune)
         if rule.precision < least_precision:
-            break
+            grow = [r for r in grow if not (r["bad"] and rule.holds(r))]
+            continue
         rules.append(rule)
         grow, prune = [r for r in grow if not rule.holds(r)], [r for r in prune if not rule.holds(r)]
     return rules
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> list[dict]:
-    """FEATURES, bad and key of at most `most` labels (doc_id, quality 0 or 1), those with the smallest hash; a document that the base rule fails teaches nothing.
+#: Labelled rows are dealt into so many parts by their hash; the last is never learned from.
+PARTS = 4
+
+
+def labelled_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, held_out: bool = False) -> list[dict]:
+    """FEATURES, bad and key of those to learn from (or, with held_out, of those to judge by) among at most `most` labels (doc_id, quality 0 or 1), those with the smallest hash; a document that the base rule fails teaches nothing.
 
     Rows without a label or an id are left out; a document labelled both ways counts as both.
     """
     good = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", (F.col("quality") == 0).alias("bad")).distinct()
     few = good.withColumn("key", F.xxhash64("doc_id")).orderBy("key", "bad").limit(most)
+    few = few.where((F.pmod("key", F.lit(PARTS)) == PARTS - 1) == F.lit(held_out))
     # at most `most` rows of three columns are broadcast
     rows = with_statistics(docs.join(F.broadcast(few.select("doc_id")), "doc_id", "left_semi")).join(F.broadcast(few), "doc_id")
     # base_failed is looked at here: as a filter of the plan it would be pushed below the join and computed for all documents
