@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import analytics, harmonisation, procurement
+from . import analytics, harmonisation, procurement, records
 
-_PARTS = [procurement, analytics, harmonisation]
+_PARTS = [procurement, analytics, harmonisation, records]
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLE_SQL = {name: text for part in _PARTS for name, text in part.ORACLE_SQL.items()}

@@ -101,3 +101,9 @@ reviews AS (SELECT event_id, ts, user_id AS actor, event_type AS action, value /
 
 def sql(query: str) -> str:
     return f"WITH {SQL.strip()} {query}" if not query.lstrip().startswith(",") else f"WITH {SQL.strip()}{query.lstrip()}"
+
+
+def uuid5_sql(name: str, namespace: str = "6ba7b8109dad11d180b400c04fd430c8") -> str:
+    """DuckDB's expression for functions.ids.uuid5."""
+    h = f"sha1(unhex('{namespace}') || encode({name}))"
+    return f"(SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) FROM (SELECT {h} AS h))"
