@@ -6,8 +6,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def lcs(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two short texts."""
+#: Characters of a text whose places fit into a number, one bit each, with one to spare for sums.
+BITS = 62
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def places(text: Column) -> Column:
+    """Map from each character of a text to its places, a bit each; for texts of BITS characters at most. Worked out once a record, it serves every pair."""
+
+    def of(chars: Column) -> Column:
+        at = lambda x: F.aggregate(F.transform(chars, lambda y, i: F.when(x == y, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, v: s.bitwiseOR(v))
+        return F.map_from_entries(F.transform(F.array_distinct(chars), lambda x: F.struct(x, at(x))))
+
+    return F.when(F.length(text) <= BITS, let(F.split(text, ""), of))
+
+
+def lcs_of(at: Column, n: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of a text of n characters, by its places(), and another: one addition for each character of that."""
+    full = F.call_function("shiftleft", F.lit(1).cast("long"), n) - F.lit(1).cast("long")
+    masks = F.filter(F.transform(F.split(b, ""), lambda y: F.coalesce(F.try_element_at(at, y), F.lit(0).cast("long"))), lambda m: m != 0)
+    # a bit that is 0 ends a common subsequence that is longer by one than those that end before it
+    end = F.aggregate(masks, full, lambda v, m: (v + v.bitwiseAND(m)).bitwiseOR(v.bitwiseAND(F.bitwise_not(m))).bitwiseAND(full))
+    return n - F.bit_count(end)
+
+
+def _lcs_by_rows(a: Column, b: Column) -> Column:
+    """For texts of any length, by rows of the table."""
     chars_a, chars_b = F.split(a, ""), F.split(b, "")
     zeros = F.array_repeat(F.lit(0), F.length(b) + 1)
 
@@ -20,8 +48,18 @@ def lcs(a: Column, b: Column) -> Column:
 
         return F.aggregate(chars_b, F.array(F.lit(0)), cell)
 
-    full = F.element_at(F.aggregate(chars_a, zeros, row), -1)
-    return F.when((F.length(a) == 0) | (F.length(b) == 0), 0).when(a == b, F.length(a)).otherwise(full)
+    return F.element_at(F.aggregate(chars_a, zeros, row), -1)
+
+
+def lcs(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two texts."""
+    short, long = F.when(F.length(a) <= F.length(b), a).otherwise(b), F.when(F.length(a) <= F.length(b), b).otherwise(a)
+
+    def of(x: Column) -> Column:
+        small = let(places(x["s"]), lambda at: lcs_of(at, F.length(x["s"]), x["l"]))
+        return F.when(F.length(x["s"]) <= BITS, small).otherwise(_lcs_by_rows(x["s"], x["l"]))
+
+    return F.when((F.length(a) == 0) | (F.length(b) == 0), 0).when(a == b, F.length(a)).otherwise(let(F.struct(short.alias("s"), long.alias("l")), of))
 
 
 def sorted_tokens(c: Column) -> Column:
@@ -57,8 +95,8 @@ def agreement(pairs: list[tuple[Column, Column]]) -> Column:
 
     def one(a: Column, b: Column) -> Column:
         x, y = F.upper(null_like(a)), F.upper(null_like(b))
-        near = token_sort(x, y)
-        return F.when(x.isNull() & y.isNull(), None).when(x.isNull() | y.isNull(), 0.0).when(x == y, 1.0).when(near < 0.5, 0.0).otherwise(near)
+        near = let(token_sort(x, y), lambda s: F.when(s < 0.5, 0.0).otherwise(s))
+        return F.when(x.isNull() & y.isNull(), None).when(x.isNull() | y.isNull(), 0.0).when(x == y, 1.0).otherwise(near)
 
     scores = F.filter(F.array(*(one(a, b) for a, b in pairs)), lambda s: s.isNotNull())
     total = F.aggregate(scores, F.lit(0.0), lambda s, v: s + v)
@@ -81,7 +119,7 @@ def tfidf(docs: DataFrame, text: str, key: str, most: int = 384, grams: int = 3)
     counts = rows.select(key, F.explode(F.concat(*each)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
     vocabulary = counts.groupBy("term").agg(F.sum("tf").alias("n"), F.count("*").alias("df")).orderBy(F.col("n").desc(), "term").limit(most)
     n = docs.agg(F.count("*").alias("docs"))
-    weights = counts.join(F.broadcast(vocabulary.select("term", "df")), "term").join(F.broadcast(n)).select(key, "term", ((1 + F.log("tf")) * (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1)).alias("v"))
+    weights = counts.join(F.broadcast(vocabulary.select("term", "df")), "term").withColumn("docs", n.scalar()).select(key, "term", ((1 + F.log("tf")) * (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1)).alias("v"))
     norm = weights.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "v")))).alias("m"))
     out = norm.select(key, F.transform_values("m", lambda t, v: v / F.col("norm")).alias("vector"))
     return docs.select(key).join(out, key, "left")

@@ -98,32 +98,3 @@ def key_token(c: Column) -> Column:
 
 def canonical_key(*columns: Column) -> Column:
     return F.concat_ws("|", *(F.nullif(key_token(c), F.lit("")) for c in columns))
-
-
-# Prefixes of standards, the longest first.
-STANDARDS = "ASTM ASME API ANSI ISO DIN BS IS"
-
-
-def standards(c: Column) -> Column:
-    """A list of standards parted by semicolons: each as prefix, space and number, without repeats, in order."""
-    each = F.transform(F.split(c, ";"), lambda x: F.regexp_replace(collapse(strip(F.upper(x))), rf"^({'|'.join(STANDARDS.split())})[ \-]*", "$1 "))
-    return F.array_join(F.array_sort(F.array_distinct(F.filter(each, lambda x: x != ""))), "; ")
-
-
-def size(c: Column) -> Column:
-    """A size as one of a few forms: metric thread, inches (fractions too), millimetres, nominal diameter; else in capitals."""
-    up = collapse(strip(F.upper(c)))
-    forms = [
-        (r"^M ?(\d+)$", "M$1"),
-        (r"^(\d+) ?[X*] ?(\d+) ?MM$", "$1 X $2 MM"),
-        (r"^(\d+(?:\.\d+)?) ?(?:IN|INCH|INCHES|\"|'')$", "$1 IN"),
-        (r"^(\d+)[ -](\d+/\d+) ?(?:IN|INCH|\")?$", "$1-$2 IN"),
-        (r"^(\d+/\d+) ?(?:IN|INCH|\")?$", "$1 IN"),
-        (r"^(\d+(?:\.\d+)?) ?MM$", "$1 MM"),
-        (r"^(?:DN|NB) ?(\d+)$|^(\d+) ?(?:NB|DN)$", "DN $1$2"),
-    ]
-    out = None
-    for pattern, to in forms:
-        hit, value = up.rlike(pattern), F.regexp_replace(up, pattern, to)
-        out = F.when(hit, value) if out is None else out.when(hit, value)
-    return out.otherwise(up)

@@ -15,7 +15,7 @@ def top_with_missing(rows: DataFrame, column: str, n: int) -> DataFrame:
     whole = rows.agg(F.count("*").alias("whole"))
     named = rows.groupBy(F.coalesce(F.col(column).cast("string"), F.lit("<MISSING>")).alias("value")).agg(F.count("*").alias("n"))
     best = named.orderBy(F.col("n").desc(), "value").limit(n)
-    return best.join(F.broadcast(whole)).select("value", "n", F.round(F.col("n") * 100 / F.col("whole"), 2).alias("pct"))  # whole is one row
+    return best.withColumn("whole", whole.scalar()).select("value", "n", F.round(F.col("n") * 100 / F.col("whole"), 2).alias("pct"))
 
 
 def banded(value: Column, edges: list[float], labels: list[str]) -> Column:

@@ -61,57 +61,95 @@ def reduction(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """How many of all pairs blocking has spared."""
     n, p = rows.agg(F.count("*").alias("records")), pairs.agg(F.count("*").alias("pairs"))
     every = F.col("records") * (F.col("records") - 1) / 2
-    return n.join(F.broadcast(p)).select("records", "pairs", F.round(1 - F.when(every > 0, F.col("pairs") / every).otherwise(0.0), 6).alias("reduction"))  # a row each
+    return n.withColumn("pairs", p.scalar()).select("records", "pairs", F.round(1 - F.when(every > 0, F.col("pairs") / every).otherwise(0.0), 6).alias("reduction"))
 
 
-# Pairs of words of which a text has one and another text the other, and which then can't be the same thing.
+# Groups of words of which the first that a text has, in this order, must be the one that the other text has; by the name of what they tell.
 OPPOSED = {
-    "conductor": [r"\b(?:CU|COPPER)\b", r"\b(?:AL|ALUMINIUM)\b"],
-    "casting": [r"\bWCB\b", r"\bWCC\b", r"\bLCB\b"],
-    "elastomer": [r"\bNBR\b", r"\bEPDM\b", r"\bVITON\b", r"\bNEOPRENE\b"],
-    "valve": [r"\bGATE\b", r"\bGLOBE\b", r"\bBALL\b", r"\bCHECK\b", r"\bBUTTERFLY\b"],
-    "fastener": [r"\bBOLT\b", r"\bNUT\b", r"\bWASHER\b", r"\bSTUD\b"],
+    "conductor metallurgy": (["COPPER", "ALUMINIUM", "ALUMINUM"], False),
+    "casting metallurgy": (["WCB", "LCB", "LCC", "WC6", "WC9", "C5", "C12", "CF8", "CF8M", "CF3", "CF3M"], True),
+    "sealing elastomer": (["VITON", "NBR", "NITRILE", "PTFE", "TEFLON", "EPDM", "GRAPHITE", "NEOPRENE", "SILICONE"], True),
+    "valve type": (["GATE VALVE", "GLOBE VALVE", "BALL VALVE", "CHECK VALVE", "BUTTERFLY VALVE", "PLUG VALVE", "NEEDLE VALVE", "CONTROL VALVE", "RELIEF VALVE", "SAFETY VALVE"], False),
+    "fastener type": (["HEX BOLT", "ANCHOR BOLT", "STUD BOLT", "EYE BOLT", "U-BOLT", "HEX NUT", "WASHER"], False),
 }
-# Numbers that have to be equal where both texts have them.
-NUMBERS = {"pressure": r"(\d+)#", "section": r"(\d+(?:\.\d+)?) ?SQ ?MM", "cores": r"(\d+) ?C(?:ORE)?\b", "bolt": r"\bM(\d+)\b", "inches": r"(\d+(?:/\d+)?) ?IN(?:CH)?\b"}
+# Patterns whose first match must be equal in both texts where both have one, and what of the match counts.
+MEASURES = {
+    "pressure rating": (r"\b\d{3,4}#|\bCLASS\s*\d{3,4}|\bPN\s*\d{1,3}", 0),
+    "fastener grade": (r"\b(?:SS\s*304L?|SS\s*316L?|GRADE\s*8\.8|GRADE\s*10\.9|GRADE\s*4\.6|A2-70|A4-70|A4-80)\b", 0),
+    "cable cross-section": (r"(\d+(?:\.\d+)?)\s*(?:SQ\.?\s*MM|SQMM)", 1),
+    "cable core count": (r"\b(\d+(?:\.5)?)\s*C\b", 1),
+    "bolt diameter": (r"\bM(\d+)\b", 1),
+    "nominal size": (r"(\d+(?:/\d+)?)\s*(?:IN\b|INCH\b)", 1),
+}
+HARD, SOFT, REPRESENTATION, NONE = "HARD_INCOMPATIBLE", "SOFT_ENGINEERING_DIFFERENCE", "REPRESENTATION_DIFFERENCE", "NO_CONFLICT"
 
 
 def text_marks(text: Column) -> Column:
-    """What conflict() compares of a text: worked out once a record, not once a pair."""
+    """What conflict() compares of a text: worked out once a record, not once a pair. For each rule what it found (said) and what of that must agree (same)."""
     up = F.upper(F.coalesce(text, F.lit("")))
-    words = {}
-    for name, patterns in OPPOSED.items():
-        first = None
-        for k, p in enumerate(patterns):
-            hit = F.when(up.rlike(p), str(k)) if first is None else first.when(up.rlike(p), str(k))
-            first = hit
-        words[name] = first
-    words |= {name: F.nullif(F.regexp_extract(up, p, 1), F.lit("")) for name, p in NUMBERS.items()}
-    return F.struct(*(c.alias(n) for n, c in words.items()))
+    marks = []
+    for words, whole in OPPOSED.values():
+        said = F.coalesce(*(F.when(up.rlike(rf"\b{w}\b") if whole else F.contains(up, F.lit(w)), w) for w in words))
+        marks.append(F.struct(said.alias("said"), F.regexp_replace(said, "^ALUMINUM$", "ALUMINIUM").alias("same")))
+    for name, (pattern, group) in MEASURES.items():
+        said = F.nullif(F.regexp_extract(up, pattern, group), F.lit(""))
+        same = F.regexp_replace(said, r"\D", "") if name == "pressure rating" else F.regexp_replace(said, " ", "") if name == "fastener grade" else said
+        marks.append(F.struct(said.alias("said"), same.alias("same")))
+    return F.array(*marks)
 
 
 def conflict(a: str, b: str) -> Column:
-    """struct(class, reason) of two records with columns {a}family, type, grade, material, size, pressure, standard, marks: the first rule that holds."""
-    col = lambda side, n: F.upper(null_like(F.col(f"{side}{n}")))
-    differ = lambda n: F.coalesce(col(a, n) != col(b, n), F.lit(False))
-    pair = lambda n, x, y: (col(a, n).contains(x) & col(b, n).contains(y)) | (col(a, n).contains(y) & col(b, n).contains(x))
-    metric = lambda side: F.regexp_extract(col(side, "size"), r"^M(\d+)", 1)
-    both_metric = col(a, "size").rlike(r"^M\d+") & col(b, "size").rlike(r"^M\d+")
-    said = lambda c, reason: F.struct(F.lit(c).alias("class"), F.lit(reason).alias("reason"))
-    out = F.when(differ("family"), said("HARD_INCOMPATIBLE", "family")).when(differ("type"), said("HARD_INCOMPATIBLE", "type"))
-    for name in [*OPPOSED, *NUMBERS]:
-        out = out.when(F.coalesce(F.col(f"{a}marks.{name}") != F.col(f"{b}marks.{name}"), F.lit(False)), said("HARD_INCOMPATIBLE", name))
-    for x, y in (("304", "316"), ("A105", "WCB"), ("CARBON", "STAINLESS")):
-        out = out.when(F.coalesce(pair("grade", x, y), F.lit(False)), said("HARD_INCOMPATIBLE", "grade"))
-    for x, y in (("CARBON STEEL", "STAINLESS STEEL"), ("RUBBER", "STEEL")):
-        out = out.when(F.coalesce(pair("material", x, y), F.lit(False)), said("HARD_INCOMPATIBLE", "material"))
-    out = out.when(F.coalesce(both_metric & (metric(a) != metric(b)), F.lit(False)), said("HARD_INCOMPATIBLE", "size"))
-    out = out.when(differ("size") & ~F.coalesce(both_metric, F.lit(False)), said("HARD_INCOMPATIBLE", "size"))
-    out = out.when(differ("pressure"), said("HARD_INCOMPATIBLE", "pressure")).when(F.coalesce(pair("standard", "API 600", "API 608"), F.lit(False)), said("HARD_INCOMPATIBLE", "standard"))
-    out = out.when(differ("size"), said("SOFT_ENGINEERING_DIFFERENCE", "size")).when(F.coalesce(pair("standard", "IS 1363", "IS 1364"), F.lit(False)), said("SOFT_ENGINEERING_DIFFERENCE", "standard"))
-    for x in ("A105", "WCB", "316"):
-        out = out.when(F.coalesce(differ("grade") & col(a, "grade").contains(x) & col(b, "grade").contains(x), F.lit(False)), said("REPRESENTATION_DIFFERENCE", "grade"))
-    return out.otherwise(said("NO_CONFLICT", "none"))
+    """struct(class, reasons) of two records: hard conflicts first, the first one only; then all soft differences of size and standard, or else the first other one; then differences in writing.
+
+    Columns: {a}family, type, subtype, grade, material, size, length, diameter, pressure, standard, conflicts (as extracted), marks (text_marks of the description).
+    """
+    col = lambda side, n: null_like(F.col(f"{side}{n}"))
+    up = lambda side, n: F.upper(col(side, n))
+    differ = lambda n: F.coalesce(up(a, n) != up(b, n), F.lit(False))
+    either = lambda n, x, y: F.coalesce((up(a, n).contains(x) & up(b, n).contains(y)) | (up(a, n).contains(y) & up(b, n).contains(x)), F.lit(False))
+    both = lambda n, x: F.coalesce(up(a, n).contains(x) & up(b, n).contains(x), F.lit(False))
+    versus = lambda label, n: F.concat(F.lit(f"{label}: '"), col(a, n), F.lit("' vs '"), col(b, n), F.lit("'"))
+    number = lambda side, pattern: F.nullif(F.regexp_extract(up(side, "size"), pattern, 1), F.lit(""))
+    metric, inch = (lambda side: number(side, r"^M(\d+)")), (lambda side: number(side, r"^(\d+(?:/\d+)?)\s*IN"))
+    threads = metric(a).isNotNull() & metric(b).isNotNull()
+    wiring = differ("size") & ~threads & either("size", "WIRE", "MM")
+    hard = [(differ("family"), versus("Material family mismatch", "family")), (differ("type"), versus("Material type mismatch", "type"))]
+    for k, name in enumerate([*OPPOSED, *MEASURES]):
+        x, y = F.col(f"{a}marks")[k], F.col(f"{b}marks")[k]
+        apart = F.coalesce(x["same"] != y["same"], F.lit(False))
+        if name == "fastener grade":  # a low-carbon variant is the same steel here
+            apart = apart & ~((x["same"].contains("304") & y["same"].contains("304")) | (x["same"].contains("316") & y["same"].contains("316")))
+        hard.append((apart, F.concat(F.lit(f"Incompatible {name}: "), x["said"], F.lit(" vs "), y["said"])))
+    hard += [(either("grade", x, y), versus(label, "grade")) for x, y, label in (("304", "316", "Incompatible stainless steel grade"), ("A105", "WCB", "Incompatible steel form (forged vs cast)"), ("CARBON", "STAINLESS", "Incompatible base metallurgy"))]
+    hard += [(either("material", x, y), versus("Base material incompatibility", "material")) for x, y in (("CARBON STEEL", "STAINLESS STEEL"), ("RUBBER", "STEEL"))]
+    hard += [
+        (differ("size") & threads & (metric(a) != metric(b)), versus("Incompatible metric bolt diameter", "size")),
+        (differ("size") & ~threads & F.coalesce(inch(a) != inch(b), F.lit(False)), versus("Incompatible pipe/valve nominal size", "size")),
+        (differ("size") & ~threads & up(a, "size").rlike(r"^\d+$") & up(b, "size").rlike(r"^\d+$"), versus("Incompatible bearing number", "size")),
+        (differ("size") & ~threads & ~wiring, versus("Incompatible engineering size", "size")),
+        (differ("pressure"), versus("Pressure class mismatch", "pressure")), (either("standard", "API 600", "API 608"), versus("Standard incompatibility (gate vs ball valve)", "standard")),
+    ]
+    soft = [
+        (differ("size") & F.coalesce(threads & (metric(a) == metric(b)), F.lit(False)), versus("Fastener length/specification variance", "size")), (wiring, versus("Sensor wiring specification vs dimension", "size")),
+        (either("standard", "IS 1363", "IS 1364"), versus("Fastener product grade variance", "standard")),
+    ]
+    then = [
+        (differ("length"), versus("Length dimension variance", "length")), (differ("diameter"), versus("Diameter dimension variance", "diameter")),
+        (differ("subtype") & (up(a, "subtype").contains("SPIRAL") | up(b, "subtype").contains("SPIRAL")), versus("Construction subtype variance", "subtype")),
+    ]
+    kept = lambda side, x: F.contains(F.coalesce(F.col(f"{side}conflicts"), F.lit("")), F.lit(x))
+    written = [
+        (differ("grade") & (both("grade", "A105") | both("grade", "WCB") | both("grade", "316")), versus("Standard/grade prefix representation difference", "grade")),
+        (kept(a, "A105") | kept(b, "ASTM A105"), F.lit("Phase 3 preserved grade representation conflict: ASTM A105 vs A105")),
+    ]
+    every = lambda cases: F.array_compact(F.array(*(F.when(c, r) for c, r in cases)))
+    first = lambda cases: F.slice(every(cases), 1, 1)
+    none = F.array(F.lit("No engineering or representation conflicts detected"))
+    found = F.array(
+        F.struct(F.lit(HARD).alias("class"), first(hard).alias("reasons")), F.struct(F.lit(SOFT).alias("class"), every(soft).alias("reasons")), F.struct(F.lit(SOFT).alias("class"), first(then).alias("reasons")),
+        F.struct(F.lit(REPRESENTATION).alias("class"), every(written).alias("reasons")), F.struct(F.lit(NONE).alias("class"), none.alias("reasons")),
+    )
+    return F.get(F.filter(found, lambda x: F.size(x["reasons"]) > 0), F.lit(0))
 
 
 def _rounded(x: Column) -> Column:
@@ -139,11 +177,15 @@ def score(pairs: DataFrame, config: MatchConfig = CURRENT) -> DataFrame:
     return out.withColumn("confidence", label)
 
 
+def both_ways(pairs: DataFrame) -> DataFrame:
+    """Pairs (source, candidate) and their mirror images, for scores that are the same either way."""
+    return pairs.unionByName(pairs.withColumnRenamed("source", "_s").withColumnRenamed("candidate", "source").withColumnRenamed("_s", "candidate")).dropDuplicates(["source", "candidate"])
+
+
 def ranked(pairs: DataFrame, most: int = 30) -> DataFrame:
-    """Each source's best candidates: score, then other enterprises first, then exact keys, then the candidate. Needs source, candidate, score, cross, key_exact."""
-    both = pairs.unionByName(pairs.withColumnRenamed("source", "_s").withColumnRenamed("candidate", "source").withColumnRenamed("_s", "candidate"))
+    """Each source's best candidates: score, then other enterprises first, then exact keys, then the candidate. Needs source, candidate, score, cross, key_exact; a pair counts in the direction it is given in."""
     order = Window.partitionBy("source").orderBy(F.col("score").desc(), F.col("cross").desc(), F.col("key_exact").desc(), "candidate")
-    return both.dropDuplicates(["source", "candidate"]).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= most)
+    return pairs.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= most)
 
 
 # What stands for the same thing.

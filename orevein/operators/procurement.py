@@ -46,7 +46,8 @@ def page(rows: DataFrame, order: list, number: int, size: int) -> DataFrame:
     """One page of rows in a total order, with the count of rows and of pages (1 at least)."""
     n = rows.agg(F.count("*").alias("total_rows"))
     counted = n.withColumn("total_pages", F.greatest(F.lit(1), F.ceil(F.col("total_rows") / size)).cast("long"))
-    return rows.orderBy(*order).offset((number - 1) * size).limit(size).join(F.broadcast(counted))  # counted is one row
+    at = rows.orderBy(*order).offset((number - 1) * size).limit(size)
+    return at.withColumn("total_rows", counted.select("total_rows").scalar()).withColumn("total_pages", counted.select("total_pages").scalar())
 
 
 def inventory_detail(stock: DataFrame, code: str) -> DataFrame:

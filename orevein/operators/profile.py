@@ -68,4 +68,4 @@ def quality_score(rows: DataFrame, code: str, validity: float = 98.5, consistenc
     rest = duplicate_rows(rows).select(((F.col("whole") - F.col("duplicates")) * 100 / F.col("whole")).alias("unique_rows"))
     unique = 0.7 * F.col("unique_codes") + 0.3 * F.col("unique_rows")
     score = 0.40 * F.col("complete") + 0.30 * unique + 0.15 * validity + 0.15 * consistency
-    return one.join(F.broadcast(rest)).select(F.round("complete", 2).alias("completeness"), F.round(unique, 2).alias("uniqueness"), F.round(score, 2).alias("score"))  # rest is one row
+    return one.withColumn("unique_rows", rest.scalar()).select(F.round("complete", 2).alias("completeness"), F.round(unique, 2).alias("uniqueness"), F.round(score, 2).alias("score"))

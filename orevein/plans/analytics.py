@@ -47,7 +47,7 @@ QUERIES = {
     "avg_similarities": lambda s, d: reviews(s, d).groupBy("action").agg(F.round(F.avg("confidence") * 100, 1).alias("confidence_pct"), F.count("*").alias("n")),
     "enterprise_pair_stats": lambda s, d: A.pair_stats(_pairs(s, d)),
     "enterprise_pair_unordered": lambda s, d: A.unordered(A.pair_stats(_pairs(s, d))),
-    "shared_record_overlap": lambda s, d: A.shared_records(inventory(s, d).where("on_hand >= 49")),
+    "shared_record_overlap": lambda s, d: A.shared_records(inventory(s, d)),
     "topology_records": lambda s, d: A.record_confidence(_mappings(s, d), _pairs(s, d).select(F.col("source_id").alias("source"), F.col("candidate_id").alias("candidate"), "confidence")),
     "connected_enterprises": lambda s, d: _pairs(s, d).select(F.col("source").alias("e")).union(_pairs(s, d).select("target")).agg(F.countDistinct("e").alias("n")),
     "review_trend_daily": lambda s, d: A.daily(reviews(s, d)).select(F.col("day").cast("string").alias("day"), F.date_format("day", "MMM dd").alias("label"), "n"),
@@ -100,7 +100,7 @@ ORACLE_SQL = {
     "avg_similarities": sql("SELECT action, round(avg(confidence) * 100, 1) AS confidence_pct, count(*) AS n FROM reviews GROUP BY ALL"),
     "enterprise_pair_stats": sql(f"{_PAIRS} {_STATS}"),
     "enterprise_pair_unordered": sql(f"{_PAIRS} SELECT source, target, links, confidence_pct FROM (SELECT *, row_number() OVER (PARTITION BY least(source, target), greatest(source, target) ORDER BY links DESC, source) AS k FROM ({_STATS}) WHERE source <> target) WHERE k = 1"),
-    "shared_record_overlap": sql(", each_one AS (SELECT DISTINCT common_code, enterprise FROM inventory WHERE on_hand >= 49) SELECT x.enterprise AS a, y.enterprise AS b, count(*) AS shared FROM each_one x JOIN each_one y USING (common_code) WHERE x.enterprise < y.enterprise GROUP BY ALL"),
+    "shared_record_overlap": sql(", each_one AS (SELECT DISTINCT common_code, enterprise FROM inventory) SELECT x.enterprise AS a, y.enterprise AS b, count(*) AS shared FROM each_one x JOIN each_one y USING (common_code) WHERE x.enterprise < y.enterprise GROUP BY ALL"),
     "topology_records": sql(f"""{_PAIRS}, mappings AS (SELECT common_code || '|' || grade AS record, material_id AS material FROM materials)
       SELECT record, count(DISTINCT material) AS materials, count(confidence) AS links, round(coalesce(avg(confidence), 0), 6) AS confidence, CASE WHEN count(DISTINCT material) >= 2 THEN 'MAPPED' ELSE 'DRAFT' END AS status
       FROM mappings LEFT JOIN pairs ON source_id = material OR candidate_id = material GROUP BY record"""),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from orevein.functions import canonical as K
 from orevein.functions import ids as I
 from orevein.functions import similarity as S
 from orevein.functions import text as N
@@ -13,7 +14,7 @@ from orevein.operators import matching as M
 from orevein.operators import review as V
 from orevein.sources import catalogs as C
 
-from .views import enterprises, inventory, materials, reviews, sql, table
+from .views import enterprises, inventory, materials, reviews, sql, table, uuid5_sql
 
 #: A part's description as a catalog would have it, with things to clean up; the same for both engines.
 _RAW = ("concat(' ', p_name, '  ', case p_size % 5 when 0 then 'BRG SS' when 1 then 'HEX VAL 2 IN.' when 2 then 'dia 20 mm. PVC' when 3 then '10 × 20 – 5°' else 'CU NO 4 ' end, chr(9), 'X', p_size, ' ')")
@@ -63,23 +64,25 @@ def _sql_normalised() -> str:
 
 def _blocks(s, d):
     rows = materials(s, d).withColumn("kind", F.concat_ws(" ", "family", "noun", "grade")).withColumn("sized", F.concat_ws("/", "noun", F.col("size").cast("string"), "family"))
-    return M.blocked_pairs(rows, "material_id", {"TYPE": F.col("kind"), "SIZE": F.col("sized"), "MATERIAL_GRADE": F.col("grade")}, 80)
+    return M.blocked_pairs(rows, "material_id", {"TYPE": F.col("kind"), "SIZE": F.col("sized"), "MATERIAL_GRADE": F.col("grade")})
 
 
 _BLOCK_SQL = """, kinds AS (SELECT material_id AS id, unnest(['TYPE', 'SIZE', 'MATERIAL_GRADE']) AS block, unnest([upper(family || ' ' || noun || ' ' || grade), upper(noun || '/' || size || '/' || family), upper(grade)]) AS value FROM materials),
-kept AS (SELECT * FROM kinds WHERE (block, value) IN (SELECT (block, value) FROM kinds GROUP BY block, value HAVING count(*) BETWEEN 2 AND 80)),
+kept AS (SELECT * FROM kinds WHERE (block, value) IN (SELECT (block, value) FROM kinds GROUP BY block, value HAVING count(*) BETWEEN 2 AND 300)),
 pairs AS (SELECT x.id AS a, y.id AS b, string_agg(DISTINCT x.block, ',' ORDER BY x.block) AS blocks FROM kept x JOIN kept y USING (block, value) WHERE x.id < y.id GROUP BY ALL)"""
 
 
 def _features(s, d):
-    """Pairs of one type and grade, with the features that a score needs; descriptions are synthetic, and some attributes null."""
-    own = materials(s, d).withColumn("text", F.concat_ws(" ", "noun", "description", F.concat(F.lit("M"), F.col("size").cast("string")))).withColumn("sized", F.concat(F.lit("M"), F.nullif(F.col("size") % 4, F.lit(0)).cast("string")))
-    own = own.select("material_id", "family", "noun", "grade", "text", "sized", "owner_id", F.nullif("description", F.lit("red bolt")).alias("name"))
-    a, b = (own.select("family", "noun", "grade", *(F.col(c).alias(f"{x}_{c}") for c in ("material_id", "text", "sized", "owner_id", "name"))) for x in "ab")
-    pairs = a.join(b, ["family", "noun", "grade"]).where("a_material_id < b_material_id")
+    """Pairs of one type and grade, with the features that a score needs; descriptions are synthetic, and some attributes null. What hangs on one record is worked out before records meet."""
+    own = materials(s, d).withColumn("text", S.sorted_tokens(F.concat_ws(" ", "noun", "description", F.concat(F.lit("M"), F.col("size").cast("string"))))).withColumn("sized", F.concat(F.lit("M"), F.nullif(F.col("size") % 4, F.lit(0)).cast("string")))
+    own = own.select("material_id", F.concat_ws("|", "family", "noun", "grade").alias("kind"), "text", S.places(F.col("text")).alias("at"), "sized", "owner_id", F.nullif("description", F.lit("red bolt")).alias("name"))
+    pairs = M.blocked_pairs(own, "material_id", {"TYPE": F.col("kind")}).select(F.col("a").alias("a_material_id"), F.col("b").alias("b_material_id"))
+    for x in "ab":
+        pairs = pairs.join(own.select(*(F.col(c).alias(f"{x}_{c}") for c in ("material_id", "text", "at", "sized", "owner_id", "name"))), f"{x}_material_id")
     agree = S.agreement([(F.col("a_sized"), F.col("b_sized")), (F.col("a_name"), F.col("b_name"))])
     hard = F.coalesce(F.col("a_sized") != F.col("b_sized"), F.lit(False))
-    out = pairs.withColumn("raw_sim", F.round(S.token_sort(F.col("a_text"), F.col("b_text")), 4)).withColumn("_a", agree)
+    common = F.when(F.col("a_at").isNotNull(), S.lcs_of(F.col("a_at"), F.length("a_text"), F.col("b_text"))).otherwise(S.lcs(F.col("a_text"), F.col("b_text")))
+    out = pairs.withColumn("raw_sim", F.round(2.0 * common / (F.length("a_text") + F.length("b_text")), 4)).withColumn("_a", agree)
     return out.select(
         F.col("a_material_id").alias("source"), F.col("b_material_id").alias("candidate"), (F.col("a_owner_id") != F.col("b_owner_id")).alias("cross"), F.coalesce(F.col("a_name") == F.col("b_name"), F.lit(False)).alias("key_exact"), F.lit(None).cast("double").alias("embedding"),
         F.lit(None).cast("double").alias("standard_sim"), "raw_sim", F.col("_a.agreement").alias("agreement"), F.col("_a.n").alias("n"), (F.col("a_text") == F.col("b_text")).alias("raw_same"),
@@ -87,8 +90,6 @@ def _features(s, d):
     )
 
 
-
-
 def _lcs_sql(a: str, b: str) -> str:
     inner = f"list_reduce(range(1, length({b}) + 1), lambda r, j: list_append(r, CASE WHEN substr({a}, i, 1) = substr({b}, CAST(j AS BIGINT), 1) THEN p[j] + 1 ELSE greatest(p[j + 1], r[j]) END), [0]::BIGINT[])"
     return f"list_reduce(range(1, length({a}) + 1), lambda p, i: {inner}, list_transform(range(0, length({b}) + 1), lambda z: CAST(0 AS BIGINT)))[-1]"
@@ -98,21 +99,22 @@ def _sorted_sql(x: str) -> str:
     return f"array_to_string(list_sort(string_split({x}, ' ')), ' ')"
 
 
-_SIM_SQL = f"""WITH names AS (SELECT DISTINCT p_name AS name FROM part), pairs AS (SELECT x.name AS a, y.name AS b, {_sorted_sql('x.name')} AS sa, {_sorted_sql('y.name')} AS sb FROM names x, names y WHERE x.name < y.name)
+_SIM_SQL = f"""WITH names AS (SELECT DISTINCT p_name AS name FROM part), pairs AS (SELECT x.name AS a, y.name AS b, {_sorted_sql('x.name')} AS sa, {_sorted_sql('y.name')} AS sb FROM names x JOIN names y ON split_part(x.name, ' ', -1) = split_part(y.name, ' ', -1) WHERE x.name < y.name)
 SELECT a, b, round(2.0 * {_lcs_sql('sa', 'sb')} / (length(sa) + length(sb)), 4) AS similarity FROM pairs"""
 
 
 def _name_pairs(s, d):
-    names = table(s, d, "part").select(F.col("p_name").alias("name")).distinct().withColumn("noun", F.lit(1))
+    """Names with the same last word."""
+    names = table(s, d, "part").select(F.col("p_name").alias("name")).distinct().withColumn("noun", F.element_at(F.split("name", " "), -1))
     a, b = names.withColumnRenamed("name", "a"), names.withColumnRenamed("name", "b")
     return a.join(b, "noun").where("a < b").select("a", "b", F.round(S.token_sort(F.col("a"), F.col("b")), 4).alias("similarity"))
 
 
 def _cosines(s, d):
-    """Each vector's five nearest of its own label, by cosine."""
+    """The five nearest of its own label, by cosine, of each vector whose id is divisible by 50: these queries against all rows."""
     v = table(s, d, "embeddings")
-    a, b = v.select("label", F.col("vec_id").alias("source"), F.col("embedding").alias("x")), v.select("label", F.col("vec_id").alias("candidate"), F.col("embedding").alias("y"))
-    pairs = a.join(b, "label").where("source < candidate").select("source", "candidate", F.round(S.cosine(F.col("x"), F.col("y")), 4).alias("score"), F.lit(True).alias("cross"), F.lit(False).alias("key_exact"))
+    a, b = v.where("vec_id % 50 = 0").select("label", F.col("vec_id").alias("source"), F.col("embedding").alias("x")), v.select("label", F.col("vec_id").alias("candidate"), F.col("embedding").alias("y"))
+    pairs = a.join(b, "label").where("source <> candidate").select("source", "candidate", F.round(S.cosine(F.col("x"), F.col("y")), 4).alias("score"), F.lit(True).alias("cross"), F.lit(False).alias("key_exact"))
     return M.ranked(pairs, 5).select("source", "candidate", "score", "rank")
 
 
@@ -129,15 +131,12 @@ def _records(s, d):
     return table(s, d, "part").select("p_partkey", cats.alias("category"), null.alias("type"), nouns.alias("description"), F.when(F.col("p_size") % 2 == 0, "API 600; class 150").alias("specification"), null.alias("grade"), size.alias("size"), *(null.alias(c) for c in ("length", "diameter", "coating")), F.lit("ea").alias("unit"), null.alias("manufacturer"), null.alias("part_number"))
 
 
-def _decisions(s, d):
-    verdict = F.element_at(F.create_map(*map(F.lit, ["click", "ACCEPT", "view", "DEFER", "purchase", "OVERRIDE", "error", "REJECT"])), F.col("action"))
-    some = reviews(s, d).where("event_id % 4 = 0 and action <> 'purchase'")
-    return some.select("match_id", F.col("event_id").alias("decision_id"), F.col("ts").alias("at"), (F.col("actor") % 5).cast("string").alias("enterprise"), F.coalesce(F.try_element_at(F.create_map(*map(F.lit, ["click", "ACCEPT", "view", "DEFER", "error", "REJECT"])), F.col("action")), F.lit("DIFFERENT")).alias("verdict")), verdict
-
-
 def _decided(s, d):
-    decisions, _ = _decisions(s, d)
-    matches = reviews(s, d).select("match_id").distinct().withColumn("status", F.lit("PENDING_REVIEW"))
+    """Every event as a decision on the match of its number and its actor's last two digits."""
+    verdict = F.element_at(F.create_map(*map(F.lit, ["click", "ACCEPT", "view", "DEFER", "purchase", "OVERRIDE", "error", "REJECT", "signup", "DIFFERENT"])), F.col("action"))
+    made = reviews(s, d).withColumn("match_id", F.col("match_id") * 100 + F.col("actor") % 100)
+    decisions = made.select("match_id", F.col("event_id").alias("decision_id"), F.col("ts").alias("at"), (F.col("event_id") % 3).cast("string").alias("enterprise"), verdict.alias("verdict"))
+    matches = made.groupBy("match_id").agg(F.when(F.col("match_id") % 7 == 0, "ALREADY_MAPPED").otherwise("PENDING_REVIEW").alias("status"))
     return V.decided(matches, decisions)
 
 
@@ -155,17 +154,20 @@ QUERIES = {
     "rule_usage": lambda s, d: N.normalised(_raw(s, d), "description").select(F.explode("rules").alias("rule")).groupBy("rule").agg(F.count("*").alias("n")),
     "canonical_keys": lambda s, d: materials(s, d).select("material_id", N.canonical_key(F.col("family"), F.concat(F.col("noun"), F.lit(" - "), F.col("grade")), F.col("size").cast("string")).alias("key")),
     "canonical_key_frequency": lambda s, d: materials(s, d).groupBy(N.canonical_key(F.col("family"), F.col("noun"), F.col("grade")).alias("key")).agg(F.count("*").alias("n")).agg(F.count("*").alias("keys"), F.count_if(F.col("n") == 1).alias("single"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("in_shared")),
-    "standards_format": lambda s, d: table(s, d, "part").select(F.col("p_partkey").alias("id"), N.standards(F.concat(F.lit("iso-"), F.col("p_size").cast("string"), F.lit(";  astm  A"), F.col("p_size").cast("string"), F.lit("; ISO "), F.col("p_size").cast("string"), F.lit(";"))).alias("standard")),
-    "size_format": lambda s, d: table(s, d, "part").select(F.col("p_partkey").alias("id"), N.size(F.concat(F.element_at(F.array(*map(F.lit, ["m", "dn ", "", ""])), (F.col("p_partkey") % 4 + 1).cast("int")), F.col("p_size").cast("string"), F.element_at(F.array(*map(F.lit, ["", "", " inch", "mm"])), (F.col("p_partkey") % 4 + 1).cast("int")))).alias("size")),
+    "standards_format": lambda s, d: table(s, d, "part").select(F.col("p_partkey").alias("id"), K.standard(_listed(_STANDARD_TEXTS)).alias("k")).select("id", F.col("k.value").alias("standard"), F.col("k.rule").alias("rule")),
+    "size_format": lambda s, d: table(s, d, "part").select(F.col("p_partkey").alias("id"), K.size(_listed(_SIZE_TEXTS)).alias("k")).select("id", F.col("k.value").alias("size"), F.col("k.rule").alias("rule")),
+    "grade_format": lambda s, d: table(s, d, "part").select(F.col("p_partkey").alias("id"), K.grade(_listed(_GRADE_TEXTS)).alias("k")).select("id", F.col("k.value").alias("grade"), F.col("k.rule").alias("rule")),
+    "canonical_aliases": lambda s, d: table(s, d, "part").select(F.col("p_partkey").alias("id"), *(K.aliased(a, _listed(_ALIAS_TEXTS)).alias(a) for a in ("family", "type", "material", "coating", "connection"))).select("id", *(F.concat_ws("/", f"{a}.value", f"{a}.rule").alias(a) for a in ("family", "type", "material", "coating", "connection"))),
+    "rating_dimension_format": lambda s, d: table(s, d, "part").select(F.col("p_partkey").alias("id"), K.rating(_listed(_RATING_TEXTS)).alias("r"), K.dimension(_listed(_SIZE_TEXTS), "length").alias("l")).select("id", F.col("r.value").alias("rating"), F.concat_ws("/", "l.value", "l.rule").alias("length")),
     "extract_attribute_fold": lambda s, d: E.standardised(E.extracted(_records(s, d))).select(F.col("p_partkey").alias("id"), F.size("attributes").cast("long").alias("attributes"), "conflicts", "standardized", "canonical_key"),
     "extract_sizes_regex": lambda s, d: table(s, d, "part").select(F.col("p_partkey").alias("id"), F.coalesce(E.size_in(F.concat(F.lit("item "), F.element_at(F.array(*map(F.lit, ["M16X75", "DN 50", "1-1/2 IN", "3/4 in", "2.5 IN", "25 SQ MM"])), (F.col("p_partkey") % 6 + 1).cast("int")), F.lit(" x"))), F.lit("")).alias("size")),
-    "blocking_pairs": lambda s, d: _blocks(s, d).where("a % 5 = 0"),
+    "blocking_pairs": _blocks,
     "blocking_reduction": lambda s, d: M.reduction(_blocks(s, d), materials(s, d)),
-    "family_token_pairs": lambda s, d: M.blocked_pairs(materials(s, d).withColumn("t", F.concat_ws(" | ", "noun", "grade", F.col("size").cast("string"))), "material_id", {"FAMILY_TOKEN[]": M.family_tokens(F.col("family"), F.col("t"))}, 100).where("a % 10 = 0"),
+    "family_token_pairs": lambda s, d: M.blocked_pairs(materials(s, d).withColumn("t", F.concat_ws(" | ", "noun", "grade", F.col("size").cast("string"))), "material_id", {"FAMILY_TOKEN[]": M.family_tokens(F.col("family"), F.col("t"))}),
     "token_sort_similarity": _name_pairs,
     "attribute_agreement": lambda s, d: _features(s, d).select("source", "candidate", "agreement", "n"),
     "pair_scores": lambda s, d: _scored(s, d).select("source", "candidate", "description_sim", "penalty", "score", "confidence"),
-    "candidates_topk": lambda s, d: M.ranked(_scored(s, d).select("source", "candidate", "score", "cross", "key_exact"), 3).select("source", "candidate", "score", "rank"),
+    "candidates_topk": lambda s, d: M.ranked(M.both_ways(_scored(s, d).select("source", "candidate", "score", "cross", "key_exact")), 3).select("source", "candidate", "score", "rank"),
     "embedding_cosine_topk": _cosines,
     "tfidf_weights": lambda s, d: S.tfidf(materials(s, d), "description", "material_id").select("material_id", F.explode("vector").alias("term", "w")).select("material_id", "term", F.round("w", 6).alias("weight")),
     "validation_status": lambda s, d: M.validated(_scored(s, d), ["size", "name"]).groupBy("validation", "conflict_class", F.array_join("reasons", ";").alias("reasons")).agg(F.count("*").alias("n")),
@@ -202,9 +204,8 @@ def _facts(s, d):
 
 def _edges(s, d):
     """Links between materials of one noun, grade and size."""
-    own = materials(s, d)
-    a, b = (own.select("noun", "grade", "size", F.col("material_id").alias(x)) for x in "ab")
-    return a.join(b, ["noun", "grade", "size"]).where("a < b").select("a", "b")
+    own = materials(s, d).withColumn("alike", F.concat_ws("|", "noun", "grade", F.col("size").cast("string")))
+    return M.blocked_pairs(own, "material_id", {"ALIKE": F.col("alike")}).select("a", "b")
 
 
 def _coded_materials(s, d):
@@ -212,22 +213,112 @@ def _coded_materials(s, d):
 
 
 def _accepted(s, d):
-    return materials(s, d).where("size > 45").select(F.concat_ws("|", "common_code", "grade").alias("record"), "material_code").withColumnRenamed("material_code", "pair_id")
+    """Pairs of one noun, grade and size, as accepted for the record of their first material."""
+    at = _edges(s, d).join(materials(s, d).select(F.col("material_id").alias("a"), F.concat_ws("|", "common_code", "grade").alias("record")), "a")
+    return at.select("record", F.concat_ws("-", F.format_string("%06d", "a"), F.format_string("%06d", "b")).alias("pair_id"))
 
 
 def _acceptances(s, d):
     return _edges(s, d).select(F.concat(F.lit("R"), F.col("a").cast("string")).alias("record"), F.col("a").alias("source"), F.col("b").alias("candidate"), (F.col("a") % 10).alias("at"))
 
 
+#: Records that conflict in one way or another: text, family, type, subtype, grade, material, size, length, diameter, pressure, standard, conflicts as extracted.
+_CONFLICT_FIELDS = "text family type subtype grade material size length diameter pressure standard conflicts".split()
+_CONFLICT_KINDS = [
+    "GATE VALVE 2 IN CLASS 150 WCB|VALVE|GATE VALVE|||||||||", "GATE VALVE 2 IN CLASS 300 WCB|VALVE|GATE VALVE|||||||||", "GATE VALVE 2 IN 150# CF8M|VALVE|GATE VALVE|||||||||", "BALL VALVE 3 IN PN 16|VALVE|BALL VALVE|||||||||", "GLOBE VALVE 2 IN|VALVE||||||||||",
+    "BUTTERFLY VALVE 2 INCH|VALVE||||||||||", "BALL BEARING 6205||||||6205|||||", "CHECK NUT||||||6206|||||", "HEX BOLT M16 SS304|FASTENER|BOLT||||M16|||||", "HEX BOLT M16 SS 304L|FASTENER|BOLT||||M16X75|||||", "HEX BOLT M16 SS316|FASTENER|BOLT||||M16|||||",
+    "HEX BOLT M20 GRADE 8.8|FASTENER|BOLT||||M20||||IS 1363|", "STUD BOLT M20 GRADE 10.9|FASTENER|BOLT||||M20||||IS 1364|", "CABLE 3 C 25 SQ MM COPPER|ELECTRICAL||||||||||", "CABLE 3 C 25 SQMM ALUMINIUM|ELECTRICAL||||||||||", "CABLE 4C 25 SQ. MM ALUMINUM|ELECTRICAL||||||||||",
+    "CABLE 3 C 35 SQ MM|ELECTRICAL||||||||||", "GASKET NITRILE|SEAL||||||||||", "GASKET EPDM|SEAL||SPIRAL WOUND||||||||", "GASKET|SEAL||FLAT||||||||", "FLANGE|FLANGE|||A105|CARBON STEEL|2 IN||||API 600|", "FLANGE|FLANGE|||ASTM A105|CARBON STEEL|2 IN||||API 600|", "FLANGE|FLANGE|||WCB|STAINLESS STEEL|3 IN|||300|API 608|",
+    "FLANGE|FLANGE||||RUBBER|2 IN||||API 608|", "SENSOR|INSTRUMENT|||||4-WIRE|||||", "SENSOR|INSTRUMENT|||||500 MM|100 MM||||", "SENSOR|INSTRUMENT|||||500 MM|200 MM|10 MM|||", "SENSOR|INSTRUMENT|||||500 MM||12 MM|||grade: 'ASTM A105' vs 'A105'",
+    "ELBOW|PIPE|||316||||||IS 1363|", "ELBOW|PIPE|||SS 316||||||IS 1363|", "ELBOW|PIPE|||304|||||150||", "ELBOW|PIPE||||||||||",
+]
+
+
+def _conflict_records(s, d):
+    at = F.split(F.element_at(F.array(*map(F.lit, _CONFLICT_KINDS)), (F.col("material_id") % len(_CONFLICT_KINDS) + 1).cast("int")), r"\|")
+    fields = [F.nullif(F.get(at, F.lit(k)), F.lit("")).alias(n) for k, n in enumerate(_CONFLICT_FIELDS)]
+    own = materials(s, d).select("material_id", F.floor(F.col("material_id") / len(_CONFLICT_KINDS)).alias("lot"), *fields)
+    return own.withColumn("marks", M.text_marks(F.col("text")))
+
+
 def _conflicts(s, d):
-    kinds = ["gate valve 150# WCB|2 IN", "ball valve 300# WCB|2 IN", "bolt M16 SS304|M16", "bolt M20 SS316|M20", "cable 3 CORE CU|25", "cable 3 CORE AL|25"]
-    at = F.element_at(F.array(*map(F.lit, kinds)), (F.col("material_id") % 6 + 1).cast("int"))
-    own = materials(s, d).where("material_id < 200").select("material_id", at.alias("k")).select("material_id", F.split("k", r"\|")[0].alias("text"), F.split("k", r"\|")[1].alias("size"))
-    null = F.lit(None).cast("string")
-    own = own.select("material_id", null.alias("family"), null.alias("type"), null.alias("grade"), null.alias("material"), "size", null.alias("pressure"), null.alias("standard"), M.text_marks(F.col("text")).alias("marks"), F.lit(1).alias("j"))
-    a, b = (own.select("j", *(F.col(c).alias(f"{x}_{c}") for c in own.columns if c != "j")) for x in "ab")
-    pairs = a.join(b, "j").where("a_material_id < b_material_id").withColumn("c", M.conflict("a_", "b_"))
-    return pairs.groupBy("c.class", "c.reason").agg(F.count("*").alias("n"))
+    """Conflicts of all pairs of a lot, of which each has every kind of record once."""
+    own = _conflict_records(s, d)
+    a, b = (own.select("lot", *(F.col(c).alias(f"{x}_{c}") for c in own.columns if c != "lot")) for x in "ab")
+    pairs = a.join(b, "lot").where("a_material_id < b_material_id").withColumn("c", M.conflict("a_", "b_"))
+    return pairs.groupBy(F.col("c.class").alias("class"), F.array_join("c.reasons", "; ").alias("reasons")).agg(F.count("*").alias("n"))
+
+
+def _conflict_sql() -> str:
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    fields = ", ".join(f"nullif(p[{k + 1}], '') AS {n}" for k, n in enumerate(_CONFLICT_FIELDS))
+    marks = []
+    for k, (words, whole) in enumerate(M.OPPOSED.values()):
+        hit = lambda w: f"regexp_matches(up, '\\b{w}\\b')" if whole else f"contains(up, '{w}')"  # noqa: B023, E731
+        marks.append("CASE " + " ".join(f"WHEN {hit(w)} THEN '{w}'" for w in words) + f" END AS s{k}")
+    for k, (pattern, group) in enumerate(M.MEASURES.values(), len(M.OPPOSED)):
+        marks.append(f"nullif(regexp_extract(up, {q(pattern)}, {group}), '') AS s{k}")
+    same = {0: "CASE WHEN contains({0}.s0, 'ALUM') THEN 'AL' ELSE {0}.s0 END", 5: "regexp_replace({0}.s5, '[^0-9]', '', 'g')", 6: "replace({0}.s6, ' ', '')"}
+    of = lambda k, x: same.get(k, f"{{0}}.s{k}").format(x)
+    diff = lambda n: f"upper(a.{n}) <> upper(b.{n})"
+    either = lambda n, x, y: f"((contains(upper(a.{n}), '{x}') AND contains(upper(b.{n}), '{y}')) OR (contains(upper(a.{n}), '{y}') AND contains(upper(b.{n}), '{x}')))"
+    versus = lambda label, n: f"{q(label)} || ': ' || chr(39) || a.{n} || chr(39) || ' vs ' || chr(39) || b.{n} || chr(39)"
+    metric, inch = (lambda x: f"nullif(regexp_extract(upper({x}.size), '^M([0-9]+)', 1), '')"), (lambda x: f"nullif(regexp_extract(upper({x}.size), '^([0-9]+(?:/[0-9]+)?)\\s*IN', 1), '')")
+    threads = f"({metric('a')} IS NOT NULL AND {metric('b')} IS NOT NULL)"
+    hard = [(diff("family"), versus("Material family mismatch", "family")), (diff("type"), versus("Material type mismatch", "type"))]
+    for k, name in enumerate([*M.OPPOSED, *M.MEASURES]):
+        apart = f"{of(k, 'a')} <> {of(k, 'b')}"
+        if name == "fastener grade":
+            apart += "".join(f" AND NOT (contains(a.s{k}, '{g}') AND contains(b.s{k}, '{g}'))" for g in ("304", "316"))
+        hard.append((apart, f"'Incompatible {name}: ' || a.s{k} || ' vs ' || b.s{k}"))
+    hard += [(either("grade", "304", "316"), versus("Incompatible stainless steel grade", "grade")), (either("grade", "A105", "WCB"), versus("Incompatible steel form (forged vs cast)", "grade")), (either("grade", "CARBON", "STAINLESS"), versus("Incompatible base metallurgy", "grade"))]
+    hard += [(either("material", "CARBON STEEL", "STAINLESS STEEL"), versus("Base material incompatibility", "material")), (either("material", "RUBBER", "STEEL"), versus("Base material incompatibility", "material"))]
+    size = diff("size")
+    hard += [(f"{size} AND {metric('a')} <> {metric('b')}", versus("Incompatible metric bolt diameter", "size")), (f"{size} AND NOT {threads} AND {inch('a')} <> {inch('b')}", versus("Incompatible pipe/valve nominal size", "size"))]
+    hard += [(f"{size} AND regexp_matches(a.size, '^[0-9]+$') AND regexp_matches(b.size, '^[0-9]+$')", versus("Incompatible bearing number", "size")), (f"{size} AND NOT {threads} AND NOT {either('size', 'WIRE', 'MM')}", versus("Incompatible engineering size", "size"))]
+    hard += [(diff("pressure"), versus("Pressure class mismatch", "pressure")), (either("standard", "API 600", "API 608"), versus("Standard incompatibility (gate vs ball valve)", "standard"))]
+    soft = [(f"{size} AND {metric('a')} = {metric('b')}", versus("Fastener length/specification variance", "size")), (f"{size} AND {either('size', 'WIRE', 'MM')}", versus("Sensor wiring specification vs dimension", "size")), (either("standard", "IS 1363", "IS 1364"), versus("Fastener product grade variance", "standard"))]
+    then = [(diff("length"), versus("Length dimension variance", "length")), (diff("diameter"), versus("Diameter dimension variance", "diameter")), (f"{diff('subtype')} AND (contains(a.subtype, 'SPIRAL') OR contains(b.subtype, 'SPIRAL'))", versus("Construction subtype variance", "subtype"))]
+    both = " OR ".join(f"(contains(a.grade, '{g}') AND contains(b.grade, '{g}'))" for g in ("A105", "WCB", "316"))
+    written = [(f"{diff('grade')} AND ({both})", versus("Standard/grade prefix representation difference", "grade")), ("contains(a.conflicts, 'A105') OR contains(b.conflicts, 'ASTM A105')", "'Phase 3 preserved grade representation conflict: ASTM A105 vs A105'")]
+    first = lambda cases: "CASE " + " ".join(f"WHEN {c} THEN {r}" for c, r in cases) + " END"
+    every = lambda cases: "concat_ws('; ', " + ", ".join(f"CASE WHEN {c} THEN {r} END" for c, r in cases) + ")"
+    kinds = "[" + ", ".join(map(q, _CONFLICT_KINDS)) + "]"
+    return sql(f""", k AS (SELECT material_id, material_id // {len(_CONFLICT_KINDS)} AS lot, string_split({kinds}[material_id % {len(_CONFLICT_KINDS)} + 1], '|') AS p FROM materials), f AS (SELECT material_id, lot, {fields} FROM k),
+      m AS (SELECT *, {', '.join(marks)} FROM (SELECT *, upper(coalesce(text, '')) AS up FROM f)), c AS (SELECT {first(hard)} AS hard, nullif({every(soft)}, '') AS soft, {first(then)} AS later, nullif({every(written)}, '') AS written FROM m a JOIN m b USING (lot) WHERE a.material_id < b.material_id)
+      SELECT CASE WHEN hard IS NOT NULL THEN 'HARD_INCOMPATIBLE' WHEN soft IS NOT NULL OR later IS NOT NULL THEN 'SOFT_ENGINEERING_DIFFERENCE' WHEN written IS NOT NULL THEN 'REPRESENTATION_DIFFERENCE' ELSE 'NO_CONFLICT' END AS class,
+      coalesce(hard, soft, later, written, 'No engineering or representation conflicts detected') AS reasons, count(*) AS n FROM c GROUP BY ALL""")
+
+
+_SIZE_TEXTS = ["m16", "M16X75", "m 16", "dn50", "2 inch", "2in", "2\"", "1 1/2 in", "1-1/2 inch", "3/4 in", "25 mm", "2.5MM", "25sqmm", "1.5 sq mm", "10 a", "0-25bar", "ISO  VG 68", "ep2", "4-wire", "6205", "odd  one", " nan ", "None"]
+_SIZE_ANSWERS = ["M16/METRIC_BOLT", "M16X75/METRIC_BOLT", "M 16/UPPERCASE", "DN50/UPPERCASE", "2 IN/INCH", "2 IN/INCH", "2\"/UPPERCASE", "1 1/2 IN/MIXED_INCH", "1-1/2 IN/MIXED_INCH", "3/4 IN/FRACTION_INCH", "25 MM/MM", "2.5 MM/MM", "25 SQ MM/SQMM", "1.5 SQ MM/SQMM", "10 A/AMPERE", "0-25 BAR/BAR", "ISO VG 68/LUBRICANT", "EP2/LUBRICANT", "4-WIRE/WIRE", "6205/BEARING", "ODD  ONE/UPPERCASE", "", ""]
+_STANDARD_TEXTS = ["api600", "API  600A; asme b16.5", "astm a105", "iso-5", "IS1363;is 1363", "IEC60751", "iso vg68", "SAE 100 R2", "en  10204", "din 912", "astm a105;api 600; ASTM  A105", " ; ", "null"]
+_STANDARD_ANSWERS = ["API 600/STANDARD_FORMAT_API", "API 600A; ASME B16.5/STANDARD_FORMAT_MULTI", "ASTM A105/STANDARD_FORMAT_ASTM", "ISO-5/STANDARD_FORMAT_GENERIC", "IS 1363/STANDARD_FORMAT_MULTI", "IEC 60751/STANDARD_FORMAT_IEC", "ISO VG68/STANDARD_FORMAT_ISO", "SAE 100 R2/STANDARD_FORMAT_SAE", "EN 10204/STANDARD_FORMAT_EN", "DIN 912/STANDARD_FORMAT_GENERIC", "API 600; ASTM A105/STANDARD_FORMAT_MULTI", "", ""]
+_GRADE_TEXTS = ["316", "304", "a105", "ASTM A 105", "wcb", "astm a216 WCB", "a234 wpb", "A106 Gr.B", "astm a106 gr b", "ss316", "SS 316L", "ss304", "SS304L", "pt100", "Chrome Steel", "carbon steel", "Ceramic", "mineral oil", "synthetic rubber", "XLPE Aluminium", "xlpe copper", "graphite/ss 316", "en  8", "none"]
+_GRADE_ANSWERS = ["316/CANONICAL_316", "304/CANONICAL_304", "ASTM A105/FORMAT_ASTM_A105", "ASTM A105/FORMAT_ASTM_A105", "ASTM A216 WCB/FORMAT_ASTM_A216_WCB", "ASTM A216 WCB/FORMAT_ASTM_A216_WCB", "ASTM A234 WPB/FORMAT_ASTM_A234_WPB", "ASTM A106 GR.B/FORMAT_ASTM_A106_GRB", "ASTM A106 GR.B/FORMAT_ASTM_A106_GRB", "SS 316/FORMAT_SS316", "SS 316L/FORMAT_SS316", "SS 304/FORMAT_SS304", "SS 304L/FORMAT_SS304", "PT100/FORMAT_PT100", "CHROME STEEL/CANONICAL_CHROME_STEEL", "CARBON STEEL/CANONICAL_CARBON_STEEL", "CERAMIC/CANONICAL_CERAMIC", "MINERAL OIL/CANONICAL_MINERAL_OIL", "SYNTHETIC RUBBER/CANONICAL_SYNTHETIC_RUBBER", "XLPE ALUMINIUM/CANONICAL_XLPE_AL", "XLPE COPPER/CANONICAL_XLPE_CU", "GRAPHITE/SS 316/CANONICAL_GRAPHITE_SS316", "EN 8/UPPERCASE", ""]
+_ALIAS_TEXTS = ["Valves", "pipes & fittings", "Hex Nut", "ball-valve", "SS", "stainless steel", "zinc-plated", "Weld-Neck", "odd  one", "NaN"]
+_ALIAS_ANSWERS = {
+    "family": ["VALVE/FAMILY_CANONICAL", "PIPE/FITTING/FAMILY_CANONICAL", "HEX NUT/FAMILY_UPPERCASE", "BALL-VALVE/FAMILY_UPPERCASE", "SS/FAMILY_UPPERCASE", "STAINLESS STEEL/FAMILY_UPPERCASE", "ZINC-PLATED/FAMILY_UPPERCASE", "WELD-NECK/FAMILY_UPPERCASE", "ODD  ONE/FAMILY_UPPERCASE", ""],
+    "type": ["VALVES/TYPE_UPPERCASE", "PIPES & FITTINGS/TYPE_UPPERCASE", "NUT/TYPE_CANONICAL", "BALL VALVE/TYPE_CANONICAL", "SS/TYPE_UPPERCASE", "STAINLESS STEEL/TYPE_UPPERCASE", "ZINC-PLATED/TYPE_UPPERCASE", "WELD-NECK/TYPE_UPPERCASE", "ODD ONE/TYPE_UPPERCASE", ""],
+    "material": ["VALVES/MATERIAL_UPPERCASE", "PIPES & FITTINGS/MATERIAL_UPPERCASE", "HEX NUT/MATERIAL_UPPERCASE", "BALL-VALVE/MATERIAL_UPPERCASE", "STAINLESS STEEL/MATERIAL_ALIAS_SS", "STAINLESS STEEL/MATERIAL_CANONICAL", "ZINC-PLATED/MATERIAL_UPPERCASE", "WELD-NECK/MATERIAL_UPPERCASE", "ODD  ONE/MATERIAL_UPPERCASE", ""],
+    "coating": ["VALVES/COATING_UPPERCASE", "PIPES & FITTINGS/COATING_UPPERCASE", "HEX NUT/COATING_UPPERCASE", "BALL-VALVE/COATING_UPPERCASE", "SS/COATING_UPPERCASE", "STAINLESS STEEL/COATING_UPPERCASE", "ZINC PLATED/COATING_FORMAT", "WELD-NECK/COATING_UPPERCASE", "ODD  ONE/COATING_UPPERCASE", ""],
+    "connection": ["VALVES/CONNECTION_UPPERCASE", "PIPES & FITTINGS/CONNECTION_UPPERCASE", "HEX NUT/CONNECTION_UPPERCASE", "BALL-VALVE/CONNECTION_UPPERCASE", "SS/CONNECTION_UPPERCASE", "STAINLESS STEEL/CONNECTION_UPPERCASE", "ZINC-PLATED/CONNECTION_UPPERCASE", "WELD NECK/CONNECTION_FORMAT", "ODD  ONE/CONNECTION_UPPERCASE", ""],
+}
+_RATING_TEXTS = ["90 deg", "45°", "60 Degree", "10 bar", "null"]
+
+
+def _listed(texts: list[str]):
+    """One of the texts, by the part's number."""
+    return F.element_at(F.array(*map(F.lit, texts)), (F.col("p_partkey") % len(texts) + 1).cast("int"))
+
+
+def _answer_sql(answers: list[str]) -> str:
+    return "[" + ", ".join("'" + x + "'" for x in answers) + f"][p_partkey % {len(answers)} + 1]"
+
+
+def _said_sql(answers: list[str], name: str, prefix: str) -> str:
+    """Expected values and rules (behind the last stroke), as the rules' description has them."""
+    return f"SELECT id, nullif(regexp_extract(x, '^(.*)/([A-Z0-9_]+)$', 1), '') AS {name}, nullif('{prefix}' || nullif(regexp_extract(x, '^(.*)/([A-Z0-9_]+)$', 2), ''), '') AS rule FROM (SELECT p_partkey AS id, {_answer_sql(answers)} AS x FROM part)"
 
 
 def _key_sql(x: str) -> str:
@@ -239,7 +330,7 @@ def _tsr_sql(a: str, b: str) -> str:
 
 
 _FEATURE_SQL = f""", own AS (SELECT material_id, family, noun, grade, owner_id, {_sorted_sql("noun || ' ' || description || ' M' || size")} AS text, 'M' || nullif(size % 4, 0) AS sized, {_sorted_sql("upper(nullif(description, 'red bolt'))")} AS name FROM materials),
-duos AS (SELECT x.material_id AS source, y.material_id AS candidate, x.owner_id <> y.owner_id AS crossed, x.text AS ta, y.text AS tb, x.sized AS za, y.sized AS zb, x.name AS na, y.name AS nb FROM own x JOIN own y USING (family, noun, grade) WHERE x.material_id < y.material_id),
+duos AS (SELECT x.material_id AS source, y.material_id AS candidate, x.owner_id <> y.owner_id AS crossed, x.text AS ta, y.text AS tb, x.sized AS za, y.sized AS zb, x.name AS na, y.name AS nb FROM own x JOIN own y USING (family, noun, grade) WHERE x.material_id < y.material_id AND (family, noun, grade) IN (SELECT (family, noun, grade) FROM own GROUP BY family, noun, grade HAVING count(*) <= 300)),
 each_one AS (SELECT *, {_tsr_sql('ta', 'tb')} AS tsr, CASE WHEN za IS NULL AND zb IS NULL THEN NULL WHEN za IS NULL OR zb IS NULL THEN 0.0 WHEN za = zb THEN 1.0 ELSE {_tsr_sql('za', 'zb')} END AS z,
   CASE WHEN na IS NULL AND nb IS NULL THEN NULL WHEN na IS NULL OR nb IS NULL THEN 0.0 WHEN na = nb THEN 1.0 ELSE {_tsr_sql('na', 'nb')} END AS m FROM duos),
 features AS (SELECT *, round(tsr, 4) AS raw_sim, coalesce(za <> zb, false) AS hard, coalesce(na = nb, false) AS key_exact, ta = tb AS raw_same, CAST((z IS NOT NULL)::INT + (m IS NOT NULL)::INT AS BIGINT) AS n,
@@ -249,11 +340,33 @@ scored AS (SELECT *, CASE WHEN hard THEN least(0.25, greatest(0.05, round(base -
 labelled AS (SELECT *, CASE WHEN hard THEN 'LOW' WHEN score >= 0.80 AND key_exact THEN 'HIGH' WHEN score >= 0.60 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM scored)"""
 
 _COS = """SELECT source, candidate, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, candidate) AS rank FROM (SELECT x.vec_id AS source, y.vec_id AS candidate,
-  round(least(1.0, greatest(0.0, list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]))), 4) AS score FROM embeddings x JOIN embeddings y USING (label) WHERE x.vec_id <> y.vec_id)) WHERE rank <= 5"""
-_EDGES_SQL = ", edges AS (SELECT x.material_id AS a, y.material_id AS b FROM materials x JOIN materials y USING (noun, grade, size) WHERE x.material_id < y.material_id)"
+  round(least(1.0, greatest(0.0, list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]))), 4) AS score FROM embeddings x JOIN embeddings y USING (label) WHERE x.vec_id <> y.vec_id AND x.vec_id % 50 = 0)) WHERE rank <= 5"""
+_EDGES_SQL = ", edges AS (SELECT x.material_id AS a, y.material_id AS b FROM materials x JOIN materials y USING (noun, grade, size) WHERE x.material_id < y.material_id AND (noun, grade, size) IN (SELECT (noun, grade, size) FROM materials GROUP BY noun, grade, size HAVING count(*) <= 300))"
+_ACCEPTED_SQL = _EDGES_SQL + ", accepted AS (SELECT common_code || '|' || grade AS record, min(printf('%06d-%06d', a, b)) AS pair_id FROM edges JOIN materials ON a = material_id GROUP BY ALL)"
 _MAPPED_SQL = _EDGES_SQL + ", mapped AS (SELECT material, arg_max(record, (day, record)) AS record FROM (SELECT 'R' || a AS record, a % 10 AS day, unnest([a, b]) AS material FROM edges) GROUP BY material)"
 _FACTS_SQL = "facts AS (SELECT p_partkey AS code, ['Active', 'Slow-Moving', 'Obsolete'][p_partkey % 3 + 1] AS status, CASE WHEN p_partkey % 11 = 0 THEN 0 ELSE p_size * 40 END AS consumption, CASE WHEN p_partkey % 7 = 0 THEN CAST(p_size AS DOUBLE) END AS given FROM part)"
 
+#: Each decision and the state have the same fields, so that a fold can take one into the other.
+_STATE = "{'status': %s, 'endorser': %s, 'errors': %s, 'n': %s, 'enterprise': %s, 'verdict': %s}"
+_OPEN, _GATE = "s.status IN ('PENDING_REVIEW', 'GATE_1_APPROVED', 'ALREADY_MAPPED')", "s.status = 'GATE_1_APPROVED'"
+_AGAIN = f"coalesce(x.verdict = 'ACCEPT' AND {_GATE} AND s.endorser = x.enterprise, false)"
+_STEP = _STATE % (
+    f"CASE WHEN NOT {_OPEN} OR {_AGAIN} OR x.verdict = 'DEFER' THEN s.status WHEN x.verdict = 'OVERRIDE' THEN 'ACCEPTED' WHEN x.verdict = 'ACCEPT' AND s.status <> 'PENDING_REVIEW' THEN 'ACCEPTED' WHEN x.verdict = 'ACCEPT' THEN 'GATE_1_APPROVED' WHEN x.verdict = 'DIFFERENT' OR {_GATE} THEN 'DIFFERENT' ELSE 'REJECTED' END",
+    "CASE WHEN s.status = 'PENDING_REVIEW' AND x.verdict = 'ACCEPT' THEN x.enterprise ELSE s.endorser END", f"s.errors + CASE WHEN NOT {_OPEN} OR {_AGAIN} THEN 1 ELSE 0 END", "s.n + 1", "NULL::VARCHAR", "NULL::VARCHAR",
+)
+_DECIDED_SQL = f""", made AS (SELECT match_id * 100 + actor % 100 AS match_id, ts, event_id, CAST(event_id % 3 AS VARCHAR) AS enterprise, CASE action WHEN 'click' THEN 'ACCEPT' WHEN 'view' THEN 'DEFER' WHEN 'purchase' THEN 'OVERRIDE' WHEN 'error' THEN 'REJECT' ELSE 'DIFFERENT' END AS verdict FROM reviews),
+lists AS (SELECT match_id, list({_STATE % ('NULL::VARCHAR', 'NULL::VARCHAR', '0::BIGINT', '0::BIGINT', 'enterprise', 'verdict')} ORDER BY ts, event_id) AS d FROM made GROUP BY match_id),
+ends AS (SELECT match_id, list_reduce(list_prepend({_STATE % ("CASE WHEN match_id % 7 = 0 THEN 'ALREADY_MAPPED' ELSE 'PENDING_REVIEW' END", 'NULL::VARCHAR', '0::BIGINT', '0::BIGINT', 'NULL::VARCHAR', 'NULL::VARCHAR')}, d), lambda s, x: {_STEP}) AS e FROM lists)
+SELECT match_id, e.status AS status, e.endorser AS endorser, e.n AS decisions, e.errors AS errors FROM ends"""
+_VALIDATED_SQL = """judged AS (SELECT *, coalesce((za IS NOT NULL AND zb IS NOT NULL)::INT, 0) + coalesce((na IS NOT NULL AND nb IS NOT NULL)::INT, 0) AS filled, coalesce((za = zb)::INT, 0) + coalesce((na = nb)::INT, 0) AS agreeing, coalesce(na <> nb, false) AS soft FROM labelled),
+validated AS (SELECT *, CASE WHEN hard THEN 'HARD_INCOMPATIBLE' WHEN soft THEN 'SOFT_ENGINEERING_DIFFERENCE' ELSE 'NO_CONFLICT' END AS conflict_class,
+  concat_ws(';', CASE WHEN key_exact THEN 'EXACT_CANONICAL_KEY' END, CASE WHEN soft THEN 'SECONDARY_ATTR_DIFFERENCE' END, CASE WHEN hard THEN 'SIZE_MISMATCH' END, CASE WHEN filled < 2 AND NOT key_exact THEN 'SPARSE_ATTRIBUTES' END) AS reasons,
+  CASE WHEN hard THEN 'ENGINEERING_INCOMPATIBLE' WHEN filled < 2 AND NOT key_exact THEN 'INSUFFICIENT_EVIDENCE' WHEN soft THEN 'REVIEW_REQUIRED' WHEN key_exact OR (score >= 0.85 AND filled = agreeing) THEN 'VALIDATED_COMPATIBLE' WHEN score >= 0.70 THEN 'PROBABLE_COMPATIBLE' ELSE 'REVIEW_REQUIRED' END AS validation FROM judged)"""
+_REFINED_SQL = """refined_ones AS (SELECT *, round(CASE validation WHEN 'ENGINEERING_INCOMPATIBLE' THEN least(0.39, greatest(0.0, score - 0.50)) WHEN 'INSUFFICIENT_EVIDENCE' THEN least(0.49, greatest(0.0, score - 0.20)) WHEN 'REVIEW_REQUIRED' THEN least(0.79, greatest(0.40, score - 0.15))
+  WHEN 'PROBABLE_COMPATIBLE' THEN least(0.95, greatest(0.65, score)) ELSE least(1.0, greatest(0.85, score)) END, 4) AS refined FROM validated),
+prioritised AS (SELECT *, CASE WHEN validation IN ('ENGINEERING_INCOMPATIBLE', 'INSUFFICIENT_EVIDENCE') THEN 'LOW' WHEN validation = 'REVIEW_REQUIRED' THEN 'MEDIUM' WHEN validation = 'VALIDATED_COMPATIBLE' OR refined >= 0.85 THEN 'HIGH' ELSE 'MEDIUM' END AS refined_confidence,
+  CASE WHEN validation IN ('ENGINEERING_INCOMPATIBLE', 'INSUFFICIENT_EVIDENCE') THEN 'LOW' WHEN crossed AND validation = 'REVIEW_REQUIRED' THEN 'CRITICAL' WHEN crossed THEN 'HIGH' WHEN validation IN ('REVIEW_REQUIRED', 'VALIDATED_COMPATIBLE') THEN 'MEDIUM' ELSE 'LOW' END AS priority FROM refined_ones)"""
+
 ORACLE_SQL = {
     "normalize_whitespace": f"WITH {_RAW_SQL} SELECT id, {_COLLAPSE.format(_STRIP.format('description'))} AS text FROM raw",
     "normalize_unicode_symbols": f"WITH {_RAW_SQL} SELECT id, {_STEPS['UNICODE_NORMALIZATION']('description')} AS text FROM raw",
@@ -264,13 +377,25 @@ ORACLE_SQL = {
     "rule_usage": f"{_sql_normalised()} SELECT rule, count(*) AS n FROM (SELECT unnest(string_split(rules, ';')) AS rule FROM normal WHERE rules <> '') GROUP BY rule",
     "canonical_keys": sql(f"SELECT material_id, {_key_sql('family')} || '|' || {_key_sql(chr(39).join(['noun || ', ' - ', ' || grade']))} || '|' || {_key_sql('CAST(size AS VARCHAR)')} AS key FROM materials"),
     "canonical_key_frequency": sql("SELECT count(*) AS keys, count(*) FILTER (WHERE n = 1) AS single, CAST(coalesce(sum(n) FILTER (WHERE n > 1), 0) AS BIGINT) AS in_shared FROM (SELECT count(*) AS n FROM materials GROUP BY family, noun, grade)"),
-    "standards_format": "SELECT p_partkey AS id, 'ASTM A' || p_size || '; ISO ' || p_size AS standard FROM part",
-    "size_format": "SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'M' || p_size WHEN 1 THEN 'DN ' || p_size WHEN 2 THEN p_size || ' IN' ELSE p_size || ' MM' END AS size FROM part",
+    "standards_format": _said_sql(_STANDARD_ANSWERS, "standard", ""),
+    "size_format": _said_sql([x.replace("/BEARING", "/SIZE_BEARING_NUMBER").replace("/UPPERCASE", "/SIZE_UPPERCASE") if x.endswith(("/BEARING", "/UPPERCASE")) else "/SIZE_FORMAT_".join(x.rsplit("/", 1)) if x else x for x in _SIZE_ANSWERS], "size", ""),
+    "grade_format": _said_sql(_GRADE_ANSWERS, "grade", "GRADE_"),
+    "canonical_aliases": "SELECT p_partkey AS id, " + ", ".join(f"{_answer_sql(x)} AS {a}" for a, x in _ALIAS_ANSWERS.items()) + " FROM part",
+    "rating_dimension_format": "SELECT p_partkey AS id, ['90 DEG', '45 DEG', '60 DEGREE', '10 BAR', NULL][p_partkey % 5 + 1] AS rating, " + _answer_sql([x.rsplit("/", 1)[0] + "/LENGTH_FORMAT_MM" if x.endswith("/MM") else (t.strip().upper() + "/LENGTH_UPPERCASE" if x else "") for x, t in zip(_SIZE_ANSWERS, _SIZE_TEXTS, strict=True)]) + " AS length FROM part",
+    "conflict_class": _conflict_sql(),
+    "uuid5_codes": sql(f"SELECT material_id, {uuid5_sql('material_code')} AS uuid FROM materials"),
+    "crosswalk_uuid5": sql(f"SELECT enterprise, material_code, {uuid5_sql(chr(39) + 'LEGACY_MAP:' + chr(39) + ' || enterprise || ' + chr(39) + ':' + chr(39) + ' || material_code || ' + chr(39) + ':' + chr(39) + ' || record')} AS mapping_id FROM (SELECT enterprise, material_code, common_code || '|' || grade AS record FROM materials JOIN enterprises ON owner_id = enterprise_id)"),
+    "decision_state_machine": sql(_DECIDED_SQL),
+    "validation_status": sql(f"{_FEATURE_SQL}, {_VALIDATED_SQL} SELECT validation, conflict_class, reasons, count(*) AS n FROM validated GROUP BY ALL"),
+    "refined_confidence": sql(f"{_FEATURE_SQL}, {_VALIDATED_SQL}, {_REFINED_SQL} SELECT refined_confidence, priority, count(*) AS n, round(avg(refined), 4) AS refined FROM prioritised GROUP BY ALL"),
+    "review_partitions": sql(f"{_FEATURE_SQL}, {_VALIDATED_SQL}, {_REFINED_SQL} SELECT CASE WHEN priority IN ('CRITICAL', 'HIGH') THEN 'ACTIVE' WHEN validation IN ('ENGINEERING_INCOMPATIBLE', 'INSUFFICIENT_EVIDENCE') THEN 'DISQUALIFIED' ELSE 'SECONDARY' END AS part, count(*) AS n FROM prioritised GROUP BY ALL"),
+    "upgrade_superseded": sql(f"""{_MAPPED_SQL}, kinds AS (SELECT material_id, family, noun, grade FROM materials), duos AS (SELECT x.material_id AS source, y.material_id AS candidate FROM kinds x JOIN kinds y USING (family, noun, grade) WHERE x.material_id < y.material_id AND (family, noun, grade) IN (SELECT (family, noun, grade) FROM kinds GROUP BY family, noun, grade HAVING count(*) <= 300))
+      SELECT DISTINCT other AS material, record, 'ALREADY_MAPPED' AS status, 'SUPERSEDED_BY_RECORD' AS old_status FROM (SELECT source AS material, candidate AS other FROM duos UNION ALL SELECT candidate, source FROM duos) JOIN mapped USING (material) WHERE other NOT IN (SELECT material FROM mapped)"""),
     "extract_sizes_regex": "SELECT p_partkey AS id, ['M16X75', 'DN50', '1-1/2 in', '3/4 in', '2.5 in', '25 sq mm'][p_partkey % 6 + 1] AS size FROM part",
-    "blocking_pairs": sql(f"{_BLOCK_SQL} SELECT * FROM pairs WHERE a % 5 = 0"),
+    "blocking_pairs": sql(f"{_BLOCK_SQL} SELECT * FROM pairs"),
     "blocking_reduction": sql(f"{_BLOCK_SQL} SELECT n AS records, p AS pairs, round(1 - p / (n * (n - 1) / 2), 6) AS reduction FROM (SELECT count(*) AS n FROM materials), (SELECT count(*) AS p FROM pairs)"),
     "family_token_pairs": sql(""", tokens AS (SELECT DISTINCT material_id AS id, upper(family) || '~' || t AS v FROM (SELECT material_id, family, unnest([upper(noun), upper(grade), CAST(size AS VARCHAR)]) AS t FROM materials) WHERE length(t) >= 3 AND NOT regexp_matches(t, '^[0-9]+$')),
-      kept AS (SELECT * FROM tokens WHERE v IN (SELECT v FROM tokens GROUP BY v HAVING count(*) BETWEEN 2 AND 100)) SELECT DISTINCT x.id AS a, y.id AS b, 'FAMILY_TOKEN' AS blocks FROM kept x JOIN kept y USING (v) WHERE x.id < y.id AND x.id % 10 = 0"""),
+      kept AS (SELECT * FROM tokens WHERE v IN (SELECT v FROM tokens GROUP BY v HAVING count(*) BETWEEN 2 AND 300)) SELECT DISTINCT x.id AS a, y.id AS b, 'FAMILY_TOKEN' AS blocks FROM kept x JOIN kept y USING (v) WHERE x.id < y.id"""),
     "token_sort_similarity": _SIM_SQL,
     "attribute_agreement": sql(f"{_FEATURE_SQL} SELECT source, candidate, agreement, n FROM labelled"),
     "pair_scores": sql(f"{_FEATURE_SQL} SELECT source, candidate, raw_sim AS description_sim, penalty, score, confidence FROM labelled"),
@@ -284,7 +409,7 @@ ORACLE_SQL = {
       SELECT material_id, term, round(v / sqrt(sum(v * v) OVER (PARTITION BY material_id)), 6) AS weight FROM weights"""),
     "components": sql(_EDGES_SQL + " SELECT min(material_id) AS component, count(*) AS members, max(material_id) AS largest FROM materials GROUP BY noun, grade, size HAVING count(*) > 1"),
     "common_codes": sql("SELECT *, 'CMN-' || left(regexp_replace(upper(family), '[^A-Z]', '', 'g'), 6) || '-' || upper(left(sha256(family || '|' || noun), 6)) || '-001' AS code FROM (SELECT family, noun, count(*) AS members FROM materials GROUP BY ALL)"),
-    "crosswalk": sql(""", accepted AS (SELECT common_code || '|' || grade AS record, min(material_code) AS pair_id FROM materials WHERE size > 45 GROUP BY ALL) SELECT enterprise, material_code, record, pair_id, CASE WHEN pair_id IS NULL THEN 'MAPPED_STANDALONE' ELSE 'MAPPED_VERIFIED' END AS status,
+    "crosswalk": sql(_ACCEPTED_SQL + """ SELECT enterprise, material_code, record, pair_id, CASE WHEN pair_id IS NULL THEN 'MAPPED_STANDALONE' ELSE 'MAPPED_VERIFIED' END AS status,
       CASE WHEN pair_id IS NULL THEN 'STANDALONE' ELSE 'DIRECT_ACCEPTED' END AS method, CASE WHEN pair_id IS NULL THEN 'STANDALONE_IDENTITY' ELSE 'VERIFIED_CROSS_ENTERPRISE' END AS basis, CAST(1 AS DOUBLE) AS confidence
       FROM (SELECT enterprise, material_code, common_code || '|' || grade AS record FROM materials JOIN enterprises ON owner_id = enterprise_id) LEFT JOIN accepted USING (record)"""),
     "consolidate_attributes": sql(""", v AS (SELECT grade, list_sort(list(DISTINCT CASE WHEN size % 2 = 0 THEN noun ELSE description END)) AS v FROM materials GROUP BY grade), l AS (SELECT *, list_sort(list_transform(v, lambda x: (length(x), x)))[-1][2] AS longest FROM v)

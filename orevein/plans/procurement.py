@@ -28,8 +28,8 @@ QUERIES = {
     "demand_by_enterprise": lambda s, d: P.by_enterprise(demand(s, d), ["required", "forecast"]),
     "demand_by_code": lambda s, d: P.demand_by_code(demand(s, d)),
     "demand_detail": lambda s, d: P.demand_detail(demand(s, d), CODE),
-    "sourcing_opportunities": lambda s, d: P.opportunities(inventory(s, d).where("day >= date '2001-06-01'"), demand(s, d).where("period >= '2001-Q1'")),
-    "combined_by_uom": lambda s, d: P.combined_by_uom(inventory(s, d).where("uom <> 'A'"), demand(s, d).where("uom <> 'N'"), CODE),
+    "sourcing_opportunities": lambda s, d: P.opportunities(inventory(s, d), demand(s, d)),
+    "combined_by_uom": lambda s, d: P.combined_by_uom(inventory(s, d), demand(s, d), CODE),
     "purchase_history": lambda s, d: _dated(P.purchase_history(purchases(s, d), CODE), "po_date"),
     "price_variance": lambda s, d: P.price_variance(purchases(s, d)),
     "tender_aggregation": lambda s, d: P.tender_aggregation(demand(s, d)),
@@ -72,10 +72,10 @@ ORACLE_SQL = {
       (SELECT enterprise, period, uom, round(sum(required), 2) AS required, round(sum(forecast), 2) AS forecast FROM demand WHERE common_code = '{CODE}' GROUP BY ALL)"""),
     "sourcing_opportunities": sql("""SELECT common_code, uom, coalesce(holders, 0) AS holders, coalesce(available, 0.0) AS available, coalesce(requesters, 0) AS requesters, coalesce(required, 0.0) AS required,
       CASE WHEN holders IS NOT NULL AND requesters IS NOT NULL THEN 'SHARED_STOCK_AND_DEMAND' WHEN holders IS NOT NULL THEN 'SHARED_STOCK' ELSE 'SHARED_DEMAND' END AS kind FROM
-      (SELECT common_code, uom, count(DISTINCT enterprise) AS holders, round(sum(available), 2) AS available FROM inventory WHERE available > 0 AND day >= DATE '2001-06-01' GROUP BY ALL HAVING count(DISTINCT enterprise) >= 2)
-      FULL JOIN (SELECT common_code, uom, count(DISTINCT enterprise) AS requesters, round(sum(required), 2) AS required FROM demand WHERE period >= '2001-Q1' GROUP BY ALL HAVING count(DISTINCT enterprise) >= 2) USING (common_code, uom)"""),
+      (SELECT common_code, uom, count(DISTINCT enterprise) AS holders, round(sum(available), 2) AS available FROM inventory WHERE available > 0 GROUP BY ALL HAVING count(DISTINCT enterprise) >= 2)
+      FULL JOIN (SELECT common_code, uom, count(DISTINCT enterprise) AS requesters, round(sum(required), 2) AS required FROM demand GROUP BY ALL HAVING count(DISTINCT enterprise) >= 2) USING (common_code, uom)"""),
     "combined_by_uom": sql(f"""SELECT *, CASE WHEN net IS NULL THEN 'ONE_SIDED' WHEN net > 0 THEN 'PROCURE' ELSE 'COVERED' END AS insight FROM (SELECT uom, available, required, round(required - available, 2) AS net FROM
-      (SELECT uom, round(sum(available), 2) AS available FROM inventory WHERE uom <> 'A' AND common_code = '{CODE}' GROUP BY uom) FULL JOIN (SELECT uom, round(sum(required), 2) AS required FROM demand WHERE uom <> 'N' AND common_code = '{CODE}' GROUP BY uom) USING (uom))"""),
+      (SELECT uom, round(sum(available), 2) AS available FROM inventory WHERE common_code = '{CODE}' GROUP BY uom) FULL JOIN (SELECT uom, round(sum(required), 2) AS required FROM demand WHERE common_code = '{CODE}' GROUP BY uom) USING (uom))"""),
     "purchase_history": sql(f"SELECT po_number, CAST(po_date AS VARCHAR) AS po_date, enterprise, supplier, quantity, round(unit_price, 8) AS unit_price, uom FROM purchases WHERE common_code = '{CODE}'"),
     "price_variance": sql("""SELECT *, CASE WHEN least > 0 THEN round((most - least) * 100 / least, 1) ELSE 0.0 END AS variance_pct, round(most - least, 2) AS saving_a_unit FROM
       (SELECT common_code, uom, count(*) AS enterprises, min(price) AS least, max(price) AS most, arg_min(enterprise, (price, enterprise)) AS cheapest FROM

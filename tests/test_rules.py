@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from orevein.functions import ids, similarity, text
+from orevein.functions import canonical, ids, similarity, text
 from orevein.operators import extraction, grouping, matching, review
 from orevein.sources import catalogs
 
@@ -26,12 +26,12 @@ def one(spark, column, value):
         (text.uom, " pcs", "NOS"),
         (text.uom, "box", "BOX"),
         (text.key_token, " gate valve/2-in (x)", "GATE_VALVE_2_IN_X"),
-        (text.standards, "api-600; ASTM  A105;API 600;", "API 600; ASTM A105"),
-        (text.size, "2 inch", "2 IN"),
-        (text.size, "1-1/2 in", "1-1/2 IN"),
-        (text.size, "dn 50", "DN 50"),
-        (text.size, "m16", "M16"),
-        (text.size, "odd", "ODD"),
+        (lambda c: canonical.standard(c)["value"], "api-600; ASTM  A105;API600;", "API 600; API-600; ASTM A105"),
+        (lambda c: canonical.size(c)["value"], "2 inch", "2 IN"),
+        (lambda c: canonical.size(c)["rule"], "1-1/2 in", "SIZE_FORMAT_MIXED_INCH"),
+        (lambda c: canonical.size(c)["value"], "dn 50", "DN 50"),
+        (lambda c: canonical.size(c)["value"], "m16", "M16"),
+        (lambda c: canonical.size(c)["value"], "odd", "ODD"),
     ],
 )
 def test_text_rules(spark, rule, value, expected):
@@ -45,6 +45,63 @@ def test_normalised_keeps_a_trail_and_nulls(spark):
     assert out[2] == out[3] == (None, [])
 
 
+def test_lcs_by_bits_equals_rows(spark):
+    import random
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcd é") for _ in range(rng.choice([0, 1, 5, 30, 61, 62, 63, 90]))) for _ in range(60)]
+    rows = spark.createDataFrame([(texts[k], rng.choice(texts)) for k in range(60)], "a string, b string")
+
+    def table(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    for r in rows.select("a", "b", similarity.lcs(F.col("a"), F.col("b")).alias("n")).collect():
+        assert r.n == table(r.a, r.b)
+
+
+@pytest.mark.parametrize(
+    ("a", "b", "expected", "reason"),
+    [
+        ({"family": "VALVE"}, {"family": "pump"}, "HARD", "Material family mismatch: 'VALVE' vs 'pump'"),
+        ({"text": "bolt SS304"}, {"text": "bolt SS316"}, "HARD", "Incompatible fastener grade: SS304 vs SS316"),
+        ({"text": "bolt SS304"}, {"text": "bolt SS 304L"}, "NO", "No engineering"),
+        ({"text": "flange class 150"}, {"text": "flange CLASS 300"}, "HARD", "Incompatible pressure rating: CLASS 150 vs CLASS 300"),
+        ({"text": "flange 150#"}, {"text": "flange PN 150"}, "NO", "No engineering"),
+        ({"text": "valve WCB"}, {"text": "valve CF8M"}, "HARD", "Incompatible casting metallurgy: WCB vs CF8M"),
+        ({"text": "valve CF8"}, {"text": "valve CF8M"}, "HARD", "Incompatible casting metallurgy: CF8 vs CF8M"),
+        ({"text": "ball bearing 6205"}, {"text": "check nut"}, "NO", "No engineering"),
+        ({"text": "wire aluminum"}, {"text": "wire aluminium"}, "NO", "No engineering"),
+        ({"text": "wire aluminum"}, {"text": "wire copper"}, "HARD", "Incompatible conductor metallurgy: ALUMINUM vs COPPER"),
+        ({"text": "seal viton"}, {"text": "seal nbr"}, "HARD", "Incompatible sealing elastomer: VITON vs NBR"),
+        ({"text": "cable 3 c 25 sqmm"}, {"text": "cable 4C 25 SQ.MM"}, "HARD", "Incompatible cable core count: 3C vs 4C".replace("3C vs 4C", "3 vs 4")),
+        ({"size": "M16"}, {"size": "M16X75"}, "SOFT", "Fastener length/specification variance: 'M16' vs 'M16X75'"),
+        ({"size": "M16"}, {"size": "M20"}, "HARD", "Incompatible metric bolt diameter: 'M16' vs 'M20'"),
+        ({"size": "4-WIRE"}, {"size": "500 MM"}, "SOFT", "Sensor wiring specification vs dimension: '4-WIRE' vs '500 MM'"),
+        ({"size": "2 IN"}, {"size": "50 MM"}, "HARD", "Incompatible engineering size: '2 IN' vs '50 MM'"),
+        ({"length": "1 M"}, {"length": "2 M"}, "SOFT", "Length dimension variance: '1 M' vs '2 M'"),
+        ({"subtype": "spiral wound"}, {"subtype": "flat"}, "SOFT", "Construction subtype variance: 'spiral wound' vs 'flat'"),
+        ({"grade": "A105"}, {"grade": "ASTM A105"}, "REPR", "Standard/grade prefix representation difference: 'A105' vs 'ASTM A105'"),
+        ({"conflicts": "A105"}, {}, "REPR", "Phase 3 preserved grade representation conflict: ASTM A105 vs A105"),
+        ({}, {"conflicts": "A105"}, "NO", "No engineering"),
+        ({"standard": "API 600"}, {"standard": "API 608"}, "HARD", "Standard incompatibility (gate vs ball valve): 'API 600' vs 'API 608'"),
+        ({"family": "nan", "type": "X"}, {"family": "pump", "type": "x"}, "NO", "No engineering"),
+    ],
+)
+def test_conflicts(spark, a, b, expected, reason):
+    fields = "text family type subtype grade material size length diameter pressure standard conflicts".split()
+    schema = ", ".join(f"{s}_{f} string" for s in "ab" for f in fields)
+    rows = spark.createDataFrame([tuple([a.get(f) for f in fields] + [b.get(f) for f in fields])], schema)
+    rows = rows.withColumn("a_marks", matching.text_marks(F.col("a_text"))).withColumn("b_marks", matching.text_marks(F.col("b_text")))
+    said = rows.select(matching.conflict("a_", "b_").alias("c")).first().c
+    assert said["class"].startswith(expected) and said["reasons"][0].startswith(reason)
+
+
 @pytest.mark.parametrize(("a", "b", "expected"), [("BALL GATE VALVE", "BALL VALVE", 0.8), ("a b", "b a", 1.0), ("", "", 1.0), ("", "x", 0.0), ("abc", "xyz", 0.0)])
 def test_token_sort(spark, a, b, expected):
     row = spark.createDataFrame([(a, b)], "a string, b string").select(similarity.token_sort(F.col("a"), F.col("b")).alias("y")).first()
