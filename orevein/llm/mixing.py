@@ -101,7 +101,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
     A repeated row is a document of its own. An empty table gives no rows. Other columns are left alone. Uniform numbers hang on the
     seed, the source's rank and the block alone, so that reruns agree.
     """
-    sized = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words_of(F.col("text")).alias("size")), "mix-sizes")
+    return _mixed(docs, weights, most, seed).drop("text_hash")
+
+
+def _mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = 7) -> DataFrame:
+    """mix(), with a hash of the text: null and repeated doc_ids are told apart by it."""
+    sized = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words_of(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash")), "mix-sizes")
     targets = source_targets(sized, weights, most)
     counts = sized.groupBy(F.col("source").alias("_source")).agg(F.count("*").alias("n"))
     targets = stored(targets.join(counts, F.col("source").eqNullSafe(F.col("_source"))).drop("_source"), "mix-targets")
@@ -112,13 +117,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
         .withColumn("expected", F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
         .withColumn("whole", F.floor("expected"))
         .withColumn("p", F.col("expected") - F.col("whole"))
-        .withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks")))
+        .withColumn("block", F.pmod(F.xxhash64("doc_id", "text_hash", F.lit(seed)), F.col("blocks")))
     )
     # pandas has no null in a column of longs and would make it one of floats, which lose digits
     placed = placed.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
     cols = ["rank", "block", "doc_id", "size", "p"]
-    leaves = placed.select(*cols, F.lit(0).cast("long").alias("child"), "source", "source_size", "target", "whole")
-    rounded = stored(leaves.groupBy("rank", "block").applyInPandas(_carry(_rounding(seed)), f"{ROUNDED}, source string, source_size long, target double, whole long"), "mix-leaves")
+    leaves = placed.select(*cols, F.lit(0).cast("long").alias("child"), "source", "source_size", "target", "whole", "text_hash")
+    rounded = stored(leaves.groupBy("rank", "block").applyInPandas(_carry(_rounding(seed)), f"{ROUNDED}, source string, source_size long, target double, whole long, text_hash long"), "mix-leaves")
     most_blocks = targets.agg(F.max(F.ceil(F.col("n") / BLOCK))).first()[0] or 0
     # up the tree: a level's fractions, by the blocks they come from
     levels, height = [rounded.where("rest is not null").select("rank", "block", "doc_id", "size", F.col("rest").alias("p"))], 0
@@ -137,27 +142,30 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
         fate = with_fate.select("rank", F.col("child").alias("block"), F.when(F.col("rest").isNotNull(), F.col("bit")).otherwise(F.col("got")).alias("bit"))
     out = rounded.join(stored(fate, "mix-fate"), ["rank", "block"], "left")
     bit = F.when(F.col("rest").isNotNull(), F.col("bit")).otherwise(F.col("got"))
-    return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "source", "size", "source_size", "target", (F.col("whole") + bit).cast("int").alias("copies"))
+    return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "source", "size", "source_size", "target", (F.col("whole") + bit).cast("int").alias("copies"), "text_hash")
 
 
 def _carry(function):
     """function for a group of leaves, whose other columns are kept."""
 
     def carried(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "doc_id"], ascending=[False, True], na_position="first", kind="stable").reset_index(drop=True)
+        rows = rows.sort_values(["size", "doc_id", "text_hash"], ascending=[False, True, True], na_position="first", kind="stable").reset_index(drop=True)
         out = function(key, rows).reset_index(drop=True)
-        return pd.concat([out, rows[["source", "source_size", "target", "whole"]]], axis=1)
+        return pd.concat([out, rows[["source", "source_size", "target", "whole", "text_hash"]]], axis=1)
 
     return carried
 
 
 def take(docs: DataFrame, **how) -> DataFrame:
     """docs, each row as often as the mix takes it. Rows that share a doc_id get their copies in any order among equals."""
-    copies = mix(docs, **how)
-    mine = copies.select("doc_id", "copies", F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "size", "copies")).alias("_mix_k"))
-    rows = docs.withColumn("_mix_id", F.col("doc_id").cast("long")).withColumn("_mix_size", n_words_of(F.col("text")))
-    rows = rows.withColumn("_mix_k", F.row_number().over(Window.partitionBy("_mix_id").orderBy("source", "_mix_size")))
-    both = rows.join(mine.select(F.col("doc_id").alias("_mix_doc"), F.col("_mix_k").alias("_mix_j"), F.col("copies").alias("_mix_copies")), F.col("_mix_id").eqNullSafe(F.col("_mix_doc")) & (F.col("_mix_k") == F.col("_mix_j")))
+    copies = _mixed(docs, **how)
+    same = ["_mix_id", "_mix_hash", "_mix_source"]
+    order = Window.partitionBy(*same).orderBy("_mix_copies")
+    mine = copies.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_mix_id"), F.col("text_hash").alias("_mix_hash"), F.xxhash64("source").alias("_mix_source"), F.col("copies").alias("_mix_copies"))
+    mine = mine.withColumn("_mix_k", F.row_number().over(order))
+    rows = docs.withColumn("_mix_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_mix_hash", F.xxhash64("text")).withColumn("_mix_source", F.xxhash64("source"))
+    rows = rows.withColumn("_mix_k", F.row_number().over(Window.partitionBy(*same).orderBy("_mix_id")))
+    both = rows.join(mine, [*same, "_mix_k"])
     again = both.where("_mix_copies > 0").withColumn("_mix_again", F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))))
     return again.select(*(docs[c] for c in docs.columns))
 
