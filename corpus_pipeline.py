@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orevein.llm.common import read_documents, stored
+from orevein.llm.common import dropped, read_documents, stored
 from orevein.llm.exact_dedup import first_copies
 from orevein.llm.importance import keep_good
 from orevein.llm.mixing import take
@@ -44,7 +44,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_documents(spark, sf_dir)
+    """All stages; what a stage has left is deleted as soon as the next one has written its own."""
+    docs, before = read_documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            dropped(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
