@@ -98,3 +98,26 @@ def key_token(c: Column) -> Column:
 
 def canonical_key(*columns: Column) -> Column:
     return F.concat_ws("|", *(F.nullif(key_token(c), F.lit("")) for c in columns))
+
+
+def audited(df, columns: dict[str, tuple[str, ...]], units: tuple[str, ...] = ()):
+    """df with {column}_normalized for each column by its rules, and the row's audit: changed (any column from what it was, a unit from its capitals), n_rules (distinct), rules (joined, or NONE)."""
+    changed, trails = F.lit(False), []
+    for c, rules in columns.items():
+        df = normalised(df, c, rules, f"{c}_normalized", f"_{c}_rules")
+        changed = changed | (F.coalesce(F.col(f"{c}_normalized") != F.col(c), F.lit(False)) & (F.size(f"_{c}_rules") > 0))
+        trails.append(F.col(f"_{c}_rules"))
+    for c in units:
+        df = df.withColumn(f"{c}_normalized", uom(F.col(c)))
+        differs = F.coalesce(F.col(f"{c}_normalized") != F.upper(c), F.lit(False))
+        changed = changed | differs
+        trails.append(F.when(differs, F.array(F.lit("UNIT_CANONICAL"))).otherwise(F.array().cast("array<string>")))
+    rules = F.array_distinct(F.concat(*trails))
+    out = df.withColumn("changed", changed).withColumn("n_rules", F.size(rules).cast("long")).withColumn("rules", F.when(F.size(rules) > 0, F.array_join(rules, ";")).otherwise("NONE"))
+    return out.drop(*(f"_{c}_rules" for c in columns))
+
+
+def engineering_text(standardized: Column, *attributes: Column) -> Column:
+    """What an embedding is made of: the standardised description, else the attributes between bars, else MATERIAL."""
+    joined = F.concat_ws(" | ", *attributes)
+    return F.coalesce(F.nullif(F.trim(standardized), F.lit("")), F.nullif(joined, F.lit("")), F.lit("MATERIAL"))

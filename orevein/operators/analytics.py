@@ -129,3 +129,30 @@ def confusion(rows: DataFrame, predicted: Column, actual: Column) -> DataFrame:
     ratio = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 4)
     tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
     return c.select("tp", "fp", "fn", "tn", ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), ratio(tp + tn, tp + fp + fn + tn).alias("accuracy"))
+
+
+def funnel(stages: dict[str, DataFrame]) -> DataFrame:
+    """stage, n, pct (of the first stage) of tables that a catalog passes through, in order."""
+    out = None
+    for k, (name, rows) in enumerate(stages.items()):
+        one = rows.agg(F.lit(k).alias("place"), F.lit(name).alias("stage"), F.count("*").alias("n"))
+        out = one if out is None else out.unionByName(one)
+    first = next(iter(stages.values())).agg(F.count("*").alias("n"))
+    return out.withColumn("pct", F.round(F.coalesce(F.try_divide(F.col("n") * 100, first.scalar()), F.lit(0.0)), 1))
+
+
+def confidence_index(matches: DataFrame, default: float = 0.96) -> DataFrame:
+    """Mean confidence in per cent: of settled matches, else of sure ones, else of all, else the default."""
+    c = F.col("confidence")
+    settled = F.avg(F.when(F.col("status").isin("ACCEPTED", "GATE_1_APPROVED", "SUPERSEDED_BY_CMM"), c))
+    return matches.agg(F.round(F.coalesce(settled, F.avg(F.when(c >= 0.8, c)), F.avg(c), F.lit(default)) * 100, 1).alias("confidence_index"))
+
+
+def roster(reviewers: DataFrame, decisions: DataFrame, most: int = 50) -> DataFrame:
+    """Reviewers with their decisions and the last of them. A decision names a reviewer by id, name or key; one that two of these match counts once. most is the report's length."""
+    named = None
+    for key in ("reviewer_id", "name", "key"):
+        hit = decisions.join(reviewers.select("reviewer_id", F.col(key).cast("string").alias("_by")).where("_by is not null"), F.col("reviewer") == F.col("_by")).select("reviewer_id", "decision_id")
+        named = hit if named is None else named.unionByName(hit)
+    own = named.distinct().groupBy("reviewer_id").agg(F.count("*").alias("decisions"), F.max("decision_id").alias("last"))
+    return reviewers.join(own, "reviewer_id", "left").withColumn("decisions", F.coalesce("decisions", F.lit(0).cast("long"))).orderBy(F.col("decisions").desc(), "reviewer_id").limit(most)

@@ -13,34 +13,51 @@ from orevein.functions.ids import content_code, uuid5
 from orevein.session import prepare
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """node, component (its smallest node) for edges (a, b), by labels that spread to neighbours and then jump to their labels' labels.
+def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+    """node, component (its smallest node) for edges (a, b).
 
-    Each round is checkpointed, so that lineage doesn't grow; their number goes with the logarithm of a component's breadth.
+    By turns each node's larger neighbours, then its smaller ones, are linked to the smallest node around; the number of links never grows, and the number of rounds goes with the
+    logarithm of a component's size. A round is checkpointed once, so that lineage doesn't grow.
     """
     prepare(edges.sparkSession)
-    both = edges.where("a <> b").select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
-    labels = labels.checkpoint()
+    now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
+    was = None
     for _ in range(most_rounds):
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("c"))
-        spread = labels.join(near, labels.node == near.a).select("node", F.least("component", "c").alias("component"))
-        at = spread.select(F.col("node").alias("component"), F.col("component").alias("far"))
-        new = spread.join(at, "component", "left").select("node", F.least("component", F.coalesce("far", "component")).alias("component")).checkpoint()
-        changed = new.join(labels.withColumnRenamed("component", "was"), "node").where("component <> was").isEmpty()
-        labels = new
-        if changed:
-            return labels
+        is_now = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if is_now == was:
+            roots = now.select(F.col("b").alias("node")).distinct()
+            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
+        was = is_now
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        now = small.where("a <> b").distinct().checkpoint()
     raise RuntimeError(f"components have not settled in {most_rounds} rounds")
 
 
+def grouped(rows: DataFrame, key: str, edges: DataFrame) -> DataFrame:
+    """Every row with the component of its key and that component's members: rows without an edge are groups of one."""
+    at = rows.join(components(edges).withColumnRenamed("node", key), key, "left").withColumn("component", F.coalesce("component", key))
+    sizes = at.groupBy("component").agg(F.count("*").alias("members"))
+    return at.join(sizes, "component")
+
+
+#: Members of a component that cliques() takes, at most: people have accepted its links one by one.
+MOST_MEMBERS = 2000
+
+
 def cliques(edges: DataFrame, barred: DataFrame) -> DataFrame:
     """node, component, clique: components split so that no two members are barred pairs (a, b).
 
     Within a component, edges are taken by score, then ends; an edge merges its ends' groups unless that would put a barred pair together. A component is a handful of records that
-    people have accepted, which one task holds.
+    people have accepted, which one task holds; one of more than MOST_MEMBERS is an error, and never cut short.
     """
     at = components(edges)
+    large = at.groupBy("component").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if large > MOST_MEMBERS:
+        raise ValueError(f"a component of {large} members; accepted links don't make such")
     own = edges.join(at, edges.a == at.node).select("component", "a", "b", "score", F.lit(False).alias("barred"))
     inside = barred.join(at, barred.a == at.node).select("component", "a", "b", F.lit(0.0).alias("score"), F.lit(True).alias("barred"))
 

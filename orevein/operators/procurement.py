@@ -162,3 +162,21 @@ def opportunity_signals(need: DataFrame, bought: DataFrame, least: int = 2) -> D
     makers = bought.groupBy("common_code").agg(F.countDistinct("supplier").alias("m")).where(F.col("m") >= least)
     makers = makers.select("common_code", F.lit("SUPPLIER_DIVERSITY").alias("type"), F.lit("suppliers").alias("metric"), F.col("m").cast("double").alias("value"), F.lit(float(least)).alias("threshold"), F.concat("m", F.lit(" suppliers")).alias("evidence"))
     return shared.unionByName(peaks).unionByName(makers)
+
+
+def dominant_plants(stock: DataFrame) -> DataFrame:
+    """How many plants hold a code, and which has most records of it; ties go to the last by name."""
+    each = stock.groupBy("common_code", "plant").agg(F.count("*").alias("n"))
+    return each.groupBy("common_code").agg(F.count("*").alias("plants"), F.max_by("plant", F.struct("n", "plant")).alias("dominant_plant"))
+
+
+def purchase_diversity(bought: DataFrame) -> DataFrame:
+    """Makers and parts of each code's purchases, and whether there is more than one maker."""
+    out = bought.groupBy("common_code").agg(F.countDistinct("supplier").alias("makers"), F.countDistinct("material_id").alias("parts"))
+    return out.withColumn("diverse", F.col("makers") > 1)
+
+
+def demand_signals(need: DataFrame, least: int = 2, many: int = 10) -> DataFrame:
+    """Codes that `least` enterprises need, with evidence as id, status and decision; `many` of them are to be bought for together."""
+    out = need.groupBy("common_code").agg(F.countDistinct("enterprise").alias("enterprises")).where(F.col("enterprises") >= least)
+    return out.withColumn("threshold", F.lit(least).cast("long")).withColumn("evidence", F.concat_ws("|", "common_code", F.lit("PENDING"), F.when(F.col("enterprises") >= many, "AGGREGATE").otherwise("REVIEW")))

@@ -27,9 +27,17 @@ def unchanged(spark: SparkSession, path: str, allowed: set[str]) -> bool:
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV catalog, every column as text; Latin-1 where it isn't UTF-8. Extra columns stay, missing ones are left to missing()."""
-    encoding = "UTF-8" if fingerprints(spark, path).where("not utf8").isEmpty() else "ISO-8859-1"
-    return spark.read.option("encoding", encoding).option("multiLine", True).option("escape", '"').csv(path, header=True, inferSchema=False)
+    """CSV catalogs, every column as text; a file that isn't UTF-8 is read as Latin-1. Extra columns stay, missing ones are left to missing()."""
+    lines = spark.read.format("text").load(path).select(F.col("_metadata.file_path").alias("path"), F.expr("is_valid_utf8(cast(value as binary))").alias("utf8"))
+    # a file's lines go through many tasks, and each file is judged on its own; there are as many rows here as files
+    by_file = {r.path: r.utf8 for r in lines.groupBy("path").agg(F.bool_and("utf8").alias("utf8")).collect()}
+    out = None
+    for encoding, plain in (("UTF-8", True), ("ISO-8859-1", False)):
+        paths = [f for f, utf8 in by_file.items() if utf8 == plain]
+        if paths:
+            rows = spark.read.option("encoding", encoding).option("multiLine", True).option("escape", '"').csv(paths, header=True, inferSchema=False)
+            out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out if out is not None else spark.createDataFrame([], RAW)
 
 
 def read_excel(spark: SparkSession, path: str) -> DataFrame:
@@ -129,6 +137,22 @@ def next_upload(existing: list[str], day: str) -> str:
     return f"UPLOAD-{day}-{max(taken, default=0) + 1:03d}"
 
 
+def registered(uploads: DataFrame, existing: DataFrame) -> DataFrame:
+    """uploads (day as yyyymmdd, position) with dataset_id UPLOAD-day-NNN, numbered on from the day's largest in existing (dataset_id)."""
+    taken = existing.select(F.regexp_extract("dataset_id", r"^UPLOAD-(\d+)-\d+$", 1).alias("day"), F.nullif(F.regexp_extract("dataset_id", r"-(\d+)$", 1), F.lit("")).cast("long").alias("n"))
+    last = taken.where("day <> ''").groupBy("day").agg(F.max("n").alias("_last"))
+    n = F.row_number().over(Window.partitionBy("day").orderBy("position")) + F.coalesce("_last", F.lit(0))
+    return uploads.join(last, "day", "left").withColumn("dataset_id", F.concat(F.lit("UPLOAD-"), "day", F.lit("-"), F.lpad(n.cast("string"), 3, "0"))).drop("_last")
+
+
+def malformed(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """The lines of a CSV file with a header that don't have as many fields as columns."""
+    schema = ", ".join(f"`{c}` string" for c in [*columns, "_line"])
+    lines = spark.read.text(path).where(F.col("value") != ",".join(columns))
+    parsed = F.from_csv("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_line"})
+    return lines.select(parsed.alias("x")).where("x._line is not null").select(F.col("x._line").alias("line"))
+
+
 def listed(registry: DataFrame, user: str) -> DataFrame:
     """Baselines first, then the user's uploads, newest first."""
     mine = registry.where((F.col("kind") == "BASELINE") | (F.col("user") == user))
@@ -137,7 +161,7 @@ def listed(registry: DataFrame, user: str) -> DataFrame:
 
 def write_csv(rows: DataFrame, path: str, columns: list[str], keys: list[str]) -> None:
     """One CSV file with columns in this order and rows in the order of keys: a report for people, not a stage's table."""
-    rows.select(*columns).coalesce(1).sortWithinPartitions(*keys).write.mode("overwrite").option("header", True).csv(path)
+    rows.select(*columns).coalesce(1).sortWithinPartitions(*keys).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def report(rows: DataFrame) -> str:

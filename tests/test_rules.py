@@ -247,3 +247,40 @@ def test_streams_equal_batches(spark, tmp_path):
     got = {(str(r.day), r.action): r.n for r in spark.table("days").collect()}
     batch = {(str(r.day), r.action): r.n for r in rows.groupBy(F.to_date("ts").alias("day"), "action").count().withColumnRenamed("count", "n").collect()}
     assert got and all(batch[k] == n for k, n in got.items())
+
+
+def test_no_prices_in_facts_and_no_sums_across_units(spark):
+    from orevein.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    facts = queries.QUERIES["procurement_facts"](spark, sf)
+    assert not any(w in c for c in facts.columns for w in ("price", "spend", "cost"))
+    for name in ("inventory_by_code", "demand_by_code"):
+        rows = queries.QUERIES[name](spark, sf)
+        assert "uom" in rows.columns and rows.count() == rows.select("common_code", "uom").distinct().count()
+
+
+def test_cliques_refuse_what_a_task_cannot_hold(spark, monkeypatch):
+    monkeypatch.setattr(grouping, "MOST_MEMBERS", 3)
+    edges = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (3, 4, 1.0)], "a long, b long, score double")
+    with pytest.raises(ValueError):
+        grouping.cliques(edges, edges.select("a", "b").limit(0))
+
+
+def test_cliques_against_brute_force(spark):
+    """Edges in order of score, then ends; one merges two groups unless a barred pair would meet."""
+    import random
+
+    rng = random.Random(9)
+    edges = sorted({tuple(sorted(rng.sample(range(40), 2))) for _ in range(60)})
+    scored = [(a, b, rng.choice([0.5, 0.7, 0.9])) for a, b in edges]
+    barred = sorted({tuple(sorted(rng.sample(range(40), 2))) for _ in range(40)})
+    group = {n: {n} for e in edges for n in e}
+    for a, b, _ in sorted(scored, key=lambda e: (-e[2], e[0], e[1])):
+        x, y = group[a], group[b]
+        if x is not y and not any((min(p, q), max(p, q)) in barred for p in x for q in y):
+            x |= y
+            for n in y:
+                group[n] = x
+    got = {r.node: r.clique for r in grouping.cliques(spark.createDataFrame(scored, "a long, b long, score double"), spark.createDataFrame(barred, "a long, b long")).collect()}
+    assert got == {n: min(g) for n, g in group.items()}
