@@ -17,12 +17,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, marked, read_documents, stored
+from .common import attached, dropped, marked, read_documents, stored
 from .components import components
 from .textvec import Words, _power, mixed, shingles, text_chunks
 
-#: At a Jaccard index of 0.8, 8 bands of 3 miss 3 links in 1000; at 0.3 they try 20 per cent of pairs that meet.
-BANDS, ROWS, SIMILARITY, SHINGLE = 8, 3, 80, 5
+#: Least similarity of linked paragraphs in per cent, words of a shingle; chance to try a link at that similarity, at least; hashes of a paragraph, at most.
+SIMILARITY, SHINGLE, RECALL, HASHES = 80, 5, 0.995, 24
+
+
+def chance(similarity: float, bands: int, rows: int) -> float:
+    """That paragraphs of a Jaccard index agree on a band."""
+    return 1 - (1 - similarity**rows) ** bands
+
+
+def tuned(similarity: float = SIMILARITY / 100, recall: float = RECALL, hashes: int = HASHES, unlike: float = 0.3) -> tuple[int, int]:
+    """Bands and rows of a band: of all that fit into so many hashes and reach the recall at the similarity, those that try the fewest unlike pairs; the most sensitive ones if none does."""
+    every = [(bands, rows) for rows in range(1, hashes + 1) for bands in range(1, hashes // rows + 1)]
+    good = [x for x in every if chance(similarity, *x) >= recall]
+    return min(good, key=lambda x: (chance(unlike, *x), x)) if good else max(every, key=lambda x: chance(similarity, *x))
+
+
+#: 8 bands of 3: 3 links in 1000 at the limit are missed.
+BANDS, ROWS = tuned()
 #: Words of a paragraph and of a stretch of equal blocks, at least; words on either side that a cut is the least of.
 LEAST_LINE, LEAST_RUN, AROUND = 20, 20, 4
 
@@ -284,10 +300,10 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
     links = stored(both.where(100 * common >= SIMILARITY * (F.size("sa") + F.size("sb") - common)).select(F.col("na").alias("a"), F.col("nb").alias("b")).distinct(), "line-links")
     joined = _rest_joined(lines, sets, components(links))
-    places = sets.select("node", "doc_id", "first").distinct().join(joined, "node")
-    lead = places.groupBy("component").agg(F.min("doc_id").alias("keep"))
+    places = stored(sets.select("node", "doc_id", "first").distinct().join(joined, "node"), "line-places")
+    lead = stored(places.groupBy("component").agg(F.min("doc_id").alias("keep"), F.count("*").alias("lines")), "line-leads")
     lengths = rows.where("line").select("doc_id", "first", "n").distinct()
-    later = places.join(lead, "component").where("doc_id > keep").join(lengths, ["doc_id", "first"]).select("doc_id", "first", "n", "keep")
+    later = attached(places, lead, ["component"], "lines").where("doc_id > keep").join(lengths, ["doc_id", "first"]).select("doc_id", "first", "n", "keep")
     # of a document's rows in this order, one lies inside another if an earlier one ends no sooner
     before = Window.partitionBy("doc_id").orderBy("first", F.desc("n"), "keep").rowsBetween(Window.unboundedPreceding, -1)
     found = _stretches(blocks.unionByName(later)).withColumn("_end", F.max(F.col("first") + F.col("n")).over(before))

@@ -26,6 +26,11 @@ GROUP = 64
 KEY = ["h", "i", "u"]
 
 
+def text_key(text: Column) -> Column:
+    """60 bits of the text's MD5: equal texts stand side by side, others anywhere, and any engine can tell where."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def record_size(text: Column) -> Column:
     """UTF-8 bytes of the text (null: none) and 16 for the record's frame."""
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long")
@@ -77,7 +82,7 @@ def assign_shards(docs: DataFrame, n_shards: int = 40, seed: int = 11) -> DataFr
     keys = stored(
         docs.select(
             F.col("doc_id").cast("long").alias("i"),
-            F.xxhash64(text).alias("h"),
+            text_key(text).alias("h"),
             F.monotonically_increasing_id().alias("u"),  # tells rows apart that are alike in all else
             record_size(F.col("text")).alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
@@ -129,3 +134,13 @@ def op2_sharding(spark, sf_dir: str) -> DataFrame:
 
     out = assign_shards(read_documents(spark, sf_dir), 40)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: CRC-32 by its table, which its polynomial gives: of each number below 256 the last of eight steps, and then a step a byte.
+OP2_SQL = """
+WITH crc AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, n)) AS t),
+rows AS (SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS x, CAST(octet_length(encode(coalesce(text, ''))) + 16 AS BIGINT) AS size FROM documents),
+coded AS (SELECT doc_id, size, CAST('0x' || substr(md5(text), 1, 15) AS BIGINT) AS h, xor(list_reduce(list_transform(range(CAST(length(x) // 2 AS BIGINT)), lambda i: CAST(('0x' || substr(x, 2 * i + 1, 2)) AS BIGINT)), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]), 4294967295), 4294967295) AS text_crc32 FROM rows, crc),
+placed AS (SELECT *, least(39, CAST(floor((2 * sum(size) OVER (ORDER BY h, doc_id) - size) * 40::DOUBLE / (2.0 * (SELECT sum(size) FROM rows))::DOUBLE) AS INTEGER)) AS shard FROM coded)
+SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY h, doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM placed
+"""

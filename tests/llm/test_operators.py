@@ -194,7 +194,7 @@ def test_shards_follow_their_law(spark):
     texts = [(k, "one text" if k % 3 else f"text {k} " * (k % 17)) for k in range(3000)] + [(None, "one text")] * 900
     docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
     rows = sharding.assign_shards(docs, 7).withColumn("h", F.lit(None).cast("long")).collect()
-    hashes = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("text").alias("h")).collect()}
+    hashes = {r.doc_id: r.h for r in docs.select("doc_id", sharding.text_key(F.col("text")).alias("h")).collect()}
     ordered = sorted(rows, key=lambda r: (hashes[r.doc_id], r.doc_id is not None, r.doc_id or 0))
     total, upto = sum(r.size for r in rows), 0
     for r, nxt in zip(ordered, ordered[1:] + [None]):
@@ -584,6 +584,50 @@ def test_passages(spark, odd, empty):
     assert passages.repeated_passages(empty).count() == 0 and passages.repeated_passages(odd).count() == 0
 
 
+def test_bands_are_tuned_by_their_curve():
+    assert passages.tuned() == (passages.BANDS, passages.ROWS) == (8, 3)
+    assert passages.chance(0.8, 8, 3) >= passages.RECALL and passages.chance(0.3, 8, 3) < 0.2
+    for similarity in (0.5, 0.9, 0.99):
+        bands, rows = passages.tuned(similarity)
+        assert bands * rows <= passages.HASHES
+        better = [(b, r) for r in range(1, 25) for b in range(1, 24 // r + 1) if passages.chance(similarity, b, r) >= passages.RECALL and passages.chance(0.3, b, r) < passages.chance(0.3, bands, rows)]
+        assert not better
+
+
+def test_recall_of_edited_paragraphs_against_brute_force(spark):
+    """Lines of other documents with a few words replaced: each removal that brute force finds, and none that it doesn't."""
+    rng = random.Random(12)
+    base = [prose(rng, rng.randint(25, 60), 3000) for _ in range(120)]
+    docs = []
+    for k in range(400):
+        lines = []
+        for _ in range(rng.randint(1, 3)):
+            words = rng.choice(base).split() if rng.random() < 0.6 else prose(rng, 40, 3000).split()
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+            lines.append(" ".join(words))
+        docs.append("\n".join(lines))
+    each = [(d, at, set(zip(*(line.split()[j:] for j in range(5))))) for d, t in enumerate(docs) for at, line in zip(_starts(t), t.split("\n"))]
+    links = [(x, y) for x in range(len(each)) for y in range(x) if each[x][2] & each[y][2] and 100 * len(each[x][2] & each[y][2]) >= 80 * len(each[x][2] | each[y][2])]
+    root = joined(len(each), links)
+    keep = {}
+    for k, r in enumerate(root):
+        keep[r] = min(keep.get(r, 10**9), each[k][0])
+    want = {(each[k][0], each[k][1]) for k, r in enumerate(root) if each[k][0] > keep[r]}
+    found = passages.repeated_passages(frame(spark, docs)).collect()
+    covered = {(d, w) for r in found for d, w in [(r.doc_id, w) for w in range(r.first_word, r.first_word + r.n_words)]}
+    hit = {x for x in want if x in covered}
+    assert len(want) > 100 and len(hit) >= 0.98 * len(want)
+
+
+def _starts(text):
+    at, out = 0, []
+    for line in text.split("\n"):
+        out.append(at)
+        at += len(line.split())
+    return out
+
+
 def test_passages_stand_in_the_document_named(spark):
     """Short phrases of different documents side by side are no passage; a passage whose parts occur earlier elsewhere is one of the document that has it."""
     rng = random.Random(12)
