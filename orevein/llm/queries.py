@@ -5,12 +5,12 @@ from __future__ import annotations
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .importance import op4_importance
 from .mixing import op6_mixing
-from .near_dedup import op7_near_dedup
+from .near_dedup import OP7_SQL, op7_near_dedup
 from .passages import op1_passages
 from .pieces import op5_sentencepiece
 from .private_data import op9_private_data
 from .quality_rules import op8_quality_rules
-from .sharding import op2_sharding
+from .sharding import OP2_SQL, op2_sharding
 from .token_counts import op3_token_counts
 
 QUERIES = {
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
 }
 
-ORACLE_SQL = {"op10_exact_dedup": OP10_SQL}
+ORACLE_SQL = {"op2_sharding": OP2_SQL, "op7_near_dedup": OP7_SQL, "op10_exact_dedup": OP10_SQL}
