@@ -118,6 +118,13 @@ def _cosines(s, d):
     return M.ranked(pairs, 5).select("source", "candidate", "score", "rank")
 
 
+def _blended(s, d):
+    """The features with an embedding's similarity, one of the standardised texts for some pairs, and soft differences."""
+    n = F.col("source") + F.col("candidate")
+    out = _features(s, d).withColumn("embedding", n % 100 / 100).withColumn("standard_sim", F.when(n % 3 > 0, (F.col("source") * 3 + F.col("candidate")) % 100 / 100))
+    return out.withColumn("class", F.when((F.col("class") == "NO_CONFLICT") & (n % 5 == 0), "SOFT_ENGINEERING_DIFFERENCE").otherwise(F.col("class")))
+
+
 def _scored(s, d):
     return M.score(_features(s, d))
 
@@ -167,6 +174,7 @@ QUERIES = {
     "token_sort_similarity": _name_pairs,
     "attribute_agreement": lambda s, d: _features(s, d).select("source", "candidate", "agreement", "n"),
     "pair_scores": lambda s, d: _scored(s, d).select("source", "candidate", "description_sim", "penalty", "score", "confidence"),
+    "pair_scores_blended": lambda s, d: M.score(_blended(s, d)).select("source", "candidate", "description_sim", "penalty", "score", "confidence"),
     "candidates_topk": lambda s, d: M.ranked(M.both_ways(_scored(s, d).select("source", "candidate", "score", "cross", "key_exact")), 3).select("source", "candidate", "score", "rank"),
     "embedding_cosine_topk": _cosines,
     "tfidf_weights": lambda s, d: S.tfidf(materials(s, d), "description", "material_id").select("material_id", F.explode("vector").alias("term", "w")).select("material_id", "term", F.round("w", 6).alias("weight")),
@@ -399,6 +407,10 @@ ORACLE_SQL = {
     "token_sort_similarity": _SIM_SQL,
     "attribute_agreement": sql(f"{_FEATURE_SQL} SELECT source, candidate, agreement, n FROM labelled"),
     "pair_scores": sql(f"{_FEATURE_SQL} SELECT source, candidate, raw_sim AS description_sim, penalty, score, confidence FROM labelled"),
+    "pair_scores_blended": sql(f"""{_FEATURE_SQL}, blended AS (SELECT *, round(CASE WHEN (source + candidate) % 3 > 0 THEN 0.35::DOUBLE * ((source * 3 + candidate) % 100 / 100) + 0.65::DOUBLE * raw_sim ELSE raw_sim END, 4) AS described, CASE WHEN hard THEN 0.65 WHEN (source + candidate) % 5 = 0 THEN 0.15 ELSE 0.0 END::DOUBLE AS less FROM features),
+      sums AS (SELECT *, CASE WHEN key_exact AND NOT hard THEN 0.25 ELSE 0.0 END::DOUBLE + 0.2::DOUBLE * ((source + candidate) % 100 / 100) + 0.25::DOUBLE * described + 0.3::DOUBLE * agreement * (0.6::DOUBLE + 0.4::DOUBLE * least(1.0, n / 4)) AS base FROM blended),
+      ends AS (SELECT *, CASE WHEN hard THEN least(0.25, greatest(0.05, round(base - less + 1e-9, 4))) ELSE round(1e-9 + least(CASE WHEN raw_same THEN 1.0 WHEN raw_sim < 0.50 THEN 0.45 WHEN raw_sim < 0.70 THEN 0.68 WHEN raw_sim < 0.85 THEN 0.82 ELSE 0.94 END::DOUBLE, greatest(0.0, base - less)), 4) END AS score FROM sums)
+      SELECT source, candidate, described AS description_sim, less AS penalty, score, CASE WHEN hard THEN 'LOW' WHEN score >= 0.80 AND key_exact THEN 'HIGH' WHEN score >= 0.60 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM ends"""),
     "candidates_topk": sql(f"""{_FEATURE_SQL} SELECT source, candidate, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, crossed DESC, key_exact DESC, candidate) AS rank FROM
       (SELECT source, candidate, score, crossed, key_exact FROM labelled UNION ALL SELECT candidate, source, score, crossed, key_exact FROM labelled)) WHERE rank <= 3"""),
     "cross_match_category": sql(f"""{_FEATURE_SQL} SELECT CASE WHEN label = 'LOW' THEN 'DIFFERENT' ELSE 'POTENTIALLY_SAME' END AS category, label, 'PENDING_REVIEW' AS status, count(*) AS n FROM

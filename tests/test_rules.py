@@ -284,3 +284,18 @@ def test_cliques_against_brute_force(spark):
                 group[n] = x
     got = {r.node: r.clique for r in grouping.cliques(spark.createDataFrame(scored, "a long, b long, score double"), spark.createDataFrame(barred, "a long, b long")).collect()}
     assert got == {n: min(g) for n, g in group.items()}
+
+
+def test_first_decisions_of_a_stream(spark, tmp_path):
+    """Each match and action once, whatever the batch that its copies come in, and none missing."""
+    from orevein.streaming import daily
+
+    rows = [(k % 7, "ACCEPT" if k % 2 else "REJECT", f"2024-01-01 00:{k:02d}:00") for k in range(40)]
+    for part in range(4):
+        batch = spark.createDataFrame(rows[part::4], "match_id long, action string, t string").selectExpr("match_id", "action", "cast(t as timestamp) as ts")
+        batch.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("match_id long, action string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    q = daily.first_decisions(stream).writeStream.format("memory").queryName("decided").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c").start()
+    q.awaitTermination(120)
+    got = [(r.match_id, r.action) for r in spark.table("decided").collect()]
+    assert len(got) == len(set(got)) and set(got) == {(m, a) for m, a, _ in rows}
