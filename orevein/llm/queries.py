@@ -7,7 +7,9 @@ from .importance import op4_importance
 from .mixing import op6_mixing
 from .near_dedup import OP7_SQL, op7_near_dedup
 from .passages import op1_passages
+from .periodic import OP13_SQL, op13_periodic_runs
 from .pieces import op5_sentencepiece
+from .prefix_trie import OP11_SQL, op11_prefix_trie
 from .private_data import op9_private_data
 from .quality_rules import op8_quality_rules
 from .sharding import OP2_SQL, op2_sharding
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_private_data": op9_private_data,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
-ORACLE_SQL = {"op2_sharding": OP2_SQL, "op7_near_dedup": OP7_SQL, "op10_exact_dedup": OP10_SQL}
+ORACLE_SQL = {"op2_sharding": OP2_SQL, "op7_near_dedup": OP7_SQL, "op10_exact_dedup": OP10_SQL, "op11_prefix_trie": OP11_SQL, "op13_periodic_runs": OP13_SQL}
