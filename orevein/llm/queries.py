@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .importance import op4_importance
+from .main_text import OP12_SQL, op12_main_text
 from .mixing import op6_mixing
 from .near_dedup import OP7_SQL, op7_near_dedup
 from .passages import op1_passages
@@ -27,7 +28,8 @@ QUERIES = {
     "op9_private_data": op9_private_data,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_main_text": op12_main_text,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
-ORACLE_SQL = {"op2_sharding": OP2_SQL, "op7_near_dedup": OP7_SQL, "op10_exact_dedup": OP10_SQL, "op11_prefix_trie": OP11_SQL, "op13_periodic_runs": OP13_SQL}
+ORACLE_SQL = {"op2_sharding": OP2_SQL, "op7_near_dedup": OP7_SQL, "op10_exact_dedup": OP10_SQL, "op11_prefix_trie": OP11_SQL, "op12_main_text": OP12_SQL, "op13_periodic_runs": OP13_SQL}
