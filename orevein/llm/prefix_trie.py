@@ -260,7 +260,7 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     cuts = ends.select("part", "first", "last", "least").coalesce(1).sortWithinPartitions("part").mapInArrow(_cutting, "part int, before long, least long").collect()
     cuts = sorted((r.part, r.before, r.least) for r in cuts)
     before = {p: b for p, b, _ in cuts}
-    behind = {p: b for (p, _, _), (_, b, _) in zip(cuts, [*cuts[1:], (None, -1, None)], strict=True)}
+    behind = {p: b for (p, _, _), (_, b, _) in zip(cuts, [*cuts[1:], (None, -1, None)], strict=False)}
     previous = {p: q for (p, _, _), (q, _, _) in zip(cuts[1:], cuts, strict=False)}
     swept = stored(rows.mapInArrow(_sweeping(before, behind, {p: x for p, _, x in cuts}, previous), NODE_SQL), "trie-nodes")
     # parts of nodes that reach over ends of ranges: no more than the turns that chains on either side of a cut share
