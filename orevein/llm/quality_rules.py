@@ -1,7 +1,7 @@
 """Quality rules: statistics of every text and a decision list learned from labelled ones.
 
 Everything runs as DataFrame expressions. The list is learned by sequential covering: a rule is a conjunction of thresholds that is
-grown, condition by condition, on two thirds of the rows it may see, pruned on the last third, and kept if it is precise enough there;
+grown, condition by condition, on two thirds of the rows it may see, pruned on the last third, and kept if it is precise enough on both;
 the rows it covers go and the next rule is grown. One in four labelled rows is never learned from and serves to judge the list. The rules, in order,
 become one CASE expression.
 """
@@ -20,6 +20,10 @@ MOST_LABELLED = 20_000
 #: A window that repeats; the base rule's limits.
 WINDOW, LEAST_WORDS, MOST_REPEAT = 5, 10, 20
 SYMBOLS = "#*$%&|<>"
+#: The learner's shape: thresholds tried for a feature (quantiles of the rows at hand), conditions of a rule, rules of a list, rules grown in all (those that prove too imprecise included).
+CUTS, CONDITIONS, MOST_RULES, TRIES = 64, 4, 8, 16
+#: Precision that a rule needs, estimated as (bad + EVEN) / (covered + 2 * EVEN) over the rows that it was grown and pruned on: four rows, all bad, can support a rule, at any size of the input.
+PRECISION, EVEN = 0.9, 0.5
 
 
 def _repeated(words: Column) -> Column:
@@ -95,7 +99,7 @@ FEATURES = {
 
 
 class Rule:
-    """A conjunction of conditions (feature, '<=' or '>', threshold) that says bad, with the precision measured on rows it wasn't grown on."""
+    """A conjunction of conditions (feature, '<=' or '>', threshold) that says bad, with its estimated precision."""
 
     def __init__(self, conditions: list[tuple[str, str, float]], precision: float = 0.0, covers: int = 0):
         self.conditions, self.precision, self.covers = conditions, precision, covers
@@ -107,7 +111,7 @@ class Rule:
         return " and ".join(f"({FEATURES[f]}) {op} {t!r}D" for f, op, t in self.conditions)
 
 
-def _cuts(rows: list[dict], feature: str, most: int = 64) -> list[float]:
+def _cuts(rows: list[dict], feature: str, most: int = CUTS) -> list[float]:
     values = sorted({r[feature] for r in rows})
     step = max(1, len(values) // most)
     return [(a + b) / 2 for a, b in zip(values[::step], values[step::step], strict=False)] or values[:1]
@@ -120,7 +124,7 @@ def _gain(p: int, n: int, p0: int, n0: int) -> float:
 
 def _grow(rows: list[dict]) -> Rule:
     conditions, inside = [], rows
-    while any(not r["bad"] for r in inside) and len(conditions) < 4:
+    while any(not r["bad"] for r in inside) and len(conditions) < CONDITIONS:
         p0 = sum(r["bad"] for r in inside)
         n0, best = len(inside) - p0, (1e-9, None)
         for f in FEATURES:
@@ -138,29 +142,31 @@ def _grow(rows: list[dict]) -> Rule:
 
 
 def _worth(rule: Rule, rows: list[dict]) -> tuple[float, int]:
-    """Precision on rows, with one good row added so that few rows prove little; how many it covers."""
+    """Precision on rows, drawn to one half by two halves of a row so that few rows prove little; how many it covers."""
     inside = [r["bad"] for r in rows if rule.holds(r)]
-    return sum(inside) / (len(inside) + 1), len(inside)
+    return (sum(inside) + EVEN) / (len(inside) + 2 * EVEN), len(inside)
 
 
-def learn(rows: list[dict], least_precision: float = 0.9, most_rules: int = 8) -> list[Rule]:
+def learn(rows: list[dict], least_precision: float = PRECISION, most_rules: int = MOST_RULES) -> list[Rule]:
     """Ordered rules that say bad. rows: FEATURES, bad (bool) and key, by which every third row is held out for pruning.
 
-    A rule that isn't precise enough is left out, and so are the bad rows it was grown for; others are still looked for.
+    Conditions that don't help on the rows held out go. What is left is worth its place if it is precise enough over the rows it was grown on and those held out together, and
+    no less so on the latter by themselves, where it covers any. A rule that isn't is left out, and so are the bad rows it was grown for; others are still looked for.
     """
     rows = sorted(rows, key=lambda r: r["key"])
     grow, prune = [r for k, r in enumerate(rows) if k % 3], rows[::3]
     rules: list[Rule] = []
     tries = 0
-    while len(rules) < most_rules and tries < 2 * most_rules and any(r["bad"] for r in grow):
+    while len(rules) < most_rules and tries < TRIES and any(r["bad"] for r in grow):
         tries += 1
         rule = _grow(grow)
         if not rule.conditions:
             break
         while len(rule.conditions) > 1 and (shorter := max((Rule([c for c in rule.conditions if c is not x]) for x in rule.conditions), key=lambda r: _worth(r, prune))) and _worth(shorter, prune) >= _worth(rule, prune):
             rule = shorter
-        rule.precision, rule.covers = _worth(rule, prune)
-        if rule.precision < least_precision:
+        rule.precision, rule.covers = _worth(rule, grow + prune)
+        held_out = [r["bad"] for r in prune if rule.holds(r)]
+        if rule.precision < least_precision or sum(held_out) < least_precision * len(held_out):
             grow = [r for r in grow if not (r["bad"] and rule.holds(r))]
             continue
         rules.append(rule)
