@@ -1,11 +1,10 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 A source's share of the words gives every document of it the same expected number of copies, target / size of the source.
-Whole copies are taken as they are. The fractions are rounded by the pivotal method: two documents with fractions meet, and mass moves
-at random from one to the other until one of them is whole; the other meets the next. Mass is counted in words, so that a
-source's words stay at its target but for the last fraction. Documents meet in the order of their size, largest first, so that
-this last one is small. Blocks of documents do this side by side and leave one fraction each; these meet in blocks of blocks, and
-so on up a tree.
+Whole copies are taken as they are. The fractions are rounded by the pivotal method: a document and a pool of smaller ones meet, and mass moves
+at random from one side to the other until the document is whole; then the next largest meets the rest. Mass is counted in words, so that a
+source's words stay at its target but for the last fraction, which is one of the smallest documents'. Blocks of documents do this side by side and leave one fraction each; these meet in blocks of blocks, and
+so on up a tree. A document so large beside its source that the others can't balance it either way is rounded so that the target is kept.
 """
 
 from __future__ import annotations
@@ -22,6 +21,9 @@ WEIGHTS, MOST = (5.0, 2.0, 1.0), 3.0
 #: Documents that one task rounds in sequence; fractions that meet in a node of the tree.
 BLOCK, FAN = 2048, 64
 
+#: A fraction so near to a whole number is one. A document with more than so great a part of its source's target has it kept before its own chance, where the source lies in one block.
+TINY, HEAVY = 1e-9, 0.01
+
 #: Stands for a null doc_id inside.
 NO_ID = -(1 << 63)
 
@@ -48,41 +50,54 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     return filled.withColumn("target", F.when(F.col("full"), F.col("cap")).otherwise(F.col("weight") * level)).select("source", "rank", "source_size", "target")
 
 
-def pivotal(p: np.ndarray, size: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, int]:
-    """0 or 1 for each of the fractions p, and the place of the one left with a fraction (-1: none); p gets its value there.
+def pivotal(p: np.ndarray, size: np.ndarray, u: np.ndarray, heavy: float = np.inf) -> tuple[np.ndarray, int]:
+    """0 or 1 for each of the fractions p, and the place of the one left with a fraction (-1: none); p gets its value there. Largest sizes first.
+
+    Mass is words, p * size: what one side gains the other loses, so that their sum stays. A document meets all smaller ones that are still open
+    as one pool, each of which gives or takes in proportion to its room either way, so that each fraction is still the chance that its document gets a 1; it meets them again until it is whole, and then
+    the next largest does. What is left in the end is so the fraction of one of the smallest. u: uniform numbers, one for each meeting; each makes a document whole at least.
 
-    Mass is words, p * size: what one of two documents gains the other loses, so that their sum stays, and each fraction is
-    still the chance that its document gets a 1. u: uniform numbers, one for each meeting.
+    A document of more than heavy words that the pool could only balance if rounded one way is rounded that way, and to the nearer side if neither can be balanced: there the sum, not the chance, is kept.
     """
-    out, i, a, least = np.zeros(len(p), np.int32), -1, 0.0, 1e-9
-    sizes = size.tolist()
-    for j, b in enumerate(p.tolist()):
-        if b <= least or b >= 1 - least:
-            out[j] = b > 0.5
-            continue
-        if i < 0:
-            i, a = j, b
-            continue
-        up, down = min((1 - a) * sizes[i], b * sizes[j]), min(a * sizes[i], (1 - b) * sizes[j])  # words to i, words to j
-        moved = up if u[j] * (up + down) < down else -down
-        a, b = a + moved / sizes[i], b - moved / sizes[j]
-        if a <= least or a >= 1 - least:
-            out[i], i, a = a > 0.5, j, b
-            if b <= least or b >= 1 - least:
-                out[j], i = b > 0.5, -1
-        else:
-            out[j] = b > 0.5
-    if i >= 0:
-        p[i] = a
-    return out, i
-
-
-def _rounding(seed: int):
+    p[(p <= TINY) | (p >= 1 - TINY)] = np.rint(p[(p <= TINY) | (p >= 1 - TINY)])
+    size, met, last = size.astype(np.float64), 0, -1
+    for i in range(len(p)):
+        pool = np.flatnonzero((p[i + 1 :] > 0) & (p[i + 1 :] < 1)) + i + 1
+        while 0 < p[i] < 1:
+            if not len(pool):
+                last = i
+                break
+            q, s = p[pool], size[pool]
+            up, down = (1 - p[i]) * size[i], p[i] * size[i]  # words that i lacks to 1, and to 0
+            lose, gain = q * s, (1 - q) * s
+            short_up, short_down = up - lose.sum(), down - gain.sum()
+            if size[i] > heavy and (short_up > 0 or short_down > 0):
+                to_one = short_up <= short_down
+                room, need = (lose, up) if to_one else (gain, down)
+                moved = min(1.0, need / room.sum()) * room * (-1 if to_one else 1)
+                p[i] = float(to_one)
+            else:
+                room = s * np.minimum(q, 1 - q)
+                up, down = min(up, room.sum() * (lose / room).min()), min(down, room.sum() * (gain / room).min())
+                words = up if u[met] * (up + down) < down else -down
+                p[i], met, moved = p[i] + words / size[i], met + 1, -words * room / room.sum()
+                p[i] = np.rint(p[i]) if min(p[i], 1 - p[i]) <= TINY else p[i]
+            q = q + moved / s
+            p[pool] = np.where((q <= TINY) | (q >= 1 - TINY), np.rint(q), q)
+            pool = pool[(p[pool] > 0) & (p[pool] < 1)]
+    out = np.rint(p).astype(np.int32)
+    if last >= 0:
+        out[last] = 0
+    return out, last
+
+
+def _rounding(seed: int, heavy: float = np.inf):
     def round_block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["size", "doc_id", "child"], ascending=[False, True, True], na_position="first", kind="stable")
         rng = np.random.default_rng([seed, *(int(k) for k in key)])
         p = rows["p"].to_numpy(np.float64, copy=True)
-        got, left = pivotal(p, rows["size"].to_numpy(), rng.random(len(p)))
+        alone = "blocks" in rows and rows["blocks"].iloc[0] == 1
+        got, left = pivotal(p, rows["size"].to_numpy(), rng.random(len(p)), heavy * rows["target"].iloc[0] if alone else np.inf)
         rest = np.full(len(p), np.nan)
         if left >= 0:
             rest[left] = p[left]
@@ -122,8 +137,8 @@ def _mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float =
     # pandas has no null in a column of longs and would make it one of floats, which lose digits
     placed = placed.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
     cols = ["rank", "block", "doc_id", "size", "p"]
-    leaves = placed.select(*cols, F.lit(0).cast("long").alias("child"), "source", "source_size", "target", "whole", "text_hash")
-    rounded = stored(leaves.groupBy("rank", "block").applyInPandas(_carry(_rounding(seed)), f"{ROUNDED}, source string, source_size long, target double, whole long, text_hash long"), "mix-leaves")
+    leaves = placed.select(*cols, F.lit(0).cast("long").alias("child"), "source", "source_size", "target", "whole", "text_hash", "blocks")
+    rounded = stored(leaves.groupBy("rank", "block").applyInPandas(_carry(_rounding(seed, HEAVY)), f"{ROUNDED}, source string, source_size long, target double, whole long, text_hash long"), "mix-leaves")
     most_blocks = targets.agg(F.max(F.ceil(F.col("n") / BLOCK))).first()[0] or 0
     # up the tree: a level's fractions, by the blocks they come from
     levels, height = [rounded.where("rest is not null").select("rank", "block", "doc_id", "size", F.col("rest").alias("p"))], 0
