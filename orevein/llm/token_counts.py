@@ -96,6 +96,8 @@ class TokenRollup:
         if not fs.rename(filesystem(self.spark, aside)[1], new):
             fs.delete(filesystem(self.spark, aside)[1], True)
             return
+        for old in self._names("generations")[:-1]:  # all that they hold is in the new one
+            fs.delete(filesystem(self.spark, f"{self.root}/generations/{old}")[1], True)
         for b in live:
             fs.delete(filesystem(self.spark, f"{self.root}/batches/{b}")[1], True)
 
