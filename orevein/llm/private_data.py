@@ -39,7 +39,7 @@ MORE = {
 KINDS = [*BASE, *MORE]
 
 # Words in front of a span that speak for and against personal data, and a gazetteer of given names.
-FOR = "mail contact phone call tel mobile fax card account visa iban ip host address login password passwd token key secret api auth ssn social name born"
+FOR = "mail email mailto contact phone telephone cellphone call tel mobile fax card account visa iban ip host hostname address login username password passwd token key secret api auth ssn social name born"
 AGAINST = "version isbn issn page figure table chapter order part sha commit build checksum md5 digest"
 NAMES = "james mary john patricia robert jennifer michael linda david elizabeth william barbara richard susan joseph jessica thomas sarah anna maria jose hans peter pierre marie"
 
@@ -94,7 +94,9 @@ def _gazetteer(kind: str, m: Column) -> Column:
 
 def _context(before: Column) -> Column:
     low = F.lower(before)
-    return F.when(low.rlike(rf"(?:{'|'.join(AGAINST.split())})[^\n]{{0,12}}$"), -1).when(low.rlike(rf"(?:{'|'.join(FOR.split())})[^\n]{{0,12}}$"), 1).otherwise(0)
+    # whole words (or their plurals), so that a hotel is no tel and a ship no ip
+    has = lambda words: low.rlike(rf"(?<![a-z])(?:{'|'.join(words.split())})s?(?![a-z])[^\n]{{0,12}}$")
+    return F.when(has(AGAINST), -1).when(has(FOR), 1).otherwise(0)
 
 
 SPAN = "array<struct<kind:string,s:int,e:int,digits:int,shape:int,gazetteer:int,context:int>>"
