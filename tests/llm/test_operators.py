@@ -399,6 +399,32 @@ def test_mix_keeps_long_ids_beside_null_ones(spark):
     assert sorted(map(str, (r.doc_id for r in mixing.mix(docs).collect()))) == sorted(str(r[0]) for r in rows)
 
 
+def test_targets_are_met_at_every_seed(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source").cache()
+    for seed in range(4):
+        taken, target = collections.Counter(), {}
+        for r in mixing.mix(docs, seed=seed).collect():
+            taken[r.source] += r.size * r.copies
+            target[r.source] = r.target
+            assert 0 <= r.copies <= 3
+        assert all(abs(taken[s] - target[s]) <= 0.02 * target[s] for s in target)
+
+
+def test_pivotal_keeps_the_sum_where_one_document_outweighs_the_rest():
+    import numpy as np
+
+    for seed in range(50):
+        rng = np.random.default_rng(seed)
+        size = np.array([5184, *sorted(rng.integers(20, 90, 40), reverse=True)])
+        for share in (0.2, 0.5, 0.9):
+            p = np.full(41, share)
+            out, left = mixing.pivotal(p, size, rng.random(41), heavy=0.01 * share * size.sum())
+            got = (out * size).sum() + (p[left] * size[left] if left >= 0 else 0)
+            # nearer than the large one's half
+            best = min(abs(x - share * size.sum()) for x in (size[1:].sum(), size[0]))
+            assert abs(got - share * size.sum()) <= best + 1e-6 or abs(got - share * size.sum()) < 90
+
+
 def test_pivotal_keeps_chances_and_words():
     import numpy as np
 
@@ -435,6 +461,23 @@ def test_quality_statistics(spark, odd, empty, labels):
     assert quality_rules.judge(odd, labels.where("false")).count() == 10
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_few_labels_teach_a_rule_too(spark, sf):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rules = quality_rules.learn(quality_rules.labelled_rows(docs, labels))
+    unseen = quality_rules.labelled_rows(docs, labels, held_out=True)
+    said = [(r["bad"], any(x.holds(r) for x in rules)) for r in unseen]
+    bad, good = [x for b, x in said if b], [x for b, x in said if not b]
+    assert rules and sum(good) <= 0.02 * len(good) and sum(bad) >= 0.85 * len(bad)
+
+
+def test_four_rows_support_a_rule_and_noise_does_not():
+    row = lambda k, bad, x: dict.fromkeys(quality_rules.FEATURES, 0.0) | {"key": k, "bad": bad, "symbols_a_word": x}
+    assert quality_rules.learn([row(k, k % 10 == 0, float(k % 10 == 0)) for k in range(40)])
+    rng = random.Random(1)
+    assert not quality_rules.learn([row(k, rng.random() < 0.3, rng.random()) for k in range(400)])
+
+
 def test_verdict_equals_the_rules_and_holds_on_unseen_labels(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -478,6 +521,12 @@ def valid(kind, m):
     return kind != "phone" or 10 <= len(digits) <= 15
 
 
+def test_context_words_are_whole_words(spark):
+    before = {"my hotel ": 0, "the ship ": 0, "a comfortable ": 0, "share ": 0, "my tel. ": 1, "E-Mail: ": 1, "Telephone ": 1, "cards ": 1, "in part ": -1, "border ": 0, "order ": -1}
+    got = {r.b: r.v for r in spark.createDataFrame([(b,) for b in before], "b string").select("b", private_data._context(F.col("b")).alias("v")).collect()}
+    assert got == before
+
+
 def test_private_data(spark, odd, empty):
     rng = random.Random(8)
     texts = ["a@b.c_x@d.e @ z@q", "1.2.3.4.5.6.7.8 999.1.1.1 0001.02.3.255", "4111 1111 1111 1111 and 4111-1111  1111 5", "+1 (523) 555-1055 +12 +49.30.1234567890123", "é 4111111111111111.", 'token = "f33e61083db5dbdf4bd2369d2f80176e57f7fda2" x', "1" * 400, "a.b" * 300 + "@x.y"]
