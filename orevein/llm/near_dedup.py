@@ -229,16 +229,30 @@ def _across(open_: DataFrame, docs: DataFrame, similarity: int, k: int) -> DataF
     # of a shingle's documents, those of its largest component aren't tried with each other
     sizes = front.groupBy("t", "component").agg(F.count("*").alias("c"))
     main = sizes.groupBy("t").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("c")).where("c > 1").select("t", F.col("m.component").alias("main"))
-    rows = front.join(main, "t")
-    left, right = (rows.select("t", "main", F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at{x}"), F.col("component").alias(f"c{x}")) for x in "ab")
-    # behind the first shingle that both have, each has at most n - at - 1 more; with too few for a link this is no first one of a link
-    near = f"ca <> cb and (cb = main or a < b) and {100 + similarity} * least(na - ata, nb - atb) >= {similarity} * (na + nb)"
-    tried = left.where("ca <> main").join(right.drop("main"), "t").where(near)
-    pairs = stored(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "across")
+    tried = met_by_size(front.join(main, "t"), similarity)
+    pairs = stored(tried.select(F.least("s_doc_id", "l_doc_id").alias("a"), F.greatest("s_doc_id", "l_doc_id").alias("b")).distinct(), "across")
     dropped(sets, front)
     return pairs
 
 
+def met_by_size(rows: DataFrame, similarity: int) -> DataFrame:
+    """Pairs s, l of rows (n, at, t, component, main and others) of one shingle t and different components that can be links: every column of either, behind s_ and l_.
+
+    Behind the place at of the first shingle that two sets share, each has n - at - 1 more at most, so a link needs (100 + similarity) * (n - at) >= similarity * (n + the other's n): the
+    other's n is at most `reach`. Of a link the smaller set (or either, if they are as large) thus has a reach of its own size or more. Rows without that only meet those that have it, and a shingle of which none
+    has it, as of a passage that stands in texts too different for links, makes no pairs, however many texts it is in. Of its largest component (main), rows aren't tried with each other.
+    """
+    reach = F.expr(f"{100 + similarity}L * (n - at) div {similarity}L - n")
+    rows = rows.withColumn("reach", reach)
+    small, large = (rows.select("t", *(F.col(c).alias(f"{x}_{c}") for c in rows.columns if c != "t")) for x in "sl")
+    small = small.where("s_reach >= s_n")
+    able = (F.col("l_n") >= F.col("s_n")) & (F.col("l_n") <= F.col("s_reach")) & (F.col("s_n") <= F.col("l_reach")) & (F.col("s_component") != F.col("l_component"))
+    parts = (small.where("s_component <> s_main"), large), (small.where("s_component = s_main"), large.where("l_component <> l_main"))
+    # renamed, so that the second join's sides are columns of their own
+    one, two = (s.join(l.withColumnRenamed("t", "l_t"), (F.col("t") == F.col("l_t")) & able) for s, l in parts)
+    return one.unionByName(two).drop("l_t", "t")
+
+
 def _confirmed(pairs: DataFrame, few: DataFrame, docs: DataFrame, similarity: int, k: int, hashes: int) -> DataFrame:
     """The pairs (a, b) that are links, by their full sets of shingles. What sizes and sketches rule out isn't looked at."""
     ends = {e: few.select(F.col("doc_id").alias(e), F.col("n_shingles").alias(f"n{e}"), F.col("sketch").alias(f"s{e}")) for e in "ab"}

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import attached, dropped, marked, read_documents, stored
 from .components import components
+from .near_dedup import met_by_size
 from .textvec import Words, _power, mixed, shingles, text_chunks
 
 #: Least similarity of linked paragraphs in per cent, words of a shingle; chance to try a link at that similarity, at least; hashes of a paragraph, at most.
@@ -218,12 +219,9 @@ def _across(lines: DataFrame) -> DataFrame:
     front = ranked.select("node", "n", F.posexplode(first).alias("at", "o")).where("o.often > 1").select("node", "n", "at", F.col("o.t").alias("t"))
     front = stored(front.join(lines.select("node", "component", "lo", "hi"), "node"), "line-fronts")
     main = front.groupBy("t", "component").agg(F.count("*").alias("c")).groupBy("t").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("c")).where("c > 1").select("t", F.col("m.component").alias("main"))
-    rows = front.join(main, "t")
-    a, b = (rows.select("t", "main", *(F.col(c).alias(f"{x}_{c}") for c in ("node", "n", "at", "component", "lo", "hi"))) for x in "ab")
-    enough = f"{100 + SIMILARITY} * least(a_n - a_at, b_n - b_at) >= {SIMILARITY} * (a_n + b_n)"
-    two_documents = "not (a_lo = a_hi and b_lo = b_hi and a_lo = b_lo)"
-    tried = a.where("a_component <> main").join(b.drop("main"), "t").where(f"a_component <> b_component and (b_component = main or a_node < b_node) and {enough} and {two_documents}")
-    pairs = stored(tried.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct(), "line-across")
+    two_documents = "not (s_lo = s_hi and l_lo = l_hi and s_lo = l_lo)"
+    tried = met_by_size(front.join(main, "t"), SIMILARITY).where(two_documents)
+    pairs = stored(tried.select(F.least("s_node", "l_node").alias("a"), F.greatest("s_node", "l_node").alias("b")).distinct(), "line-across")
     side = lambda x: lines.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"), F.col("shingles").alias(f"s{x}"))
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
     return pairs.join(side("a"), "a").join(side("b"), "b").where(100 * common >= SIMILARITY * (F.size("sa") + F.size("sb") - common)).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()

@@ -784,3 +784,22 @@ def test_word_hashes_agree_across_batches():
                 grams = [" ".join(w[i : i + 5]) for i in range(len(w) - 4)] or ([" ".join(w)] if w else [])
                 assert len(mine) == len(grams) and all(seen.setdefault(("s", g), h) == h for g, h in zip(grams, mine, strict=True))
     assert len(set(seen.values())) == len(seen)
+
+
+def test_a_common_passage_makes_no_square_of_pairs(spark):
+    """Texts with 100 words in common and 12 of their own: none are links, and none meet."""
+    rng, rows = random.Random(9), []
+    template = prose(rng, 100)
+    for k in range(600):
+        own = " ".join(f"o{k}-{j}" for j in range(12))
+        rows.append((k, f"{own} {template}" if k % 2 else f"{template} {own}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    open_ = docs.select("doc_id", F.col("doc_id").alias("component"))
+    assert near_dedup._across(open_, docs, 85, 5).count() == 0
+    assert all(r.kept for r in near_dedup.near_groups(docs).collect())
+    fronts = [(1, 112, 16, 7, 1, 1), (2, 112, 16, 7, 2, 1), (3, 96, 0, 7, 3, 1), (4, 96, 3, 7, 4, 1), (5, 96, 0, 7, 3, 1)]
+    front = spark.createDataFrame(fronts, "doc_id long, n int, at int, t long, component long, main long")
+    for similarity in (60, 80, 85, 95):
+        met = {tuple(sorted((r.s_doc_id, r.l_doc_id))) for r in near_dedup.met_by_size(front, similarity).collect()}
+        able = lambda x, y: (100 + similarity) * min(x[1] - x[2], y[1] - y[2]) >= similarity * (x[1] + y[1]) and x[4] != y[4]  # noqa: E731, B023
+        assert met == {(x[0], y[0]) for x in fronts for y in fronts if x[0] < y[0] and able(x, y)}
