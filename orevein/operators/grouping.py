@@ -5,7 +5,6 @@ The behaviour of this part is specified by tests of the reference only; its impl
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,36 +43,38 @@ def grouped(rows: DataFrame, key: str, edges: DataFrame) -> DataFrame:
     return at.join(sizes, "component")
 
 
-#: Members of a component that cliques() takes, at most: people have accepted its links one by one.
-MOST_MEMBERS = 2000
+def cliques(edges: DataFrame, barred: DataFrame, most_rounds: int = 100) -> DataFrame:
+    """node, component, clique (its least node): components split so that no two members are barred pairs (a, b).
 
-
-def cliques(edges: DataFrame, barred: DataFrame) -> DataFrame:
-    """node, component, clique: components split so that no two members are barred pairs (a, b).
-
-    Within a component, edges are taken by score, then ends; an edge merges its ends' groups unless that would put a barred pair together. A component is a handful of records that
-    people have accepted, which one task holds; one of more than MOST_MEMBERS is an error, and never cut short.
+    The outcome is that of taking edges (a, b, score) by score, then ends, each of which merges its ends' groups unless that would put a barred pair together. In rounds: of the edges between groups that aren't barred from each other, one that is the best at
+    both ends merges there and then, as nothing that comes before it touches either; so does one that is the best of a group that isn't barred from any other, as nothing can come to bar it. An edge between groups that are barred from each other is out for
+    good. So no component lies in one task, and components without barred pairs, whatever their size, take a few rounds.
     """
-    at = components(edges)
-    large = at.groupBy("component").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if large > MOST_MEMBERS:
-        raise ValueError(f"a component of {large} members; accepted links don't make such")
-    own = edges.join(at, edges.a == at.node).select("component", "a", "b", "score", F.lit(False).alias("barred"))
-    inside = barred.join(at, barred.a == at.node).select("component", "a", "b", F.lit(0.0).alias("score"), F.lit(True).alias("barred"))
-
-    def split(rows: pd.DataFrame) -> pd.DataFrame:
-        mine = rows[~rows["barred"]].sort_values(["score", "a", "b"], ascending=[False, True, True])
-        group = {n: {n} for n in sorted(set(mine["a"]) | set(mine["b"]))}
-        no = {frozenset(p) for p in rows.loc[rows["barred"], ["a", "b"]].itertuples(index=False, name=None)}
-        for a, b in mine[["a", "b"]].itertuples(index=False, name=None):
-            x, y = group[a], group[b]
-            if x is not y and not any(frozenset((p, q)) in no for p in x for q in y):
-                x |= y
-                for n in y:
-                    group[n] = x
-        return pd.DataFrame([(n, rows["component"].iloc[0], min(g)) for n, g in group.items()], columns=["node", "component", "clique"])
-
-    return own.unionByName(inside).groupBy("component").applyInPandas(split, "node long, component long, clique long")
+    prepare(edges.sparkSession)
+    pairs = edges.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("score").alias("score"))
+    at = components(pairs)
+    left = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), F.struct((-F.col("score")).alias("s"), "a", "b").alias("k")).checkpoint()
+    bars = barred.where("a <> b").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct().checkpoint()
+    groups = at.select("node", F.col("node").alias("clique")).checkpoint()
+    for _ in range(most_rounds):
+        left = left.join(bars, ["x", "y"], "left_anti").groupBy("x", "y").agg(F.min("k").alias("k")).checkpoint()
+        if left.isEmpty():
+            return groups.join(at, "node").select("node", "component", "clique")
+        ends = left.select("x", "k").unionByName(left.select(F.col("y").alias("x"), "k")).groupBy("x").agg(F.min("k").alias("best"))
+        ends = ends.join(bars.select("x").unionByName(bars.select(F.col("y").alias("x"))).distinct().withColumn("bound", F.lit(True)), "x", "left")
+        both = left.join(ends.withColumnsRenamed({"best": "bx", "bound": "cx"}), "x").join(ends.withColumnsRenamed({"x": "y", "best": "by", "bound": "cy"}), "y")
+        best_x, best_y = F.col("k") == F.col("bx"), F.col("k") == F.col("by")
+        taken = both.where((best_x & best_y) | (best_x & F.col("cx").isNull()) | (best_y & F.col("cy").isNull()))
+        new = components(taken.select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+        def renamed(rows: DataFrame, column: str, new: DataFrame = new) -> DataFrame:
+            named = new.select(F.col("node").alias(column), F.col("component").alias("_to"))
+            return rows.join(named, column, "left").withColumn(column, F.coalesce("_to", column)).drop("_to")
+
+        groups = renamed(groups, "clique").checkpoint()
+        left = renamed(renamed(left, "x"), "y").where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "k")
+        bars = renamed(renamed(bars, "x"), "y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct().checkpoint()
+    raise RuntimeError(f"cliques have not settled in {most_rounds} rounds")
 
 
 def governance(members: Column, split: Column, ambiguous: Column) -> Column:

@@ -31,6 +31,10 @@ CURRENT = MatchConfig()
 CONFIGURED = MatchConfig(key=0.3, embedding=0.2, description=0.1, attributes=0.4, hard_penalty=0.5, soft_penalty=0.0, hard_cap=1.0, hard_floor=0.0, medium=0.65, coverage=False)
 
 
+#: Records that share a family and a token, at most, to make pairs.
+MOST_OF_A_TOKEN = 100
+
+
 def blocked_pairs(rows: DataFrame, key: str, blocks: dict[str, Column], most: int = 300) -> DataFrame:
     """a < b with the sorted names of the blocks that they share; a block of one record or of more than `most` makes no pairs.
 

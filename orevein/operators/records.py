@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orevein.session import prepare
+
 # The system and the plant that an enterprise's materials come from, where nothing better is known.
 SYSTEMS = {
     "HPCL": "HPCL SAP ERP", "IOCL": "IOCL SAP S/4HANA", "ONGC": "ONGC SAP ERP (SRM)", "GAIL": "GAIL SAP ERP", "BHEL": "BHEL SAP ECC 6.0", "NTPC": "NTPC SAP ERP", "BPCL": "BPCL SAP ERP", "OIL": "OIL Oracle ERP Cloud",
@@ -165,22 +167,29 @@ def mapping_stats(materials: DataFrame, crosswalk: DataFrame) -> DataFrame:
     return at.agg(F.count("*").alias("materials"), has("MAPPED_VERIFIED").alias("verified"), has("MAPPED_STANDALONE").alias("standalone"), F.count_if(F.col("_status").isNull()).alias("unmapped"), F.round(F.count("_status") * 100 / F.count("*"), 2).alias("coverage_pct"))
 
 
-def numbered(rows: DataFrame, order: list[str], to: str = "number", parts: int | None = None) -> DataFrame:
-    """rows with their place, from 1, in a total order: by ranges, each counted, so that no task holds them all. order names columns that tell rows apart."""
-    ranged = (rows.repartitionByRange(parts, *order) if parts else rows.repartitionByRange(*order)).withColumn("_part", F.spark_partition_id()).persist()
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over parts, not rows
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + F.col("_before")
-    return ranged.join(F.broadcast(sizes), "_part").withColumn(to, place.cast("long")).drop("_part", "_before")
+def numbered(rows: DataFrame, order: list[str], to: str = "number", parts: int | None = None, by: list[str] | None = None) -> DataFrame:
+    """rows with their place, from 1, in a total order, or of those with the same values of by: by ranges, each counted, so that no task holds them all, not even those of one key.
+
+    order names columns that, with by, tell rows apart. What ranges the rows lie in is written down before any is counted.
+    """
+    prepare(rows.sparkSession)
+    by = by or []
+    keys = [*by, *order]
+    ranged = (rows.repartitionByRange(parts, *keys) if parts else rows.repartitionByRange(*keys)).withColumn("_part", F.spark_partition_id()).checkpoint()
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over parts, not rows
+    marks = [F.col(c).alias(f"_by{j}") for j, c in enumerate(by)]
+    sizes = ranged.groupBy("_part", *by).agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long")).select(F.col("_part").alias("_at"), *marks, "_before")
+    place = F.row_number().over(Window.partitionBy("_part", *by).orderBy(*order)) + F.col("_before")
+    same = [F.col("_part") == F.col("_at"), *(F.col(c).eqNullSafe(F.col(f"_by{j}")) for j, c in enumerate(by))]
+    return ranged.join(sizes, same).withColumn(to, place.cast("long")).select(*rows.columns, to)
 
 
 def sequence_in_family(records: DataFrame, family: str, *order: str) -> DataFrame:
-    """records with code NMC-FAMILY-HASH-nnn: six letters of the family, of the hash of the description, and their place among the family's in order."""
+    """records with code NMC-FAMILY-HASH-nnn: six letters of the family, of the hash of the description, and their place among the family's in order, with three digits or more."""
     known = looked_up(F.lower(F.coalesce(family, F.lit("general"))), FAMILIES, F.coalesce(F.nullif(F.substring(F.regexp_replace(F.upper(F.coalesce(family, F.lit("GENERA"))), "[^A-Z]", ""), 1, 6), F.lit("")), F.lit("GENERA")))
-    at = records.withColumn("_abbreviation", known)
-    n = F.row_number().over(Window.partitionBy("_abbreviation").orderBy(*order))
+    at = numbered(records.withColumn("_abbreviation", known), list(order), "_place", by=["_abbreviation"])
     stem = F.coalesce(F.nullif(F.trim("description"), F.lit("")), F.col("_abbreviation"))
-    return at.withColumn("code", F.concat(F.lit("NMC-"), "_abbreviation", F.lit("-"), F.upper(F.substring(F.sha2(stem, 256), 1, 6)), F.lit("-"), F.lpad(n.cast("string"), 3, "0"))).drop("_abbreviation")
+    return at.withColumn("code", F.concat(F.lit("NMC-"), "_abbreviation", F.lit("-"), F.upper(F.substring(F.sha2(stem, 256), 1, 6)), F.format_string("-%03d", "_place"))).drop("_abbreviation", "_place")
 
 
 def next_number(rows: DataFrame, column: str) -> DataFrame:

@@ -170,7 +170,7 @@ QUERIES = {
     "extract_sizes_regex": lambda s, d: table(s, d, "part").select(F.col("p_partkey").alias("id"), F.coalesce(E.size_in(F.concat(F.lit("item "), F.element_at(F.array(*map(F.lit, ["M16X75", "DN 50", "1-1/2 IN", "3/4 in", "2.5 IN", "25 SQ MM"])), (F.col("p_partkey") % 6 + 1).cast("int")), F.lit(" x"))), F.lit("")).alias("size")),
     "blocking_pairs": _blocks,
     "blocking_reduction": lambda s, d: M.reduction(_blocks(s, d), materials(s, d)),
-    "family_token_pairs": lambda s, d: M.blocked_pairs(materials(s, d).withColumn("t", F.concat_ws(" | ", "noun", "grade", F.col("size").cast("string"))), "material_id", {"FAMILY_TOKEN[]": M.family_tokens(F.col("family"), F.col("t"))}),
+    "family_token_pairs": lambda s, d: M.blocked_pairs(materials(s, d).withColumn("t", F.concat_ws(" | ", "noun", "grade", F.col("size").cast("string"))), "material_id", {"FAMILY_TOKEN[]": M.family_tokens(F.col("family"), F.col("t"))}, most=M.MOST_OF_A_TOKEN),
     "token_sort_similarity": _name_pairs,
     "attribute_agreement": lambda s, d: _features(s, d).select("source", "candidate", "agreement", "n"),
     "pair_scores": lambda s, d: _scored(s, d).select("source", "candidate", "description_sim", "penalty", "score", "confidence"),
@@ -403,7 +403,7 @@ ORACLE_SQL = {
     "blocking_pairs": sql(f"{_BLOCK_SQL} SELECT * FROM pairs"),
     "blocking_reduction": sql(f"{_BLOCK_SQL} SELECT n AS records, p AS pairs, round(1 - p / (n * (n - 1) / 2), 6) AS reduction FROM (SELECT count(*) AS n FROM materials), (SELECT count(*) AS p FROM pairs)"),
     "family_token_pairs": sql(""", tokens AS (SELECT DISTINCT material_id AS id, upper(family) || '~' || t AS v FROM (SELECT material_id, family, unnest([upper(noun), upper(grade), CAST(size AS VARCHAR)]) AS t FROM materials) WHERE length(t) >= 3 AND NOT regexp_matches(t, '^[0-9]+$')),
-      kept AS (SELECT * FROM tokens WHERE v IN (SELECT v FROM tokens GROUP BY v HAVING count(*) BETWEEN 2 AND 300)) SELECT DISTINCT x.id AS a, y.id AS b, 'FAMILY_TOKEN' AS blocks FROM kept x JOIN kept y USING (v) WHERE x.id < y.id"""),
+      kept AS (SELECT * FROM tokens WHERE v IN (SELECT v FROM tokens GROUP BY v HAVING count(*) BETWEEN 2 AND 100)) SELECT DISTINCT x.id AS a, y.id AS b, 'FAMILY_TOKEN' AS blocks FROM kept x JOIN kept y USING (v) WHERE x.id < y.id"""),
     "token_sort_similarity": _SIM_SQL,
     "attribute_agreement": sql(f"{_FEATURE_SQL} SELECT source, candidate, agreement, n FROM labelled"),
     "pair_scores": sql(f"{_FEATURE_SQL} SELECT source, candidate, raw_sim AS description_sim, penalty, score, confidence FROM labelled"),

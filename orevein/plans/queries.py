@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import analytics, catalogs, harmonisation, procurement, records
+from . import analytics, catalogs, harmonisation, linkage, procurement, records
 
-_PARTS = [procurement, analytics, harmonisation, records, catalogs]
+_PARTS = [procurement, analytics, harmonisation, records, catalogs, linkage]
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLE_SQL = {name: text for part in _PARTS for name, text in part.ORACLE_SQL.items()}

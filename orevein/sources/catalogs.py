@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orevein.operators.records import numbered
+
 #: A raw catalog's columns, all text.
 COLUMNS = "Enterprise Material_Code Material_Description Material_Category Material_Type Specification Material_Grade Size Length Diameter Coating Unit Manufacturer Manufacturer_Part_No Plant Material_Status Annual_Consumption Last_Purchase_Date".split()
 RAW = T.StructType([T.StructField(c, T.StringType()) for c in COLUMNS])
@@ -138,11 +140,12 @@ def next_upload(existing: list[str], day: str) -> str:
 
 
 def registered(uploads: DataFrame, existing: DataFrame) -> DataFrame:
-    """uploads (day as yyyymmdd, position) with dataset_id UPLOAD-day-NNN, numbered on from the day's largest in existing (dataset_id)."""
+    """uploads (day as yyyymmdd, position: distinct in a day) with dataset_id UPLOAD-day-NNN, of three digits or more, numbered on from the day's largest in existing (dataset_id)."""
     taken = existing.select(F.regexp_extract("dataset_id", r"^UPLOAD-(\d+)-\d+$", 1).alias("day"), F.nullif(F.regexp_extract("dataset_id", r"-(\d+)$", 1), F.lit("")).cast("long").alias("n"))
     last = taken.where("day <> ''").groupBy("day").agg(F.max("n").alias("_last"))
-    n = F.row_number().over(Window.partitionBy("day").orderBy("position")) + F.coalesce("_last", F.lit(0))
-    return uploads.join(last, "day", "left").withColumn("dataset_id", F.concat(F.lit("UPLOAD-"), "day", F.lit("-"), F.lpad(n.cast("string"), 3, "0"))).drop("_last")
+    placed = numbered(uploads, ["position"], "_place", by=["day"]).join(last, "day", "left")
+    n = F.col("_place") + F.coalesce("_last", F.lit(0))
+    return placed.withColumn("dataset_id", F.concat(F.lit("UPLOAD-"), "day", F.format_string("-%03d", n))).drop("_last", "_place")
 
 
 def malformed(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
