@@ -354,7 +354,7 @@ def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP12_SQL = r"""
 WITH articles AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)(</article>|$)', 1, 's') AS a FROM pages),
 split AS (SELECT page_id, url, string_split(regexp_replace(regexp_replace(replace(a, '<br>', ' '), '</?(p|h[1-6])>', chr(1), 'g'), '<[^>]*>', '', 'g'), chr(1)) AS b FROM articles),
-plain AS (SELECT page_id, url, list_transform(b, lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'), '[\x20\x09-\x0D]+', ' ', 'g'))) AS b FROM split),
+plain AS (SELECT page_id, url, list_transform(b, lambda x: trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&#x27;?', '''', 'g'), '&amp;?', '&', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'))) AS b FROM split),
 texts AS (SELECT page_id, url, array_to_string(list_filter(b, lambda x: x <> ''), chr(10)) AS text FROM plain)
 SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM texts
 """
