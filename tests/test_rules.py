@@ -260,13 +260,6 @@ def test_no_prices_in_facts_and_no_sums_across_units(spark):
         assert "uom" in rows.columns and rows.count() == rows.select("common_code", "uom").distinct().count()
 
 
-def test_cliques_refuse_what_a_task_cannot_hold(spark, monkeypatch):
-    monkeypatch.setattr(grouping, "MOST_MEMBERS", 3)
-    edges = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (3, 4, 1.0)], "a long, b long, score double")
-    with pytest.raises(ValueError):
-        grouping.cliques(edges, edges.select("a", "b").limit(0))
-
-
 def test_cliques_against_brute_force(spark):
     """Edges in order of score, then ends; one merges two groups unless a barred pair would meet."""
     import random
