@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 
 def total(column: str, digits: int = 2) -> Column:
     return F.round(F.coalesce(F.sum(column), F.lit(0.0)), digits)
@@ -139,8 +141,8 @@ def purchase_recency(bought: DataFrame, as_of: str, active_days: int = 365) -> D
 
 def high_volume(need: DataFrame, least_rows: int = 5) -> DataFrame:
     """Rows' 95th percentile, linearly interpolated, of units of a code with enough rows, and how many rows exceed it."""
-    marks = need.groupBy("common_code", "uom").agg(F.count("*").alias("n"), F.percentile("required", F.lit(0.95)).alias("p95")).where(F.col("n") >= least_rows)
-    return need.join(marks, ["common_code", "uom"]).groupBy("common_code", "uom", "n", F.round("p95", 4).alias("p95_volume")).agg(F.count_if(F.col("required") > F.col("p95")).alias("above"))
+    marks = quantiles(need, "required", ["common_code", "uom"], {"p95": 0.95}).where(F.col("n") >= least_rows)
+    return marks.select("common_code", "uom", "n", F.round("p95", 4).alias("p95_volume"), F.col("above_p95").alias("above"))
 
 
 def plant_distribution(stock: DataFrame) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 
 def blank(c: Column) -> Column:
     """Null, or nothing but white space of any kind."""
@@ -45,9 +49,12 @@ def codes(rows: DataFrame, column: str) -> DataFrame:
 def numbers(rows: DataFrame, column: str, *keys: str) -> DataFrame:
     """Numbers among the values of a column, text or not; a single one has a deviation of 0."""
     x = F.col(column).try_cast("double")
-    return rows.groupBy(*keys).agg(
-        F.count(x).alias("valid"), F.count_if(x.isNull()).alias("missing"), F.count_if(x == 0).alias("zero"), F.count_if(x < 0).alias("negative"), F.min(x).alias("least"), F.max(x).alias("most"), F.round(F.avg(x), 4).alias("mean"), F.round(F.median(x), 4).alias("median"), F.round(F.coalesce(F.stddev_samp(x), F.lit(0.0)), 4).alias("deviation")
+    plain = rows.groupBy(*keys).agg(
+        F.count(x).alias("valid"), F.count_if(x.isNull()).alias("missing"), F.count_if(x == 0).alias("zero"), F.count_if(x < 0).alias("negative"), F.min(x).alias("least"), F.max(x).alias("most"), F.round(F.avg(x), 4).alias("mean"), F.round(F.coalesce(F.stddev_samp(x), F.lit(0.0)), 4).alias("deviation")
     )
+    middle = quantiles(rows.select(*keys, x.alias("_x")), "_x", list(keys), {"_median": 0.5}).select(*(F.col(k).alias(f"_of_{k}") for k in keys), F.round("_median", 4).alias("median"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys], F.lit(True))
+    return plain.join(middle, same, "left").drop(*(f"_of_{k}" for k in keys))
 
 
 def dates(rows: DataFrame, column: str) -> DataFrame:

@@ -284,11 +284,6 @@ def transitions(datasets: DataFrame, events: DataFrame) -> DataFrame:
     return out.select("dataset_id", F.coalesce("_status", "status").alias("status"), F.coalesce("_records", "records").alias("records"), "error", "normalized_at", "validated_at", action.alias("action"))
 
 
-def after_run(matches: DataFrame, decisions: DataFrame, run: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What a new run leaves of matches and decisions: its own matches, and no decision on any that it replaces."""
-    return run, decisions.limit(0)
-
-
 def timestamps(c: Column) -> Column:
     """ISO times, with Z or an offset at the end or without one, as UTC; null where a text is none."""
     return F.try_to_timestamp(F.regexp_replace(c, "Z$", "+00:00")).cast("timestamp_ntz")

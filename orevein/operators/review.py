@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from orevein.sources import versioned
+
 #: Rank of a decision where two have the same time.
 DECISIONS = ("ACCEPT", "REJECT", "DIFFERENT", "OVERRIDE", "DEFER")
 
@@ -93,3 +95,8 @@ def unique_codes(rows: DataFrame, code: str, order: str) -> DataFrame:
     """rows whose repeated codes get -2, -3, … in order."""
     n = F.row_number().over(Window.partitionBy(code).orderBy(order))
     return rows.withColumn("unique_code", F.when(n == 1, F.col(code)).otherwise(F.concat_ws("-", F.col(code), n.cast("string"))))
+
+
+def replaced_by_run(spark: SparkSession, root: str, expected: int, run: DataFrame) -> int:
+    """A new version of the tables at root, in which a run's matches stand for all earlier ones and no decision on those is left; StaleVersion if expected isn't the last."""
+    return versioned.commit(spark, root, expected, matches=run, decisions=versioned.as_of(spark, root, "decisions", expected).where(F.lit(False)))

@@ -138,13 +138,17 @@ def _records(s, d):
     return table(s, d, "part").select("p_partkey", cats.alias("category"), null.alias("type"), nouns.alias("description"), F.when(F.col("p_size") % 2 == 0, "API 600; class 150").alias("specification"), null.alias("grade"), size.alias("size"), *(null.alias(c) for c in ("length", "diameter", "coating")), F.lit("ea").alias("unit"), null.alias("manufacturer"), null.alias("part_number"))
 
 
-def _decided(s, d):
-    """Every event as a decision on the match of its number and its actor's last two digits."""
+def _made(events):
+    """Every event as a decision on the match of its number and its actor's last two digits, and what state that is in before any."""
     verdict = F.element_at(F.create_map(*map(F.lit, ["click", "ACCEPT", "view", "DEFER", "purchase", "OVERRIDE", "error", "REJECT", "signup", "DIFFERENT"])), F.col("action"))
-    made = reviews(s, d).withColumn("match_id", F.col("match_id") * 100 + F.col("actor") % 100)
-    decisions = made.select("match_id", F.col("event_id").alias("decision_id"), F.col("ts").alias("at"), (F.col("event_id") % 3).cast("string").alias("enterprise"), verdict.alias("verdict"))
-    matches = made.groupBy("match_id").agg(F.when(F.col("match_id") % 7 == 0, "ALREADY_MAPPED").otherwise("PENDING_REVIEW").alias("status"))
-    return V.decided(matches, decisions)
+    number = F.col("match_id") * 100 + F.col("actor") % 100
+    before = F.when(number % 7 == 0, "ALREADY_MAPPED").otherwise("PENDING_REVIEW")
+    return events.select(number.alias("match_id"), F.col("event_id").alias("decision_id"), F.col("ts").alias("at"), (F.col("event_id") % 3).cast("string").alias("enterprise"), verdict.alias("verdict"), before.alias("status"))
+
+
+def _decided(s, d):
+    every = _made(reviews(s, d))
+    return V.decided(every.select("match_id", "status").distinct(), every.drop("status"))
 
 
 def _matches(s, d):

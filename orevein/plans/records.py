@@ -1,17 +1,22 @@
 """Queries about records, matches, decisions and datasets, over views of the star schema.
 
-A dataset is a supplier, active if its balance isn't negative. A match is a pair of materials of one noun, grade and size; its status follows from its ids. A review event of
-match_id k is a decision on every match whose source's number ends in k.
+A dataset is a supplier, active if its balance isn't negative. A match is a pair of materials of one noun, grade and size; its status follows from its ids. A review event is a
+decision on the matches of one source, dealt by the event's number.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from orevein.functions.ids import uuid5
 from orevein.operators import grouping as G
 from orevein.operators import procurement as P
 from orevein.operators import records as R
+from orevein.operators import review as V
+from orevein.session import shared
+from orevein.sources import versioned
 
 from .analytics import _PAIRS, _pairs
 from .views import demand, enterprises, inventory, materials, purchases, reviews, sql, table, uuid5_sql
@@ -23,7 +28,7 @@ _MATCHES_SQL = f"matches AS (SELECT source_id || '-' || candidate_id AS match_id
 _MAPPINGS_SQL = "mappings AS (SELECT material_id AS material, common_code AS record FROM owned WHERE material_id % 3 = 0)"
 _DECISIONS_SQL = """decisions AS (SELECT match_id, event_id AS decision_id, ts AS moment, 'R' || actor AS reviewer, CASE WHEN actor % 2 = 0 THEN 'NATION_12' END AS enterprise,
   ['ACCEPT', 'REJECT', 'DIFFERENT', 'OVERRIDE', 'DEFER'][event_id % 5 + 1] AS verdict, ['EQUIVALENT', 'DIFFERENT', 'OTHER'][event_id % 3 + 1] AS outcome
-  FROM (SELECT m.match_id, m.source_id, r.event_id, r.ts, r.actor FROM matches m JOIN reviews r ON m.source_id % 100 = r.match_id))"""
+  FROM (SELECT m.match_id, m.source_id, r.event_id, r.ts, r.actor FROM matches m JOIN reviews r ON m.source_id = r.event_id % (SELECT count(*) FROM part) + 1))"""
 _LAST_SQL = "last_decisions AS (SELECT match_id, last(reviewer ORDER BY decision_id) AS reviewer, last(enterprise ORDER BY decision_id) AS enterprise, last(verdict ORDER BY decision_id) AS verdict, last(outcome ORDER BY decision_id) AS outcome FROM decisions GROUP BY 1)"
 _DATASETS_SQL = "datasets AS (SELECT s_nationkey AS enterprise_id, s_suppkey AS dataset_id, s_acctbal >= 0 AS active, CAST(floor(s_acctbal) AS BIGINT) AS records FROM supplier)"
 _RECORDS_SQL = "records AS (SELECT common_code AS record, min(description) AS description, min(family) AS family, ['NOTED'] AS noted, count(*) AS n FROM owned GROUP BY 1)"
@@ -51,7 +56,8 @@ def _mappings(s, d):
 
 def _decisions(s, d):
     pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.col("event_id") % n + 1).cast("int"))
-    at = _matches(s, d).select("match_id", (F.col("source_id") % 100).alias("_k")).join(reviews(s, d).withColumnRenamed("match_id", "_k"), "_k")
+    parts = table(s, d, "part").agg(F.count("*")).scalar()
+    at = _matches(s, d).select("match_id", F.col("source_id").alias("_k")).join(reviews(s, d).drop("match_id").withColumn("_k", F.col("event_id") % parts + 1), "_k")
     return at.select(
         "match_id", F.col("event_id").alias("decision_id"), F.col("ts").alias("at"), F.concat(F.lit("R"), F.col("actor").cast("string")).alias("reviewer"), F.when(F.col("actor") % 2 == 0, "NATION_12").alias("enterprise"),
         pick(("ACCEPT", "REJECT", "DIFFERENT", "OVERRIDE", "DEFER"), 5).alias("verdict"), pick(("EQUIVALENT", "DIFFERENT", "OTHER"), 3).alias("outcome"),
@@ -66,6 +72,14 @@ def _datasets(s, d):
     return table(s, d, "supplier").select(F.col("s_nationkey").alias("enterprise_id"), F.col("s_suppkey").alias("dataset_id"), (F.col("s_acctbal") >= 0).alias("active"), F.floor("s_acctbal").cast("long").alias("records"))
 
 
+def _replaced(s, d):
+    """Matches and decisions as first committed, then a run's matches in their place."""
+    root = f"{shared(s)}/runs-{uuid.uuid4().hex}"
+    first = versioned.commit(s, root, 0, matches=_matches(s, d).select("match_id", "status"), decisions=_last(s, d))
+    V.replaced_by_run(s, root, first, _matches(s, d).where("confidence >= 0.8").select("match_id", "status"))
+    return versioned.as_of(s, root, "matches").join(versioned.as_of(s, root, "decisions").select("match_id"), "match_id", "left_anti")
+
+
 def _members(s, d):
     return _owned(s, d).withColumnRenamed("common_code", "record")
 
@@ -159,7 +173,7 @@ QUERIES = {
     "notifications_list": lambda s, d: R.notes_list(_open_notes(s, d), "nation_12").select("note_id", "enterprise", "alert"),
     "notifications_all": lambda s, d: R.notes_list(_open_notes(s, d), "ALL", False, 20).select("note_id", "enterprise", "alert"),
     "dataset_transitions": lambda s, d: R.transitions(_datasets(s, d).withColumn("status", F.lit("NEW")), _status_events(s, d)),
-    "run_replaced": lambda s, d: R.after_run(_matches(s, d), _decisions(s, d), _matches(s, d).where("confidence >= 0.8"))[0].select("match_id", "status"),
+    "run_replaced": lambda s, d: _replaced(s, d),
     "iso_timestamps": lambda s, d: reviews(s, d).select("event_id", F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.col("event_id") % 3 == 0, "Z").when(F.col("event_id") % 3 == 1, "+05:30").otherwise("")).alias("t")).select("event_id", F.date_format(R.timestamps(F.col("t")), "yyyy-MM-dd HH:mm:ss").alias("utc")),
     "enterprise_profile": lambda s, d: R.enterprise_profile(_owned(s, d)),
     "live_quality": lambda s, d: R.live_quality(_owned(s, d).withColumn("grade", F.nullif("grade", F.lit("Brand#5"))), _FIELDS, _KEYS),

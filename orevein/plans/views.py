@@ -78,7 +78,11 @@ def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, ts, actor, action, confidence, match_id: decisions and their audit trail."""
-    return table(spark, sf_dir, "events").select(
+    return as_reviews(table(spark, sf_dir, "events"))
+
+
+def as_reviews(events: DataFrame) -> DataFrame:
+    return events.select(
         "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("user_id").alias("actor"), F.col("event_type").alias("action"), (F.col("value") / 500).alias("confidence"), F.get_json_object("props", "$.k").cast("long").alias("match_id")
     )
 
