@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 from orevein.operators.records import numbered
 
+from .workbooks import read_sheets
+
 #: A raw catalog's columns, all text.
 COLUMNS = "Enterprise Material_Code Material_Description Material_Category Material_Type Specification Material_Grade Size Length Diameter Coating Unit Manufacturer Manufacturer_Part_No Plant Material_Status Annual_Consumption Last_Purchase_Date".split()
 RAW = T.StructType([T.StructField(c, T.StringType()) for c in COLUMNS])
@@ -42,11 +44,9 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     return out if out is not None else spark.createDataFrame([], RAW)
 
 
-def read_excel(spark: SparkSession, path: str) -> DataFrame:
-    """An Excel catalog as text; needs openpyxl."""
-    import pandas as pd
-
-    return spark.createDataFrame(pd.read_excel(path, dtype=str).astype(object).where(lambda x: x.notna(), None))
+def read_excel(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
+    """Excel catalogs as text: the first sheet of each workbook, or the named one."""
+    return read_sheets(spark, path, sheet)
 
 
 def missing(rows: DataFrame) -> tuple[list[str], list[str]]:
