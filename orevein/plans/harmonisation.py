@@ -165,13 +165,7 @@ QUERIES = {
     "rule_usage": lambda s, d: N.normalised(_raw(s, d), "description").select(F.explode("rules").alias("rule")).groupBy("rule").agg(F.count("*").alias("n")),
     "canonical_keys": lambda s, d: materials(s, d).select("material_id", N.canonical_key(F.col("family"), F.concat(F.col("noun"), F.lit(" - "), F.col("grade")), F.col("size").cast("string")).alias("key")),
     "canonical_key_frequency": lambda s, d: materials(s, d).groupBy(N.canonical_key(F.col("family"), F.col("noun"), F.col("grade")).alias("key")).agg(F.count("*").alias("n")).agg(F.count("*").alias("keys"), F.count_if(F.col("n") == 1).alias("single"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("in_shared")),
-    "standards_format": lambda s, d: table(s, d, "part").select(F.col("p_partkey").alias("id"), K.standard(_listed(_STANDARD_TEXTS)).alias("k")).select("id", F.col("k.value").alias("standard"), F.col("k.rule").alias("rule")),
-    "size_format": lambda s, d: table(s, d, "part").select(F.col("p_partkey").alias("id"), K.size(_listed(_SIZE_TEXTS)).alias("k")).select("id", F.col("k.value").alias("size"), F.col("k.rule").alias("rule")),
-    "grade_format": lambda s, d: table(s, d, "part").select(F.col("p_partkey").alias("id"), K.grade(_listed(_GRADE_TEXTS)).alias("k")).select("id", F.col("k.value").alias("grade"), F.col("k.rule").alias("rule")),
-    "canonical_aliases": lambda s, d: table(s, d, "part").select(F.col("p_partkey").alias("id"), *(K.aliased(a, _listed(_ALIAS_TEXTS)).alias(a) for a in ("family", "type", "material", "coating", "connection"))).select("id", *(F.concat_ws("/", f"{a}.value", f"{a}.rule").alias(a) for a in ("family", "type", "material", "coating", "connection"))),
-    "rating_dimension_format": lambda s, d: table(s, d, "part").select(F.col("p_partkey").alias("id"), K.rating(_listed(_RATING_TEXTS)).alias("r"), K.dimension(_listed(_SIZE_TEXTS), "length").alias("l")).select("id", F.col("r.value").alias("rating"), F.concat_ws("/", "l.value", "l.rule").alias("length")),
     "extract_attribute_fold": lambda s, d: E.standardised(E.extracted(_records(s, d))).select(F.col("p_partkey").alias("id"), F.size("attributes").cast("long").alias("attributes"), "conflicts", "standardized", "canonical_key"),
-    "extract_sizes_regex": lambda s, d: table(s, d, "part").select(F.col("p_partkey").alias("id"), F.coalesce(E.size_in(F.concat(F.lit("item "), F.element_at(F.array(*map(F.lit, ["M16X75", "DN 50", "1-1/2 IN", "3/4 in", "2.5 IN", "25 SQ MM"])), (F.col("p_partkey") % 6 + 1).cast("int")), F.lit(" x"))), F.lit("")).alias("size")),
     "blocking_pairs": _blocks,
     "blocking_reduction": lambda s, d: M.reduction(_blocks(s, d), materials(s, d)),
     "family_token_pairs": lambda s, d: M.blocked_pairs(materials(s, d).withColumn("t", F.concat_ws(" | ", "noun", "grade", F.col("size").cast("string"))), "material_id", {"FAMILY_TOKEN[]": M.family_tokens(F.col("family"), F.col("t"))}, most=M.MOST_OF_A_TOKEN),
@@ -302,37 +296,6 @@ def _conflict_sql() -> str:
       coalesce(hard, soft, later, written, 'No engineering or representation conflicts detected') AS reasons, count(*) AS n FROM c GROUP BY ALL""")
 
 
-_SIZE_TEXTS = ["m16", "M16X75", "m 16", "dn50", "2 inch", "2in", "2\"", "1 1/2 in", "1-1/2 inch", "3/4 in", "25 mm", "2.5MM", "25sqmm", "1.5 sq mm", "10 a", "0-25bar", "ISO  VG 68", "ep2", "4-wire", "6205", "odd  one", " nan ", "None"]
-_SIZE_ANSWERS = ["M16/METRIC_BOLT", "M16X75/METRIC_BOLT", "M 16/UPPERCASE", "DN50/UPPERCASE", "2 IN/INCH", "2 IN/INCH", "2\"/UPPERCASE", "1 1/2 IN/MIXED_INCH", "1-1/2 IN/MIXED_INCH", "3/4 IN/FRACTION_INCH", "25 MM/MM", "2.5 MM/MM", "25 SQ MM/SQMM", "1.5 SQ MM/SQMM", "10 A/AMPERE", "0-25 BAR/BAR", "ISO VG 68/LUBRICANT", "EP2/LUBRICANT", "4-WIRE/WIRE", "6205/BEARING", "ODD  ONE/UPPERCASE", "", ""]
-_STANDARD_TEXTS = ["api600", "API  600A; asme b16.5", "astm a105", "iso-5", "IS1363;is 1363", "IEC60751", "iso vg68", "SAE 100 R2", "en  10204", "din 912", "astm a105;api 600; ASTM  A105", " ; ", "null"]
-_STANDARD_ANSWERS = ["API 600/STANDARD_FORMAT_API", "API 600A; ASME B16.5/STANDARD_FORMAT_MULTI", "ASTM A105/STANDARD_FORMAT_ASTM", "ISO-5/STANDARD_FORMAT_GENERIC", "IS 1363/STANDARD_FORMAT_MULTI", "IEC 60751/STANDARD_FORMAT_IEC", "ISO VG68/STANDARD_FORMAT_ISO", "SAE 100 R2/STANDARD_FORMAT_SAE", "EN 10204/STANDARD_FORMAT_EN", "DIN 912/STANDARD_FORMAT_GENERIC", "API 600; ASTM A105/STANDARD_FORMAT_MULTI", "", ""]
-_GRADE_TEXTS = ["316", "304", "a105", "ASTM A 105", "wcb", "astm a216 WCB", "a234 wpb", "A106 Gr.B", "astm a106 gr b", "ss316", "SS 316L", "ss304", "SS304L", "pt100", "Chrome Steel", "carbon steel", "Ceramic", "mineral oil", "synthetic rubber", "XLPE Aluminium", "xlpe copper", "graphite/ss 316", "en  8", "none"]
-_GRADE_ANSWERS = ["316/CANONICAL_316", "304/CANONICAL_304", "ASTM A105/FORMAT_ASTM_A105", "ASTM A105/FORMAT_ASTM_A105", "ASTM A216 WCB/FORMAT_ASTM_A216_WCB", "ASTM A216 WCB/FORMAT_ASTM_A216_WCB", "ASTM A234 WPB/FORMAT_ASTM_A234_WPB", "ASTM A106 GR.B/FORMAT_ASTM_A106_GRB", "ASTM A106 GR.B/FORMAT_ASTM_A106_GRB", "SS 316/FORMAT_SS316", "SS 316L/FORMAT_SS316", "SS 304/FORMAT_SS304", "SS 304L/FORMAT_SS304", "PT100/FORMAT_PT100", "CHROME STEEL/CANONICAL_CHROME_STEEL", "CARBON STEEL/CANONICAL_CARBON_STEEL", "CERAMIC/CANONICAL_CERAMIC", "MINERAL OIL/CANONICAL_MINERAL_OIL", "SYNTHETIC RUBBER/CANONICAL_SYNTHETIC_RUBBER", "XLPE ALUMINIUM/CANONICAL_XLPE_AL", "XLPE COPPER/CANONICAL_XLPE_CU", "GRAPHITE/SS 316/CANONICAL_GRAPHITE_SS316", "EN 8/UPPERCASE", ""]
-_ALIAS_TEXTS = ["Valves", "pipes & fittings", "Hex Nut", "ball-valve", "SS", "stainless steel", "zinc-plated", "Weld-Neck", "odd  one", "NaN"]
-_ALIAS_ANSWERS = {
-    "family": ["VALVE/FAMILY_CANONICAL", "PIPE/FITTING/FAMILY_CANONICAL", "HEX NUT/FAMILY_UPPERCASE", "BALL-VALVE/FAMILY_UPPERCASE", "SS/FAMILY_UPPERCASE", "STAINLESS STEEL/FAMILY_UPPERCASE", "ZINC-PLATED/FAMILY_UPPERCASE", "WELD-NECK/FAMILY_UPPERCASE", "ODD  ONE/FAMILY_UPPERCASE", ""],
-    "type": ["VALVES/TYPE_UPPERCASE", "PIPES & FITTINGS/TYPE_UPPERCASE", "NUT/TYPE_CANONICAL", "BALL VALVE/TYPE_CANONICAL", "SS/TYPE_UPPERCASE", "STAINLESS STEEL/TYPE_UPPERCASE", "ZINC-PLATED/TYPE_UPPERCASE", "WELD-NECK/TYPE_UPPERCASE", "ODD ONE/TYPE_UPPERCASE", ""],
-    "material": ["VALVES/MATERIAL_UPPERCASE", "PIPES & FITTINGS/MATERIAL_UPPERCASE", "HEX NUT/MATERIAL_UPPERCASE", "BALL-VALVE/MATERIAL_UPPERCASE", "STAINLESS STEEL/MATERIAL_ALIAS_SS", "STAINLESS STEEL/MATERIAL_CANONICAL", "ZINC-PLATED/MATERIAL_UPPERCASE", "WELD-NECK/MATERIAL_UPPERCASE", "ODD  ONE/MATERIAL_UPPERCASE", ""],
-    "coating": ["VALVES/COATING_UPPERCASE", "PIPES & FITTINGS/COATING_UPPERCASE", "HEX NUT/COATING_UPPERCASE", "BALL-VALVE/COATING_UPPERCASE", "SS/COATING_UPPERCASE", "STAINLESS STEEL/COATING_UPPERCASE", "ZINC PLATED/COATING_FORMAT", "WELD-NECK/COATING_UPPERCASE", "ODD  ONE/COATING_UPPERCASE", ""],
-    "connection": ["VALVES/CONNECTION_UPPERCASE", "PIPES & FITTINGS/CONNECTION_UPPERCASE", "HEX NUT/CONNECTION_UPPERCASE", "BALL-VALVE/CONNECTION_UPPERCASE", "SS/CONNECTION_UPPERCASE", "STAINLESS STEEL/CONNECTION_UPPERCASE", "ZINC-PLATED/CONNECTION_UPPERCASE", "WELD NECK/CONNECTION_FORMAT", "ODD  ONE/CONNECTION_UPPERCASE", ""],
-}
-_RATING_TEXTS = ["90 deg", "45°", "60 Degree", "10 bar", "null"]
-
-
-def _listed(texts: list[str]):
-    """One of the texts, by the part's number."""
-    return F.element_at(F.array(*map(F.lit, texts)), (F.col("p_partkey") % len(texts) + 1).cast("int"))
-
-
-def _answer_sql(answers: list[str]) -> str:
-    return "[" + ", ".join("'" + x + "'" for x in answers) + f"][p_partkey % {len(answers)} + 1]"
-
-
-def _said_sql(answers: list[str], name: str, prefix: str) -> str:
-    """Expected values and rules (behind the last stroke), as the rules' description has them."""
-    return f"SELECT id, nullif(regexp_extract(x, '^(.*)/([A-Z0-9_]+)$', 1), '') AS {name}, nullif('{prefix}' || nullif(regexp_extract(x, '^(.*)/([A-Z0-9_]+)$', 2), ''), '') AS rule FROM (SELECT p_partkey AS id, {_answer_sql(answers)} AS x FROM part)"
-
-
 def _key_sql(x: str) -> str:
     return f"regexp_replace(regexp_replace(regexp_replace(upper({x}), '[\\s/\\-]+', '_', 'g'), '[^A-Z0-9_]', '', 'g'), '^_+|_+$', '', 'g')"
 
@@ -389,11 +352,6 @@ ORACLE_SQL = {
     "rule_usage": f"{_sql_normalised()} SELECT rule, count(*) AS n FROM (SELECT unnest(string_split(rules, ';')) AS rule FROM normal WHERE rules <> '') GROUP BY rule",
     "canonical_keys": sql(f"SELECT material_id, {_key_sql('family')} || '|' || {_key_sql(chr(39).join(['noun || ', ' - ', ' || grade']))} || '|' || {_key_sql('CAST(size AS VARCHAR)')} AS key FROM materials"),
     "canonical_key_frequency": sql("SELECT count(*) AS keys, count(*) FILTER (WHERE n = 1) AS single, CAST(coalesce(sum(n) FILTER (WHERE n > 1), 0) AS BIGINT) AS in_shared FROM (SELECT count(*) AS n FROM materials GROUP BY family, noun, grade)"),
-    "standards_format": _said_sql(_STANDARD_ANSWERS, "standard", ""),
-    "size_format": _said_sql([x.replace("/BEARING", "/SIZE_BEARING_NUMBER").replace("/UPPERCASE", "/SIZE_UPPERCASE") if x.endswith(("/BEARING", "/UPPERCASE")) else "/SIZE_FORMAT_".join(x.rsplit("/", 1)) if x else x for x in _SIZE_ANSWERS], "size", ""),
-    "grade_format": _said_sql(_GRADE_ANSWERS, "grade", "GRADE_"),
-    "canonical_aliases": "SELECT p_partkey AS id, " + ", ".join(f"{_answer_sql(x)} AS {a}" for a, x in _ALIAS_ANSWERS.items()) + " FROM part",
-    "rating_dimension_format": "SELECT p_partkey AS id, ['90 DEG', '45 DEG', '60 DEGREE', '10 BAR', NULL][p_partkey % 5 + 1] AS rating, " + _answer_sql([x.rsplit("/", 1)[0] + "/LENGTH_FORMAT_MM" if x.endswith("/MM") else (t.strip().upper() + "/LENGTH_UPPERCASE" if x else "") for x, t in zip(_SIZE_ANSWERS, _SIZE_TEXTS, strict=True)]) + " AS length FROM part",
     "conflict_class": _conflict_sql(),
     "uuid5_codes": sql(f"SELECT material_id, {uuid5_sql('material_code')} AS uuid FROM materials"),
     "crosswalk_uuid5": sql(f"SELECT enterprise, material_code, {uuid5_sql(chr(39) + 'LEGACY_MAP:' + chr(39) + ' || enterprise || ' + chr(39) + ':' + chr(39) + ' || material_code || ' + chr(39) + ':' + chr(39) + ' || record')} AS mapping_id FROM (SELECT enterprise, material_code, common_code || '|' || grade AS record FROM materials JOIN enterprises ON owner_id = enterprise_id)"),
@@ -403,7 +361,6 @@ ORACLE_SQL = {
     "review_partitions": sql(f"{_FEATURE_SQL}, {_VALIDATED_SQL}, {_REFINED_SQL} SELECT CASE WHEN priority IN ('CRITICAL', 'HIGH') THEN 'ACTIVE' WHEN validation IN ('ENGINEERING_INCOMPATIBLE', 'INSUFFICIENT_EVIDENCE') THEN 'DISQUALIFIED' ELSE 'SECONDARY' END AS part, count(*) AS n FROM prioritised GROUP BY ALL"),
     "upgrade_superseded": sql(f"""{_MAPPED_SQL}, kinds AS (SELECT material_id, family, noun, grade FROM materials), duos AS (SELECT x.material_id AS source, y.material_id AS candidate FROM kinds x JOIN kinds y USING (family, noun, grade) WHERE x.material_id < y.material_id AND (family, noun, grade) IN (SELECT (family, noun, grade) FROM kinds GROUP BY family, noun, grade HAVING count(*) <= 300))
       SELECT DISTINCT other AS material, record, 'ALREADY_MAPPED' AS status, 'SUPERSEDED_BY_RECORD' AS old_status FROM (SELECT source AS material, candidate AS other FROM duos UNION ALL SELECT candidate, source FROM duos) JOIN mapped USING (material) WHERE other NOT IN (SELECT material FROM mapped)"""),
-    "extract_sizes_regex": "SELECT p_partkey AS id, ['M16X75', 'DN50', '1-1/2 in', '3/4 in', '2.5 in', '25 sq mm'][p_partkey % 6 + 1] AS size FROM part",
     "blocking_pairs": sql(f"{_BLOCK_SQL} SELECT * FROM pairs"),
     "blocking_reduction": sql(f"{_BLOCK_SQL} SELECT n AS records, p AS pairs, round(1 - p / (n * (n - 1) / 2), 6) AS reduction FROM (SELECT count(*) AS n FROM materials), (SELECT count(*) AS p FROM pairs)"),
     "family_token_pairs": sql(""", tokens AS (SELECT DISTINCT material_id AS id, upper(family) || '~' || t AS v FROM (SELECT material_id, family, unnest([upper(noun), upper(grade), CAST(size AS VARCHAR)]) AS t FROM materials) WHERE length(t) >= 3 AND NOT regexp_matches(t, '^[0-9]+$')),

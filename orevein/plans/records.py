@@ -136,12 +136,6 @@ _SPREAD = {"grade": "grade_std", "size": "size_std", "noun": "noun_std", "family
 _FIELDS, _KEYS = ["material_code", "description", "family", "noun", "grade", "size"], ["canonical_key", "plant", "site"]
 
 
-def _generated(s, d):
-    from orevein.sources.generator import catalog
-
-    return catalog(s, 400).groupBy("kind").agg(F.countDistinct("item").cast("int").alias("items"))
-
-
 QUERIES = {
     "enterprise_list": lambda s, d: R.enterprise_list(enterprises(s, d), _datasets(s, d), _owned(s, d).join(_mappings(s, d), F.col("material_id") == F.col("material"), "left")),
     "active_materials": lambda s, d: R.in_active_dataset(_owned(s, d), _datasets(s, d)).groupBy("enterprise").agg(F.count("*").alias("n")),
@@ -185,7 +179,6 @@ QUERIES = {
     "consumption_with_purchases": lambda s, d: R.consumption_with_purchases(demand(s, d).groupBy("common_code", "uom").agg(P.total("required").alias("required")), purchases(s, d)).withColumn("latest", F.col("latest").cast("string")),
     "mapped_raw_rows": lambda s, d: R.mapped_rows(_owned(s, d).select("enterprise", "material_code", "description"), _crosswalk(s, d)),
     "procurement_facts": lambda s, d: _facts(s, d).withColumn("po_date", F.col("po_date").cast("string")),
-    "generated_catalog": _generated,
 }
 
 _SYSTEM = "CASE WHEN json_extract_string({0}.attributes, '$.source_system') IS NOT NULL THEN 'ORACLE' ELSE {0}.enterprise || ' SAP ERP' END || ' / Upload Batch #' || coalesce(json_extract_string({0}.attributes, '$.batch_id'), '2026-01')"
@@ -259,6 +252,5 @@ ORACLE_SQL = {
     "match_distributions": _sql("SELECT 'status' AS name, status AS value, count(*) AS n FROM matches GROUP BY ALL UNION ALL SELECT 'reasons', x, count(*) FROM (SELECT unnest([source, target]) AS x FROM matches) GROUP BY ALL", _MATCHES_SQL, pairs=True),
     "consumption_with_purchases": _sql("SELECT common_code, uom, required, orders, strftime(latest, '%Y-%m-%d') AS latest, suppliers FROM (SELECT common_code, uom, round(sum(required), 2) AS required FROM demand GROUP BY ALL) JOIN (SELECT common_code, count(*) AS orders, max(po_date) AS latest, count(DISTINCT supplier) AS suppliers FROM purchases GROUP BY 1) USING (common_code)"),
     "procurement_facts": _sql(f"SELECT {uuid5_sql(chr(39) + 'FACT:' + chr(39) + ' || po_number')} AS fact_id, enterprise, common_code, material_id, supplier, quantity, uom, po_number, strftime(po_date, '%Y-%m-%d') AS po_date FROM purchases"),
-    "generated_catalog": "SELECT * FROM (VALUES ('MULTI_ENTERPRISE', 160), ('AMBIGUOUS', 120), ('STANDALONE', 120)) t(kind, items)",
     "mapped_raw_rows": _sql("SELECT enterprise, material_code, description, record, status FROM owned JOIN crosswalk USING (enterprise, material_code)", _OWNED_SQL, _CROSSWALK_SQL),
 }

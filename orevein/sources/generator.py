@@ -17,8 +17,8 @@ def _drawn(values: list[str], seed: int, what: str) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (F.pmod(F.xxhash64("item", F.lit(seed), F.lit(what)), F.lit(len(values))) + 1).cast("int"))
 
 
-def catalog(spark: SparkSession, items: int, seed: int = 42) -> DataFrame:
-    """item, kind, enterprise, code, description: the same rows for the same seed, however many tasks make them.
+def catalog(spark: SparkSession, items: int | DataFrame, seed: int = 42) -> DataFrame:
+    """item, kind, enterprise, code, description, of so many items or of those in a column item: the same rows for the same seed, however many tasks make them.
 
     Of 100 items in a row, KINDS says how many are of which kind. An item of several enterprises has a row in two to four, worded in three ways; an ambiguous
     one has two rows that differ in size; a standalone one has one row.
@@ -27,7 +27,8 @@ def catalog(spark: SparkSession, items: int, seed: int = 42) -> DataFrame:
     first, second = KINDS["MULTI_ENTERPRISE"], KINDS["MULTI_ENTERPRISE"] + KINDS["AMBIGUOUS"]
     kind = F.when(place < first, "MULTI_ENTERPRISE").when(place < second, "AMBIGUOUS").otherwise("STANDALONE")
     several = (F.pmod(F.xxhash64("item", F.lit(seed), F.lit("rows")), F.lit(3)) + 2).cast("int")
-    base = spark.range(items).withColumnRenamed("id", "item").withColumn("kind", kind)
+    numbers = spark.range(items).withColumnRenamed("id", "item") if isinstance(items, int) else items.select(F.col("item").cast("long"))
+    base = numbers.withColumn("kind", kind)
     base = base.withColumn("noun", _drawn(NOUNS, seed, "noun")).withColumn("grade", _drawn(GRADES, seed, "grade")).withColumn("size", F.pmod(F.xxhash64("item", F.lit(seed), F.lit("size")), F.lit(48)) + 2)
     n = F.when(kind == "MULTI_ENTERPRISE", several).when(kind == "AMBIGUOUS", 2).otherwise(1)
     rows = base.withColumn("k", F.explode(F.sequence(F.lit(0), n - 1)))
