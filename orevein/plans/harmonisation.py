@@ -255,9 +255,9 @@ def _conflicts(s, d):
     return pairs.groupBy(F.col("c.class").alias("class"), F.array_join("c.reasons", "; ").alias("reasons")).agg(F.count("*").alias("n"))
 
 
-def _conflict_sql() -> str:
+def _conflict_rules() -> tuple[str, str]:
+    """The rules of conflicts in SQL: columns of what the upper-cased text `up` says, and columns hard, soft, later and written of records a and b."""
     q = lambda x: "'" + x.replace("'", "''") + "'"
-    fields = ", ".join(f"nullif(p[{k + 1}], '') AS {n}" for k, n in enumerate(_CONFLICT_FIELDS))
     marks = []
     for k, (words, whole) in enumerate(M.OPPOSED.values()):
         hit = lambda w: f"regexp_matches(up, '\\b{w}\\b')" if whole else f"contains(up, '{w}')"  # noqa: B023, E731
@@ -289,9 +289,15 @@ def _conflict_sql() -> str:
     written = [(f"{diff('grade')} AND ({both})", versus("Standard/grade prefix representation difference", "grade")), ("contains(a.conflicts, 'A105') OR contains(b.conflicts, 'ASTM A105')", "'Phase 3 preserved grade representation conflict: ASTM A105 vs A105'")]
     first = lambda cases: "CASE " + " ".join(f"WHEN {c} THEN {r}" for c, r in cases) + " END"
     every = lambda cases: "concat_ws('; ', " + ", ".join(f"CASE WHEN {c} THEN {r} END" for c, r in cases) + ")"
-    kinds = "[" + ", ".join(map(q, _CONFLICT_KINDS)) + "]"
+    return ", ".join(marks), f"{first(hard)} AS hard, nullif({every(soft)}, '') AS soft, {first(then)} AS later, nullif({every(written)}, '') AS written"
+
+
+def _conflict_sql() -> str:
+    marks, rules = _conflict_rules()
+    fields = ", ".join(f"nullif(p[{k + 1}], '') AS {n}" for k, n in enumerate(_CONFLICT_FIELDS))
+    kinds = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in _CONFLICT_KINDS) + "]"
     return sql(f""", k AS (SELECT material_id, material_id // {len(_CONFLICT_KINDS)} AS lot, string_split({kinds}[material_id % {len(_CONFLICT_KINDS)} + 1], '|') AS p FROM materials), f AS (SELECT material_id, lot, {fields} FROM k),
-      m AS (SELECT *, {', '.join(marks)} FROM (SELECT *, upper(coalesce(text, '')) AS up FROM f)), c AS (SELECT {first(hard)} AS hard, nullif({every(soft)}, '') AS soft, {first(then)} AS later, nullif({every(written)}, '') AS written FROM m a JOIN m b USING (lot) WHERE a.material_id < b.material_id)
+      m AS (SELECT *, {marks} FROM (SELECT *, upper(coalesce(text, '')) AS up FROM f)), c AS (SELECT {rules} FROM m a JOIN m b USING (lot) WHERE a.material_id < b.material_id)
       SELECT CASE WHEN hard IS NOT NULL THEN 'HARD_INCOMPATIBLE' WHEN soft IS NOT NULL OR later IS NOT NULL THEN 'SOFT_ENGINEERING_DIFFERENCE' WHEN written IS NOT NULL THEN 'REPRESENTATION_DIFFERENCE' ELSE 'NO_CONFLICT' END AS class,
       coalesce(hard, soft, later, written, 'No engineering or representation conflicts detected') AS reasons, count(*) AS n FROM c GROUP BY ALL""")
 
