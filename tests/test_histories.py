@@ -173,3 +173,17 @@ def test_workbooks_equal_their_csv(spark, tmp_path):
     assert got.columns == ["p_name", "p_partkey", "p_retailprice"]
     assert sorted((int(r.p_partkey), r.p_name, r.p_retailprice and float(r.p_retailprice)) for r in got.collect()) == [(r.p_partkey, r.p_name, None if k % 2 else r.p_retailprice) for k, r in enumerate(part)]
     assert workbooks.read_sheets(spark, str(tmp_path), "absent").columns == []
+
+
+def test_agreement_of_distinct_values_equals_that_of_pairs(spark):
+    """The form that compares each different pair of values once against the one that compares them pair by pair."""
+    from orevein.functions import similarity as S
+    from orevein.plans.path import _agreement
+
+    rng = random.Random(5)
+    values = [None, "BALL VALVE", "VALVE BALL", "GATE VALVE", "150", "M16X75", "Q"]
+    rows = [(k, k + 1000, *(rng.choice(values) for _ in range(6))) for k in range(200)] + [(900, 901, *[None] * 6)]
+    pairs = spark.createDataFrame(rows, "a_id long, b_id long, a_p string, b_p string, a_q string, b_q string, a_r string, b_r string")
+    want = {r.a_id: tuple(r.g) for r in pairs.select("a_id", S.agreement([(F.col(f"a_{n}"), F.col(f"b_{n}")) for n in "pqr"]).alias("g")).collect()}
+    got = {r.source: (r.agreement, r.n) for r in _agreement(pairs, list("pqr")).collect()}
+    assert got == want and got[900] == (0.0, 0)
