@@ -56,3 +56,7 @@ def test_decisions_persisted_follows_the_last_of_all_decisions(spark, tables):
     assert _both(spark, tables, "decisions_persisted", "match_id", "source_id", "candidate_id", "status", "gate1_reviewer", "gate1_enterprise") == [
         ("1-101", 1, 101, "ACCEPTED", None, None), ("1-2", 1, 2, "ACCEPTED", None, None), ("2-101", 2, 101, "DEFER", None, None), ("3-103", 3, 103, "OVERRIDDEN", None, None),
     ]
+
+
+def test_roster_counts_every_event_that_is_a_decision_on_some_match(spark, tables):
+    assert _both(spark, tables, "roster_by_any_key", "reviewer_id", "decisions", "last") == [("R1", 0, None), ("R2", 3, 10), ("R3", 0, None), ("R4", 3, 7), ("R5", 1, 3), ("R6", 1, 8), ("R7", 0, None)]
