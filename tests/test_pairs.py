@@ -59,3 +59,8 @@ def test_best_of_blocks_equals_ranking_all_pairs(spark):
     assert {tuple(r) for r in met.collect()} == {(x[0], x[1], x[4], y[4]) for x in rows for y in rows if x[:2] == y[:2] and x[2] < y[2]}
     best = matching.best_of_blocks(members, met.join(scores, ["a", "b"]), 5)
     assert {(r.source, r.candidate, r.rank) for r in matching.ranked(best, 5).collect()} == want and len(want) == 200
+
+
+def test_ratios_a_hair_under_a_half_are_rounded_as_in_sql(spark, tables):
+    rows = {r[0]: r for r in _both(spark, tables, "label_order") if r[0] in (12, 20)}
+    assert rows[20][3] < rows[12][3]  # 906.3 / 912 is 0.99375, which goes up; 993.7 / 1000 is 0.9937
