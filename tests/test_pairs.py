@@ -6,7 +6,7 @@ import random
 
 import duckdb
 import pytest
-from orevein.operators import matching
+from orevein.operators import grouping, matching
 from orevein.plans import queries
 
 #: Number, name, size and price of parts: three kinds, of which the first has members of every sort.
@@ -64,3 +64,13 @@ def test_best_of_blocks_equals_ranking_all_pairs(spark):
 def test_ratios_a_hair_under_a_half_are_rounded_as_in_sql(spark, tables):
     rows = {r[0]: r for r in _both(spark, tables, "label_order") if r[0] in (12, 20)}
     assert rows[20][3] < rows[12][3]  # 906.3 / 912 is 0.99375, which goes up; 993.7 / 1000 is 0.9937
+
+
+def test_cliques_of_a_full_component_take_no_rounds_and_equal_those_by_rounds(spark):
+    edges = [(a, b, s) for a in range(14) for b in range(a) for s in ((a * b) % 4 / 4,)] + [(90, 91, None), (91, 92, 1.0)]
+    frame = spark.createDataFrame(edges, "a long, b long, score double")
+    bars = spark.createDataFrame([(a, b) for a, b, _ in edges if (a + b) % 3 == 0] + [(3, 90), (92, 90)], "a long, b long")
+    out = {r.node: (r.component, r.clique) for r in grouping.cliques(frame, bars, most_rounds=1).collect()}
+    assert out == {r.node: (r.component, r.clique) for r in grouping.cliques(frame, bars, small=0).collect()} and out[91] == (90, 90) and out[92] == (90, 92)
+    mixed = {r.node: (r.component, r.clique) for r in grouping.cliques(frame, bars, small=50).collect()}
+    assert mixed == out
