@@ -74,3 +74,37 @@ def test_cliques_of_a_full_component_take_no_rounds_and_equal_those_by_rounds(sp
     assert out == {r.node: (r.component, r.clique) for r in grouping.cliques(frame, bars, small=0).collect()} and out[91] == (90, 90) and out[92] == (90, 92)
     mixed = {r.node: (r.component, r.clique) for r in grouping.cliques(frame, bars, small=50).collect()}
     assert mixed == out
+
+
+PAIRED = ["materials_after_decisions"]
+
+
+@pytest.mark.parametrize("name", PAIRED)
+def test_same_rows_as_sql(spark, tables, name):
+    assert len(_both(spark, tables, name)) > 2
+
+
+@pytest.fixture(scope="module")
+def crowded(spark, tables, tmp_path_factory):
+    """One block of 300 parts, which make 44,850 pairs, and some events for each."""
+    at = str(tmp_path_factory.mktemp("crowded"))
+    for name in ("region", "nation", "supplier", "lineitem", "orders", "customer"):
+        spark.read.parquet(f"{tables[0]}/{name}.parquet").write.parquet(f"{at}/{name}.parquet")
+    spark.range(1, 301).selectExpr("id as p_partkey", "'old pipe' as p_name", "'VALVE' as p_type", "'Brand#1' as p_brand", "5 as p_size", "900.0D + id as p_retailprice").write.parquet(f"{at}/part.parquet")
+    spark.range(900).selectExpr("id as event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) as ts", "id % 7 as user_id", "'click' as event_type", "1.0D as value", "concat('{\"k\": ', id % 100, '}') as props").write.parquet(f"{at}/events.parquet")
+    return at
+
+
+def _shuffled(spark):
+    """Rows that all stages so far have written for a shuffle."""
+    context, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+    context.listenerBus().waitUntilEmpty(30_000)
+    stages = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+@pytest.mark.parametrize("name", ["materials_after_decisions"])
+def test_pairs_are_not_dealt_out_anew(spark, crowded, name):
+    before = _shuffled(spark)
+    queries.QUERIES[name](spark, crowded).write.format("noop").mode("overwrite").save()
+    assert _shuffled(spark) - before < 20_000
