@@ -76,7 +76,7 @@ def test_cliques_of_a_full_component_take_no_rounds_and_equal_those_by_rounds(sp
     assert mixed == out
 
 
-PAIRED = ["materials_after_decisions", "run_replaced", "audit_append", "candidate_ids"]
+PAIRED = ["materials_after_decisions", "run_replaced", "audit_append", "candidate_ids", "record_for_match"]
 
 
 @pytest.mark.parametrize("name", PAIRED)
@@ -103,7 +103,7 @@ def _shuffled(spark):
     return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
 
 
-@pytest.mark.parametrize("name", ["materials_after_decisions", "run_replaced", "audit_append", "candidate_ids"])
+@pytest.mark.parametrize("name", ["materials_after_decisions", "run_replaced", "audit_append", "candidate_ids", "record_for_match"])
 def test_pairs_are_not_dealt_out_anew(spark, crowded, name):
     before = _shuffled(spark)
     queries.QUERIES[name](spark, crowded).write.format("noop").mode("overwrite").save()
