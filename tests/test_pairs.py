@@ -76,7 +76,7 @@ def test_cliques_of_a_full_component_take_no_rounds_and_equal_those_by_rounds(sp
     assert mixed == out
 
 
-PAIRED = ["materials_after_decisions", "run_replaced", "audit_append", "candidate_ids", "record_for_match"]
+PAIRED = ["materials_after_decisions", "run_replaced", "audit_append", "candidate_ids", "record_for_match", "record_export"]
 
 
 @pytest.mark.parametrize("name", PAIRED)
