@@ -6,7 +6,7 @@ import random
 
 import duckdb
 import pytest
-from orevein.operators import grouping, matching
+from orevein.operators import grouping, linkage, matching
 from orevein.plans import queries
 
 #: Number, name, size and price of parts: three kinds, of which the first has members of every sort.
@@ -108,3 +108,15 @@ def test_pairs_are_not_dealt_out_anew(spark, crowded, name):
     before = _shuffled(spark)
     queries.QUERIES[name](spark, crowded).write.format("noop").mode("overwrite").save()
     assert _shuffled(spark) - before < 20_000
+
+
+def test_cosine_join_moves_no_candidates_about(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "ENTRIES", 500)
+    rng = random.Random(6)
+    alone = [k % 2 == 0 and k >= 200 for k in range(400)]
+    rows = [(k, t, w) for k in range(400) for t, w in (("common", 0.85), (f"a{k // 2}", 0.42 if alone[k] else 0.52678), (f"b{k}", 0.318 * alone[k])) if w]
+    rng.shuffle(rows)
+    before = _shuffled(spark)
+    got = {(r.a, r.b): round(r.cosine, 6) for r in linkage.cosine_join(spark.createDataFrame(rows, "id long, term string, w double"), 0.8).collect()}
+    assert got == {(k, k + 1): 1.0 if k < 200 else 0.943748 for k in range(0, 400, 2)}
+    assert _shuffled(spark) - before < 20_000
