@@ -6,8 +6,10 @@ import random
 
 import duckdb
 import pytest
+from orevein.functions import similarity
 from orevein.operators import grouping, linkage, matching
 from orevein.plans import queries
+from pyspark.sql import functions as F
 
 #: Number, name, size and price of parts: three kinds, of which the first has members of every sort.
 PARTS = [(k, "steel pipe", 5, 900.0 + k % 7) for k in (1, 2, 3, 9, 10, 11, 101, 102)] + [(20, "old pump", 5, 906.3), (21, "old pump", 5, 912.0), (12, "red bolt", 5, 993.7), (13, "red bolt", 5, 1000.0), (14, "blue nut", 1, 10.0)]
@@ -120,3 +122,18 @@ def test_cosine_join_moves_no_candidates_about(spark, monkeypatch):
     got = {(r.a, r.b): round(r.cosine, 6) for r in linkage.cosine_join(spark.createDataFrame(rows, "id long, term string, w double"), 0.8).collect()}
     assert got == {(k, k + 1): 1.0 if k < 200 else 0.943748 for k in range(0, 400, 2)}
     assert _shuffled(spark) - before < 20_000
+
+
+def test_nearest_in_blocks_equals_ranking_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "WIDE", 20)
+    rng = random.Random(2)
+    made = [[rng.choice([-1.0, 0.0, 0.5, 1.0, 2.0]) for _ in range(4)] for _ in range(60)]
+    rows = [(k, k % 3, rng.choice(made)) for k in range(300)] + [(300, 0, None), (301, 0, [0.0] * 4), (302, 7, [1.0] * 4), (303, 7, None), (304, 7, [1.0, None, 0.0, 0.0]), (305, None, [1.0] * 4)]
+    v = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
+    asked = v.where("vec_id % 20 = 0 or vec_id >= 300")
+    flags = [F.lit(True).alias("cross"), F.lit(False).alias("key_exact")]
+    a, b = asked.select("label", F.col("vec_id").alias("source"), F.col("embedding").alias("x")), v.select("label", F.col("vec_id").alias("candidate"), F.col("embedding").alias("y"))
+    every = a.join(b, "label").where("source <> candidate").select("source", "candidate", F.round(similarity.cosine(F.col("x"), F.col("y")), 4).alias("score"), *flags)
+    want = sorted(map(tuple, matching.ranked(every, 5).collect()))
+    found = linkage.nearest(asked, v, "label", 5).select("source", "candidate", F.round("score", 4).alias("score"), *flags)
+    assert sorted(map(tuple, matching.ranked(found, 5).collect())) == want and len(want) == 17 * 5 + 3 * 2
